@@ -31,6 +31,8 @@ MEASURES = {
 FENCE = 3
 #: Groups with fewer documents take the sketch of the level above.
 LEAST_DOCS = 200
+#: Up to so many repeated windows are looked up one by one.
+FEW = 12
 #: Threshold tables of up to so many rows are broadcast.
 BROADCAST_ROWS = 50_000
 
@@ -40,34 +42,30 @@ FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the counts of FEATURES and n_lines, as long."""
     df = docs.drop(*FEATURES, "n_lines").withColumn("__text", filled(docs, text))
-    df = df.withColumn("__words", F.filter(F.split("__text", f"[{SPACE}]+"), lambda w: w != ""))
     df = df.withColumn("__lines", F.filter(F.split("__text", "\n"), lambda x: x.rlike(f"[^{SPACE}]")))
-    df = df.withColumn("n_words", F.size("__words").cast("long"))
-    df = df.withColumn(
-        "__windows",
-        F.transform(
-            F.slice("__words", 1, F.greatest(F.col("n_words").cast("int") - 2, F.lit(0))),
-            lambda w, i: F.concat(w, F.lit(" "), F.get("__words", i + 1), F.lit(" "), F.get("__words", i + 2)),
-        ),
-    )
-    # most texts repeat no window; only the others are sorted
-    df = df.withColumn("__again", F.size(F.array_distinct("__windows")) < F.size("__windows"))
-    df = df.withColumn(
-        "__sorted",
-        F.when(F.col("__again"), F.sort_array(F.transform("__windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))),
-    )
+    df = df.withColumns(
+        {
+            "n_symbols": (F.char_length("__text") - F.char_length(F.regexp_replace("__text", "[#*$%&|<>]", ""))).cast("long"),
+            "n_lines": F.size("__lines").cast("long"),
+            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+            "__words": F.filter(F.split("__text", f"[{SPACE}]+"), lambda w: w != ""),
+        }
+    ).drop("__text", "__lines")
+    df = df.withColumns({"n_words": F.size("__words").cast("long"), "word_chars": F.char_length(F.array_join("__words", "")).cast("long")})
+    # windows by their 64-bit hashes: two of one text's 20,000 windows clash once in 10^11 such texts
+    inner = F.slice("__words", 1, F.greatest(F.col("n_words").cast("int") - 2, F.lit(0)))
+    df = df.withColumn("__hashes", F.transform(inner, lambda w, i: F.xxhash64(w, F.get("__words", i + 1), F.get("__words", i + 2)))).drop("__words")
+    df = df.withColumn("__sorted", F.sort_array("__hashes"))
+    df = df.withColumn("__again", F.array_distinct(F.filter("__sorted", lambda h, i: F.coalesce(h == F.get("__sorted", i + 1), F.lit(False))))).drop("__sorted")
+    places = F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    # a few repeated windows are looked up one by one; many are found by a sort, in n log n
+    df = df.withColumn("__many", F.when(F.size("__again") > FEW, F.sort_array(places)))
+    beside = lambda s, i, k: F.coalesce(s["h"] == F.get("__many", i + k)["h"], F.lit(False))
     df = df.withColumn(
         "__at",
-        F.sort_array(
-            F.transform(
-                F.filter(
-                    "__sorted",
-                    lambda s, i: F.coalesce(s["w"] == F.get("__sorted", i - 1)["w"], F.lit(False))
-                    | F.coalesce(s["w"] == F.get("__sorted", i + 1)["w"], F.lit(False)),
-                ),
-                lambda s: s["i"],
-            )
-        ),
+        F.when(F.size("__again") == 0, F.array().cast("array<int>"))
+        .when(F.size("__again") <= FEW, F.transform(F.filter(places, lambda s: F.array_contains("__again", s["h"])), lambda s: s["i"]))
+        .otherwise(F.sort_array(F.transform(F.filter("__many", lambda s, i: beside(s, i, -1) | beside(s, i, 1)), lambda s: s["i"]))),
     )
     repeats = F.aggregate(
         "__at",
@@ -75,16 +73,8 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda acc, p: F.struct((acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n"), p.alias("last")),
         lambda acc: acc["n"],
     )
-    df = df.withColumns(
-        {
-            "word_chars": F.char_length(F.array_join("__words", "")).cast("long"),
-            "n_symbols": (F.char_length("__text") - F.char_length(F.regexp_replace("__text", "[#*$%&|<>]", ""))).cast("long"),
-            "n_lines": F.size("__lines").cast("long"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "n_repeat_words": F.coalesce(repeats, F.lit(0)).cast("long"),
-        }
-    )
-    return df.drop("__text", "__words", "__lines", "__windows", "__again", "__sorted", "__at")
+    df = df.withColumn("n_repeat_words", F.coalesce(repeats, F.lit(0)).cast("long"))
+    return df.drop("__again", "__hashes", "__many", "__at")
 
 
 def measures() -> dict[str, Column]:
@@ -148,13 +138,18 @@ def thresholds(sketch: DataFrame, least_docs: int = LEAST_DOCS, fence: int = FEN
     )
 
 
-def quality_rules(docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS, fence: int = FENCE) -> DataFrame:
-    """docs with FEATURES, n_lines, base_failed and kept.
+def quality_rules(
+    docs: DataFrame, text: str = "text", least_docs: int = LEAST_DOCS, fence: int = FENCE, carry_text: bool = True
+) -> DataFrame:
+    """docs with FEATURES, n_lines, base_failed and kept; without the text unless carry_text.
+
+    The counts are stored once, as both the sketches and the filter need them.
 
     base_failed: under 50 words, or over half of the words in repeated windows of three words.
     kept: not base_failed, and no measure lies beyond the fences of the document's language and source.
     """
     featured = features(docs, text)
+    featured = stored(featured if carry_text else featured.drop(text), "quality_features")
     limits = stored(thresholds(sketches(featured), least_docs, fence), "quality_thresholds")
     featured = featured.drop(*[c for c in limits.columns if c not in ("lang", "source")])
     out = join_small(featured, limits, ["lang", "source"], BROADCAST_ROWS)
@@ -172,7 +167,7 @@ def quality_rules(docs: DataFrame, text: str = "text", least_docs: int = LEAST_D
 
 def op8_quality_rules(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return quality_rules(docs).select("doc_id", *FEATURES, "base_failed", "kept")
+    return quality_rules(docs, carry_text=False).select("doc_id", *FEATURES, "base_failed", "kept")
 
 
 FIXED = ", ".join(f"('{k}', {m[2]})" for k, m in MEASURES.items())
