@@ -32,6 +32,8 @@ from .shingles import shingle_hashes, words_of
 SKETCH = 32
 #: Shingles of items that are broadcast at once.
 BLOCK_SHINGLES = 4_000_000
+#: Low bits of a hash that are looked up first.
+MASK = np.uint64((1 << 20) - 1)
 #: Chance that a partition's estimate misses an item at the threshold.
 MISS = 1e-9
 
@@ -62,26 +64,28 @@ class Items:
             hashes = np.concatenate([self.sets[i][:SKETCH] for i in members])
             owner = np.concatenate([np.full(min(SKETCH, len(self.sets[i])), i) for i in members])
             order = np.argsort(hashes, kind="stable")
-            self.parts[key] = (hashes[order], owner[order], min(len(self.sets[i]) for i in members))
+            filled = np.zeros(int(MASK) + 1, bool)
+            filled[hashes & MASK] = True
+            self.parts[key] = (hashes[order], owner[order], min(len(self.sets[i]) for i in members), filled)
         self.need = np.array([least_hits(len(s), percent) for s in self.sets])
 
     def inside(self, words: list[bytes], n: int) -> Iterator[tuple[int, int, int]]:
         """(item id, size of its set, shingles shared) for the items that a text contains."""
         sets: dict[int, np.ndarray] = {}
-        for (k, _), (hashes, owner, smallest) in self.parts.items():
+        for (k, _), (hashes, owner, smallest, filled) in self.parts.items():
             if len(words) - k + 1 < 1 or (len(words) - k + 1) * 100 < smallest * self.percent:
                 continue
             if k not in sets:
                 sets[k] = shingle_hashes(words, k)
             own = sets[k]
-            at = np.searchsorted(hashes, own)
-            hit = np.unique(own[hashes[np.minimum(at, len(hashes) - 1)] == own])
+            own = own[filled[own & MASK]]  # few shingles of a document are in any sketch
+            hit = np.unique(own[hashes[np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)] == own]) if len(own) else own
             if not len(hit):
                 continue
             spans = [owner[slice(*np.searchsorted(hashes, [h, h + np.uint64(1)]))] for h in hit]
             found, counts = np.unique(np.concatenate(spans), return_counts=True)
             for i in found[counts >= self.need[found]]:
-                shared = int(np.isin(self.sets[i], own).sum())
+                shared = int(np.isin(self.sets[i], sets[k]).sum())
                 if shared * 100 >= len(self.sets[i]) * self.percent:
                     yield self.ids[i], len(self.sets[i]), shared
 

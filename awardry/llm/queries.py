@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import decontaminate, near_dup, pieces, quality, secrets
 
 QUERIES = {
+    "op1_secret_scans": secrets.op1_secret_scans,
+    "op3_near_duplicates": near_dup.op3_near_duplicates,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
 ORACLE_SQL = {
+    "op1_secret_scans": secrets.ORACLE,
+    "op3_near_duplicates": near_dup.ORACLE,
     "op8_quality_rules": quality.ORACLE,
+    "op10_benchmark_decontamination": decontaminate.ORACLE,
 }

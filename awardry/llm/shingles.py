@@ -5,21 +5,20 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words whose hashes a worker keeps.
+from .kept import Kept
+
+#: Words whose hashes a worker keeps, twice at most.
 KEPT_WORDS = 400_000
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, of which a bounded number is kept."""
+class WordHashes(Kept):
+    """64-bit hashes of words."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+    def make(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
 
 
-WORD_HASHES = WordHashes()
+WORD_HASHES = WordHashes(KEPT_WORDS)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -27,6 +26,10 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+#: An odd number: a shingle's hash is a polynomial of its words' hashes in it, then mixed.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -39,10 +42,12 @@ def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(WORD_HASHES.__getitem__, words), np.uint64, len(words))
     k = min(n, len(words))
-    acc = np.full(len(words) - k + 1, k, np.uint64)
-    for i in range(k):
-        acc = mixed(acc * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(acc)])
-    return acc
+    size = len(words) - k + 1
+    acc = h[:size].copy()
+    for i in range(1, k):
+        acc *= FACTOR
+        acc += h[i : i + size]
+    return mixed(acc + np.uint64(k))
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
