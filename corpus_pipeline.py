@@ -3,12 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from awardry.llm.common import stored
+from awardry.llm.decontaminate import contained_items
+from awardry.llm.near_dup import near_duplicates
+from awardry.llm.pieces import decoded, encoded
 from awardry.llm.quality import quality_rules
+from awardry.llm.secrets import redacted, scan_secrets
 
 #: The columns of documents, which all stages but the last return.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Ids to broadcast at most.
+BROADCAST_ROWS = 200_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id isn't among the ids; a null doc_id stays."""
+    ids = stored(ids.distinct(), "pipeline_ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +29,41 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules(docs).where("kept").select(*COLUMNS)
 
 
-STAGES = [("quality", quality)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked at 0.8 of five-word shingles the document with the least id stays."""
+    found = near_duplicates(docs, words=5, percent=80)
+    return without(docs, found.where("id <> component").select(F.col("id").alias("doc_id"))).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go that hold 80 % or more of a benchmark item's five-word shingles."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return without(docs, contained_items(docs, items, words=5, percent=80).select("doc_id")).select(*COLUMNS)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; all documents stay. n_chars follows where a text changes."""
+    found = scan_secrets(docs.select(*COLUMNS))
+    changed = F.size("secrets") > 0
+    text = redacted(F.col("text"), F.col("secrets"))
+    return found.withColumn("text", text).withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text, and whether they decode to it again; a null text counts as empty."""
+    out = decoded(encoded(docs.select(*COLUMNS)))
+    same = F.coalesce("text", F.lit("")) == F.col("decoded")
+    return out.select("doc_id", "lang", "source", "n_chars", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), same.alias("same"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("pieces", pieces),
+]
+#: SQL can't express the last stage; tests hold run() against a plain Python version.
 ORACLE_SQL = None
 
 
