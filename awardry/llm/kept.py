@@ -14,7 +14,7 @@ class Kept(dict):
         raise NotImplementedError
 
     def __missing__(self, key):
-        value = self.older.pop(key, None)
+        value = self.older.get(key)
         if value is None:
             value = self.make(key)
         if len(self) >= self.size:
