@@ -39,6 +39,8 @@ M = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 #: A pair whose estimate lies so many standard deviations below the threshold isn't confirmed.
 MARGIN = 6
+#: Registers that members of a mixed bucket are first compared by, and members compared at once.
+SHORT, LEFT, RIGHT = 256, 256, 2048
 #: Ids to broadcast at most.
 BROADCAST_ROWS = 200_000
 
@@ -145,6 +147,64 @@ def likely(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v").mapInArrow(run, "u long, v long")
 
 
+def across(members: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of one bucket and different components that the first SHORT registers' low bytes don't rule out.
+
+    members has key, id, n, component, head (the component of the bucket's representative) and size. Those
+    outside the head's component are held, LEFT at a time, against all members, RIGHT at a time, inside
+    tasks: pairs that are ruled out never become rows, and no task gets more than LEFT + RIGHT rows at once.
+    """
+    least = similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / SHORT)
+    percent = round(similarity * 100)
+
+    def shorten(batches):
+        for batch in batches:
+            regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, M)
+            low = regs[:, :SHORT].astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in low], pa.binary())], ["id", "short"])
+
+    short = reps.select("id", "regs").mapInArrow(shorten, "id long, short binary")
+    lefts, rights = F.ceil(F.col("size") / LEFT).cast("int"), F.ceil(F.col("size") / RIGHT).cast("int")
+    rows = members.join(short, "id").withColumns({"l": F.pmod(F.xxhash64("id"), lefts).cast("int"), "r": F.pmod(F.xxhash64("id", F.lit(1)), rights).cast("int")})
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = rows.where("component <> head").withColumns({"left": F.lit(True), "r": every(rights)})
+    right = rows.withColumns({"left": F.lit(False), "l": every(lefts)})
+    names = ["key", "l", "r", "left", "id", "n", "component", "head", "short"]
+    dealt = left.select(*names).union(right.select(*names)).repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
+
+    def pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        is_left = group.column("left").to_numpy()
+        ids, n, component, head = (group.column(c).to_numpy() for c in ("id", "n", "component", "head"))
+        a, b = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(a) and len(b):
+            low = np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint8).reshape(-1, SHORT)
+            for i in a:
+                js = b[component[b] != component[i]]
+                js = js[(component[js] == head[i]) | (ids[js] > ids[i])]
+                js = js[np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * percent]
+                js = js[(low[js] == low[i]).sum(1) >= least * SHORT]
+                us.append(np.full(len(js), ids[i]))
+                vs.append(ids[js])
+        return np.concatenate(us), np.concatenate(vs)
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            marks = np.stack([table.column(c).to_numpy() for c in ("key", "l", "r")])
+            cuts = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1)]
+            done = [pairs(table.slice(x, y - x)) for x, y in zip(cuts, cuts[1:])]
+            rest = table.slice(cuts[-1])
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*done)], ["u", "v"])
+        if rest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs(rest)], ["u", "v"])
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The pairs (u, v) with 100 * intersection >= percent * union of their full shingle sets."""
     pairs = stored(pairs, "likely_pairs")
@@ -194,17 +254,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     labelled = reps.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     keys = buckets(labelled, ", component long")
     mixed_keys = keys.groupBy("key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "id").alias("head")
-    ).where("lo < hi").select("key", "head")
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("component", "id").alias("head"), F.count("*").alias("size")
+    ).where("lo < hi").select("key", "head", "size")
     members = stored(keys.join(mixed_keys, "key"), "mixed_buckets")
-    a, b = members.alias("a"), members.alias("b")
-    apart = a.join(b, F.col("a.key") == F.col("b.key")).where(
-        (F.col("a.component") != F.col("a.head"))
-        & (F.col("a.component") != F.col("b.component"))
-        & ((F.col("b.component") == F.col("b.head")) | (F.col("a.id") < F.col("b.id")))
-        & near(F.col("a.n"), F.col("b.n"))
-    )
-    apart = apart.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+    apart = across(members, reps, similarity).distinct()
     more = confirmed(likely(apart, reps, similarity), docs, words, percent, key, text)
     labels = components(edges.union(more))
 
