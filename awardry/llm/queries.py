@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dup, pieces, quality, secrets
+from . import decontaminate, near_dup, pieces, preferences, quality, secrets, token_records, toxicity, url_filter, warc_revisits
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
+    "op2_token_records": token_records.op2_token_records,
     "op3_near_duplicates": near_dup.op3_near_duplicates,
+    "op4_url_filters": url_filter.op4_url_filters,
+    "op5_warc_revisits": warc_revisits.op5_warc_revisits,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_preference_pairs": preferences.op9_preference_pairs,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
+#: SQL can't express op2 (a tokenizer), op6 (a classifier) and op7 (a tokenizer); their tests use brute force.
 ORACLE_SQL = {
     "op1_secret_scans": secrets.ORACLE,
     "op3_near_duplicates": near_dup.ORACLE,
+    "op4_url_filters": url_filter.ORACLE,
+    "op5_warc_revisits": warc_revisits.ORACLE,
     "op8_quality_rules": quality.ORACLE,
+    "op9_preference_pairs": preferences.ORACLE,
     "op10_benchmark_decontamination": decontaminate.ORACLE,
 }
