@@ -38,7 +38,7 @@ from .kept import Kept
 HEAD = struct.Struct("<BBqQ")
 ENTRY = np.dtype([("offset", "<u8"), ("n", "<u8")])
 #: Words whose ids a worker keeps, twice at most.
-KEPT = 700_000
+KEPT = 500_000
 INDEX_SCHEMA = "shard int, path string, offset long, n_tokens long, start long"
 
 
