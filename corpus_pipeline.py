@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from awardry.llm.common import stored
 from awardry.llm.decontaminate import contained_items
 from awardry.llm.near_dup import near_duplicates
-from awardry.llm.pieces import decoded, encoded
+from awardry.llm.pieces import encoded
 from awardry.llm.quality import quality_rules
 from awardry.llm.secrets import redacted, scan_secrets
 
@@ -51,7 +51,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, and whether they decode to it again; a null text counts as empty."""
-    out = decoded(encoded(docs.select(*COLUMNS)))
+    out = encoded(docs.select(*COLUMNS), back="decoded")
     same = F.coalesce("text", F.lit("")) == F.col("decoded")
     return out.select("doc_id", "lang", "source", "n_chars", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), same.alias("same"))
 
