@@ -164,8 +164,9 @@ def across(members: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in low], pa.binary())], ["id", "short"])
 
     short = reps.select("id", "regs").mapInArrow(shorten, "id long, short binary")
-    lefts, rights = F.ceil(F.col("size") / LEFT).cast("int"), F.ceil(F.col("size") / RIGHT).cast("int")
-    rows = members.join(short, "id").withColumns({"l": F.pmod(F.xxhash64("id"), lefts).cast("int"), "r": F.pmod(F.xxhash64("id", F.lit(1)), rights).cast("int")})
+    outside = members.where("component <> head").groupBy("key").agg(F.count("*").alias("outside"))
+    lefts, rights = F.ceil(F.col("outside") / LEFT).cast("int"), F.ceil(F.col("size") / RIGHT).cast("int")
+    rows = members.join(outside, "key").join(short, "id").withColumns({"l": F.pmod(F.xxhash64("id"), lefts).cast("int"), "r": F.pmod(F.xxhash64("id", F.lit(1)), rights).cast("int")})
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = rows.where("component <> head").withColumns({"left": F.lit(True), "r": every(rights)})
     right = rows.withColumns({"left": F.lit(False), "l": every(lefts)})
