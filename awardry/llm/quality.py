@@ -143,13 +143,15 @@ def quality_rules(
 ) -> DataFrame:
     """docs with FEATURES, n_lines, base_failed and kept; without the text unless carry_text.
 
-    The counts are stored once, as both the sketches and the filter need them.
+    Both the sketches and the filter need the counts: without texts they are stored once, with texts they
+    are made twice rather than written with the texts.
 
     base_failed: under 50 words, or over half of the words in repeated windows of three words.
     kept: not base_failed, and no measure lies beyond the fences of the document's language and source.
     """
     featured = features(docs, text)
-    featured = stored(featured if carry_text else featured.drop(text), "quality_features")
+    if not carry_text:
+        featured = stored(featured.drop(text), "quality_features")
     limits = stored(thresholds(sketches(featured), least_docs, fence), "quality_thresholds")
     featured = featured.drop(*[c for c in limits.columns if c not in ("lang", "source")])
     out = join_small(featured, limits, ["lang", "source"], BROADCAST_ROWS)
