@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at 0.8 of five-word shingles the document with the least id stays."""
+    """Of each group linked at 0.8 of five-word shingles the document with the least id stays, with all rows of that id."""
     found = near_duplicates(docs, words=5, percent=80)
     return without(docs, found.where("id <> component").select(F.col("id").alias("doc_id"))).select(*COLUMNS)
 
