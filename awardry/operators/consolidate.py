@@ -6,7 +6,7 @@ a name, year and court with a large share of all records would make one large ca
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import total_award
@@ -85,12 +85,27 @@ def consolidate(records: DataFrame, carry_other_damages: bool = True, claims: st
     ).drop("__found", "__injuries")
 
 
-def numbered(df: DataFrame, order: str = "ord", out: str = "id", prefix: str = "case_") -> DataFrame:
-    """df with out: case_0001 and so on in an order; sorted in parallel, and numbered partition by partition."""
-    ordered = df.orderBy(order)
-    schema = ordered.schema.add("__n", "long")
-    rows = ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(schema)
-    return rows.withColumn(out, F.format_string(f"{prefix}%04d", F.col("__n") + 1)).drop("__n")
+#: Ranges of the order within which rows are numbered by a window.
+RANGES = 64
+
+
+def numbered(df: DataFrame, order: str = "ord", then: list[str] | None = None, out: str = "id", prefix: str = "case_") -> DataFrame:
+    """df with out: case_0001 and so on by a numeric order, equal ones by the columns of then.
+
+    The order is cut into ranges at its quantiles; rows are numbered inside their range, from the number of rows
+    in the ranges before. No window goes over all rows, and only a count for each range comes to the driver.
+    """
+    bounds = sorted(set(df.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.25 / RANGES)))
+    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<double>"), lambda b: F.col(order) >= b))
+    df = df.withColumn("__range", part)
+    counts = dict(df.groupBy("__range").count().collect())
+    before, total = [], 0
+    for i in range(len(bounds) + 1):
+        before.append(total)
+        total += counts.get(i, 0)
+    n = F.row_number().over(Window.partitionBy("__range").orderBy(order, *(then or [])))
+    n = n + F.get(F.array(*[F.lit(x) for x in before]), F.col("__range"))
+    return df.withColumn(out, F.format_string(f"{prefix}%04d", n)).drop("__range")
 
 
 def _sum(a: Column, field: str) -> Column:
@@ -136,7 +151,7 @@ def per_plaintiff(cases: DataFrame, ids: bool = True) -> DataFrame:
         F.coalesce(F.get(region, F.lit(0)), F.col("category")).alias("region"), "category",
         dashboard_summary(own("injuries"), F.array("category"), own("comments"), most=None, label="Category: ").alias("summary_text"),
     )
-    return numbered(out.withColumn("__key", F.struct("ord", "plaintiff_no")), "__key").drop("__key") if ids else out
+    return numbered(out, "ord", ["plaintiff_no"]) if ids else out
 
 
 def flat(cases: DataFrame) -> DataFrame:
