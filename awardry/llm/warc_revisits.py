@@ -59,10 +59,9 @@ def with_earlier(records: DataFrame, key: str, slots: int = SLOTS) -> DataFrame:
 
     records has key, date, record_id, is_response and the struct "response".
     """
-    bounds = records.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    width = F.floor((F.col("hi") - F.col("lo")) / F.lit(slots)) + 1
-    slot = F.floor((F.col("date") - F.col("lo")) / width)
-    records = records.crossJoin(F.broadcast(bounds)).withColumn("slot", slot).drop("lo", "hi")  # bounds is one row
+    low, high = records.agg(F.min("date"), F.max("date")).first()
+    width = ((high or 0) - (low or 0)) // slots + 1
+    records = records.withColumn("slot", F.floor((F.col("date") - F.lit(low or 0)) / F.lit(width)))
     order = F.struct("date", "record_id")
     lasts = records.where("is_response").groupBy(key, "slot").agg(F.max_by("response", order).alias("last"))
     seen = Window.partitionBy(key).orderBy("slot")  # a row for each slot at most
