@@ -150,7 +150,13 @@ def quality_rules(
     kept: not base_failed, and no measure lies beyond the fences of the document's language and source.
     """
     featured = features(docs, text)
-    if not carry_text:
+    once = F.lit(True)
+    if carry_text:
+        # a filter on the verdict must not go below the counts, where it would make them again for each
+        # condition: filters don't pass columns that aren't deterministic
+        featured = featured.withColumn("__once", F.rand(8))
+        once = F.col("__once") >= 0
+    else:
         featured = stored(featured.drop(text), "quality_features")
     limits = stored(thresholds(sketches(featured), least_docs, fence), "quality_thresholds")
     featured = featured.drop(*[c for c in limits.columns if c not in ("lang", "source")])
@@ -163,8 +169,8 @@ def quality_rules(
             beyond = beyond | F.coalesce(v < F.col(f"low_{k}"), F.lit(False))
         if high:
             beyond = beyond | F.coalesce(v > F.col(f"high_{k}"), F.lit(False))
-    out = out.withColumns({"base_failed": base}).withColumn("kept", ~(F.col("base_failed") | beyond))
-    return out.drop(*[c for c in limits.columns if c not in ("lang", "source")])
+    out = out.withColumns({"base_failed": base}).withColumn("kept", ~(F.col("base_failed") | beyond) & once)
+    return out.drop("__once", *[c for c in limits.columns if c not in ("lang", "source")])
 
 
 def op8_quality_rules(spark, sf_dir) -> DataFrame:
