@@ -206,14 +206,21 @@ def across(members: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pairs (u, v) with 100 * intersection >= percent * union of their full shingle sets."""
+def confirmed(
+    pairs: DataFrame, docs: DataFrame, words: int, percent: int, key: str = "doc_id", text: str = "text", repeated: bool = True
+) -> DataFrame:
+    """The pairs (u, v) with 100 * intersection >= percent * union of their full shingle sets.
+
+    repeated: whether rows of docs may share an id. Where they don't, nothing has to be aggregated before the
+    joins, and Spark can split the partition of a representative with many partners.
+    """
     pairs = stored(pairs, "likely_pairs")
     ids = stored(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), "pair_ids")
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    texts = texts.groupBy("id").agg(F.min("text").alias("text"))
+    if repeated:
+        texts = texts.groupBy("id").agg(F.min("text").alias("text"))
     side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
 
     def run(batches):
@@ -240,6 +247,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     sketches = stored(sketch_table(docs, words, key, text), "sketches")
     # one class for each different set; partial aggregation takes up copies before the shuffle
     found = sketches.where("id is not null and n_shingles > 0")
+    repeated = not found.groupBy("id").count().where("count > 1").isEmpty()
     reps = found.groupBy("print").agg(F.min("id").alias("id"), F.min_by(F.struct(F.col("n_shingles").alias("n"), "regs"), "id").alias("r"))
     reps = stored(reps.select("print", "id", "r.n", "r.regs"), "classes")
 
@@ -249,7 +257,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     met = keys.join(heads, "key").where(F.col("id") != F.col("head.id")).where(near(F.col("n"), F.col("head.n")))
     met = met.groupBy(F.col("id").alias("u"), F.col("head.id").alias("v")).agg(F.count("*").alias("c"))
     first = met.groupBy("u").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("v"))
-    edges = stored(confirmed(likely(first, reps, similarity), docs, words, percent, key, text), "links")
+    edges = stored(confirmed(likely(first, reps, similarity), docs, words, percent, key, text, repeated), "links")
 
     labels = components(edges)
     labelled = reps.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -259,7 +267,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     ).where("lo < hi").select("key", "head", "size")
     members = stored(keys.join(mixed_keys, "key"), "mixed_buckets")
     apart = across(members, reps, similarity).distinct()
-    more = confirmed(likely(apart, reps, similarity), docs, words, percent, key, text)
+    more = confirmed(likely(apart, reps, similarity), docs, words, percent, key, text, repeated)
     labels = components(edges.union(more))
 
     classes = reps.join(labels, "id", "left").select(F.col("print"), F.coalesce("component", "id").alias("component"))
