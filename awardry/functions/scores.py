@@ -89,8 +89,13 @@ def meta_score(injuries: Column, comments: Column, sex: Column, age: Column, wan
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
-#: Weights of the parts of a search.
+#: Weights of the parts of a search, the default and two others.
 WEIGHTS = {"semantic": 0.15, "injury": 0.40, "keyword": 0.35, "meta": 0.10}
+PRESETS = {
+    "balanced": WEIGHTS,
+    "medical": {"semantic": 0.10, "injury": 0.65, "keyword": 0.20, "meta": 0.05},
+    "impact": {"semantic": 0.15, "injury": 0.15, "keyword": 0.60, "meta": 0.10},
+}
 
 
 def weights(with_categories: bool, given_weights: dict[str, float] | None = None, normalise: bool = False) -> dict[str, float]:

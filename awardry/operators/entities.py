@@ -87,3 +87,25 @@ def selected(df: DataFrame, column: str, names: list[str], most: int = 8) -> Dat
     if len(names) > most:
         raise ValueError(f"at most {most} can be compared")
     return df.where(F.col(column).isin(names))
+
+
+def all_judges(cases: DataFrame, judges: str = "judges") -> DataFrame:
+    """The different judges, in title case."""
+    return by_judge(cases.select(judges), judges).select("judge").distinct()
+
+
+def all_relationships(cases: DataFrame, claims: str = "claims") -> DataFrame:
+    """The different relationships of awards."""
+    return awards(cases, claims).select("relationship").distinct()
+
+
+def year_bounds(cases: DataFrame, year: str = "year") -> DataFrame:
+    """first and last year; 0 counts as missing."""
+    real = F.nullif(F.col(year), F.lit(0))
+    return cases.agg(F.min(real).alias("first"), F.max(real).alias("last"))
+
+
+def timeline_points(rows: DataFrame, by: str, amount: str = "amount", adjusted: str = "adjusted", keep: tuple[str, ...] = ()) -> DataFrame:
+    """A point for each row with a year and an award above 0: by, year, award, adjusted (the award where there is none) and more columns."""
+    good = rows.where(F.col("year").isNotNull() & (F.col(amount) > 0))
+    return good.select(by, "year", F.col(amount).alias("award"), F.coalesce(F.nullif(F.col(adjusted), F.lit(0.0)), F.col(amount)).alias("adjusted"), *keep)

@@ -78,6 +78,31 @@ def judge_case_counts_top10(spark, sf_dir):
     return entities.judge_counts(A.judged_cases(spark, sf_dir)).orderBy(F.desc("n"), "judge").limit(10)
 
 
+@query(f"with {A.JUDGED_SQL} select judge, year, amount as award, coalesce(nullif(adjusted, 0), amount) as adjusted, court from jc where year is not null and amount > 0")
+def judge_timeline_points(spark, sf_dir):
+    return entities.timeline_points(entities.judge_cases(A.judged_cases(spark, sf_dir)), "judge", keep=("court",))
+
+
+@query("select distinct s_name as judge from lineitem join supplier on l_suppkey = s_suppkey join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey")
+def all_judges(spark, sf_dir):
+    return entities.all_judges(A.judged_cases(spark, sf_dir))
+
+
+@query(f"with {A.CLAIMS_SQL} select distinct relationship from aw")
+def all_relationships(spark, sf_dir):
+    return entities.all_relationships(A.claimed_cases(spark, sf_dir))
+
+
+@query(f"with {A.CASES_SQL} select min(nullif(year, 0)) as first, max(nullif(year, 0)) as last from cases")
+def year_bounds(spark, sf_dir):
+    return entities.year_bounds(A.cases(spark, sf_dir))
+
+
+@query(f"with {A.CASES_SQL} select category, count(*) as n from cases group by 1 order by n desc, 1 limit 10")
+def category_counts_top10(spark, sf_dir):
+    return statistics.counts(A.cases(spark, sf_dir), "category").orderBy(F.desc("n"), "category").limit(10)
+
+
 def outlier_sql(by: str) -> str:
     on = f"on b.{by} is not distinct from cases.{by}" if by else "on true"
     group = f"group by {by}" if by else ""
