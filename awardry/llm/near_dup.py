@@ -153,6 +153,8 @@ def across(members: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
     members has key, id, n, component, head (the component of the bucket's representative) and size. Those
     outside the head's component are held, LEFT at a time, against all members, RIGHT at a time, inside
     tasks: pairs that are ruled out never become rows, and no task gets more than LEFT + RIGHT rows at once.
+    Each member comes with the keys of all its mixed buckets, one for each band at most: a pair that shares
+    several buckets is returned by the one with the least key, where it is compared as in all others.
     """
     least = similarity - MARGIN * math.sqrt(similarity * (1 - similarity) / SHORT)
     percent = round(similarity * 100)
@@ -164,13 +166,14 @@ def across(members: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in low], pa.binary())], ["id", "short"])
 
     short = reps.select("id", "regs").mapInArrow(shorten, "id long, short binary")
+    short = short.join(members.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
     outside = members.where("component <> head").groupBy("key").agg(F.count("*").alias("outside"))
     lefts, rights = F.ceil(F.col("outside") / LEFT).cast("int"), F.ceil(F.col("size") / RIGHT).cast("int")
     rows = members.join(outside, "key").join(short, "id").withColumns({"l": F.pmod(F.xxhash64("id"), lefts).cast("int"), "r": F.pmod(F.xxhash64("id", F.lit(1)), rights).cast("int")})
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = rows.where("component <> head").withColumns({"left": F.lit(True), "r": every(rights)})
     right = rows.withColumns({"left": F.lit(False), "l": every(lefts)})
-    names = ["key", "l", "r", "left", "id", "n", "component", "head", "short"]
+    names = ["key", "l", "r", "left", "id", "n", "component", "head", "short", "keys"]
     dealt = left.select(*names).union(right.select(*names)).repartition("key", "l", "r").sortWithinPartitions("key", "l", "r")
 
     def pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -180,11 +183,15 @@ def across(members: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
         us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(a) and len(b):
             low = np.frombuffer(b"".join(group.column("short").to_pylist()), np.uint8).reshape(-1, SHORT)
+            key, keys = group.column("key")[0].as_py(), None
             for i in a:
                 js = b[component[b] != component[i]]
                 js = js[(component[js] == head[i]) | (ids[js] > ids[i])]
                 js = js[np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * percent]
                 js = js[(low[js] == low[i]).sum(1) >= least * SHORT]
+                if len(js):
+                    keys = keys or [set(k) for k in group.column("keys").to_pylist()]
+                    js = js[[min(keys[i] & keys[j]) == key for j in js]]
                 us.append(np.full(len(js), ids[i]))
                 vs.append(ids[js])
         return np.concatenate(us), np.concatenate(vs)
