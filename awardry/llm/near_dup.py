@@ -40,7 +40,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65_534
 #: A pair whose estimate lies so many standard deviations below the threshold isn't confirmed.
 MARGIN = 6
 #: Registers that members of a mixed bucket are first compared by, and members compared at once.
-SHORT, LEFT, RIGHT = 256, 256, 2048
+SHORT, LEFT, RIGHT = 512, 256, 2048
 #: Ids to broadcast at most.
 BROADCAST_ROWS = 200_000
 
