@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +81,12 @@ def keyword_scores(documents: DataFrame, queries: DataFrame, mean_length: float
     return docs.join(q, "token").groupBy("query_id", "id").agg(score.alias("keyword"))
 
 
+def case_meta(q: Query) -> Column:
+    """The meta score of a case against a query."""
+    wanted = F.array(*[F.lit(i) for i in q.injuries]) if q.injuries else F.array().cast("array<string>")
+    return meta_score(F.col("injuries"), F.col("comments"), F.col("sex"), F.col("age"), wanted, F.lit(q.gender), F.lit(q.age), F.lit(q.text))
+
+
 def scored(cases: DataFrame, q: Query, given_weights: dict[str, float] | None = None) -> DataFrame:
     """The cases of the selected categories with injury_sim and combined.
 
@@ -89,9 +98,7 @@ def scored(cases: DataFrame, q: Query, given_weights: dict[str, float] | None =
     document = document_tokens(F.col("injuries"), F.col("comments"), F.col("case_name"), F.col("summary_text"))
     total = vector(q.full_vector) * w["semantic"] + F.col("injury_sim") * w["injury"] + keyword_score(document, q.keywords) * w["keyword"]
     if w["meta"]:
-        wanted = F.array(*[F.lit(i) for i in q.injuries]) if q.injuries else F.array().cast("array<string>")
-        meta = meta_score(F.col("injuries"), F.col("comments"), F.col("sex"), F.col("age"), wanted, F.lit(q.gender), F.lit(q.age), F.lit(q.text))
-        total = total + meta * w["meta"]
+        total = total + case_meta(q) * w["meta"]
     return rows.withColumn("injury_sim", vector(q.injury_vector)).withColumn("combined", total)
 
 
@@ -113,6 +120,78 @@ def top_of_each(results: DataFrame, by: str, n: int, score: str = "combined", or
     return results.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def unit(vectors: pd.Series) -> np.ndarray:
+    """A matrix of vectors of length 1; zero vectors stay zero."""
+    m = np.stack([np.asarray(v, np.float64) for v in vectors])
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norms == 0, 1, norms)
+
+
+def block_best(block: pd.DataFrame, ids: np.ndarray, vectors: np.ndarray, weight: float, n: int) -> pd.DataFrame:
+    """For each query the n best names of a block of cases, each with its best case; more where the n-th score is shared."""
+    block = block.sort_values(["name", "id"], kind="stable", ignore_index=True)
+    name = block["name"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+    ends = np.r_[starts[1:], len(block)]
+    similarity = vectors @ unit(block["vec"]).T
+    total = np.round(similarity * weight + block["rest"].to_numpy(), 9)
+    best = np.maximum.reduceat(total, starts, axis=1)
+    k = min(n, len(starts))
+    q, s = np.nonzero(best >= -np.partition(-best, k - 1, axis=1)[:, k - 1 : k])
+    at = np.array([a + total[i, a:b].argmax() for i, a, b in zip(q, starts[s], ends[s])], int)
+    found = block.loc[at, ["id", "case_name", "name"]].reset_index(drop=True)
+    return found.assign(query_id=ids[q], similarity=similarity[q, at], combined=total[q, at])
+
+
+def search_many(cases: DataFrame, queries: DataFrame, q: Query, n: int = 5, given_weights: dict[str, float] | None = None, most: int = 8192) -> DataFrame:
+    """(query_id, id, case_name, similarity, combined, rank): for each query the n best of all cases, one for each name.
+
+    queries: query_id and vec, in place of q's vectors; the rest of q holds for all of them. Every category counts as
+    selected. Blocks of at most ``most`` queries are held in the tasks against all cases: pairs are never rows, only
+    the running n best of each task are. cases as for scored; those without a vector or a name go.
+    """
+    w = weights(True, given_weights)
+    weight = w["semantic"] + w["injury"]
+    document = document_tokens(F.col("injuries"), F.col("comments"), F.col("case_name"), F.col("summary_text"))
+    rest = keyword_score(document, q.keywords) * w["keyword"] + case_meta(q) * w["meta"]
+    name = F.lower(F.trim("case_name"))
+    spark = cases.sparkSession
+    rows = cases.where(F.col("vec").isNotNull() & (F.coalesce(name, F.lit("")) != ""))
+    rows = rows.select("id", "case_name", name.alias("name"), "vec", rest.alias("rest"))
+    # as many parts at any size of the input, as each part returns n rows for each query
+    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism)
+    queries = queries.select("query_id", "vec").where(F.col("vec").isNotNull())
+    blocks = max(1, -(-queries.count() // most))
+    if blocks > 1:
+        rows = rows.persist(StorageLevel.DISK_ONLY)
+    columns = "query_id long, id long, case_name string, name string, similarity double, combined double"
+    out = None
+    for b in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()  # one bounded block
+        if own.empty:
+            continue
+        held = spark.sparkContext.broadcast((own["query_id"].to_numpy(), unit(own["vec"])))
+
+        def run(batches, held=held):
+            ids, vectors = held.value
+            best = None
+            for batch in batches:
+                for i in range(0, len(batch), 4096):
+                    block = batch.iloc[i : i + 4096]
+                    new = [block_best(block, ids[j : j + 512], vectors[j : j + 512], weight, n) for j in range(0, len(ids), 512)]
+                    best = pd.concat([*new, *([] if best is None else [best])])
+                    best = best.sort_values(["combined", "id"], ascending=[False, True]).drop_duplicates(["query_id", "name"])
+                    best = best.groupby("query_id", sort=False).head(n)
+            if best is not None:
+                yield best[["query_id", "id", "case_name", "name", "similarity", "combined"]]
+
+        part = rows.mapInPandas(run, columns)
+        out = part if out is None else out.union(part)
+    if out is None:
+        out = spark.createDataFrame([], columns)
+    return top_of_each(deduplicated(out, ["query_id"], order="id"), "query_id", n, order="id").drop("name")
+
+
 def search(cases: DataFrame, q: Query, n: int = 25, given_weights: dict[str, float] | None = None, dismissed: DataFrame | None = None) -> DataFrame:
     """The n best cases, one for each name, without those whose id is in dismissed."""
     if dismissed is not None:

@@ -348,10 +348,11 @@ def hybrid_search(spark, sf_dir):
 s as (select qid as query_id, vec_id as id, round(list_dot_product(e.embedding::double[], qe::double[]) / sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) / sqrt(list_dot_product(qe::double[], qe::double[])), 6) as similarity from embeddings e, qv)
 select query_id, id, similarity, rank::int as rank from (select *, row_number() over (partition by query_id order by similarity desc, id) as rank from s) where rank <= 5""")
 def hybrid_search_multi(spark, sf_dir):
-    e = A.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    queries = e.where("id < 8").select(F.col("id").alias("query_id"), F.col("vec").alias("q"))  # a stated query set
-    pairs = e.crossJoin(F.broadcast(queries)).select("query_id", "id", F.round(scores.cosine(F.col("vec"), F.col("q")), 6).alias("similarity"))
-    return search.top_of_each(pairs, "query_id", 5, "similarity", "id")
+    """The query set are the rows whose id is divisible by 20; each is held against all rows."""
+    cases = A.text_cases(spark, sf_dir)
+    e = A.table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    best = search.search_many(cases, e, QUERY, 5)
+    return best.select("query_id", "id", "case_name", F.round("similarity", 6).alias("similarity"), F.round("combined", 6).alias("combined"), "rank")
 
 
 @query(f"with {SEARCH_SQL} select rank::int as number, case_name, year, source as court, damages, round(combined * 100, 1) as match_percent, case when length(comments) > 400 then left(comments, 400) || '...' else comments end as summary_text from best where rank <= 10")
