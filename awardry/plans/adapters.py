@@ -99,11 +99,11 @@ def parsed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a vector, as cases for search: the source and language as name, the language as region, the first words as injuries."""
+    """Documents with a vector, as cases for search: the source and language as name, the language as region, the different words as injuries."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     rows = d.join(e, F.col("doc_id") == F.col("vec_id"))
-    words = F.filter(F.split(F.lower(F.left("text", F.lit(80))), "[^a-z]+"), lambda w: F.char_length(w) > 1)
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.char_length(w) > 1)
     return rows.select(
         F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"), F.concat_ws(" ", "source", "lang").alias("case_name"), F.array_distinct(words).alias("injuries"),
         F.col("text").alias("comments"), F.lit(None).cast("string").alias("summary_text"), F.when(F.col("doc_id") % 3 == 0, "F").when(F.col("doc_id") % 3 == 1, "M").alias("sex"),

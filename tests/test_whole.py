@@ -5,6 +5,8 @@ from awardry.plans import queries as Q
 
 from tests.test_queries import SF, duck, rows_of  # noqa: F401
 
+#: Injuries from whole texts.
+WHOLE = ("left(text, 80)", "text")
 #: Against SEARCH_SQL: all languages, the vector of each row whose id is divisible by 20.
 MANY_SQL = f"""with {Q.TEXT_CASES_SQL}, dt as (select *, {Q.TOKENS_SQL.format(Q._DOC)} as ts from tcases),
 base as (select *, ({Q._KW}) * 0.35 + ({Q.META_SQL}) * 0.1 as rest from dt),
@@ -13,7 +15,7 @@ s as (select query_id, id, case_name, rest, list_dot_product(embedding::double[]
 sc as (select *, round(sim * 0.55 + rest, 9) as combined from s),
 dd as (select * from (select *, row_number() over (partition by query_id, lower(trim(case_name)) order by combined desc, id) as k from sc) where k = 1)
 select query_id, id, case_name, round(sim, 6) as similarity, round(combined, 6) as combined, rank::int as rank
-from (select *, row_number() over (partition by query_id order by combined desc, id) as rank from dd) where rank <= 5"""
+from (select *, row_number() over (partition by query_id order by combined desc, id) as rank from dd) where rank <= 5""".replace(*WHOLE)
 
 
 def test_hybrid_search_multi_takes_every_twentieth_row(spark, duck):  # noqa: F811
@@ -28,3 +30,15 @@ def test_search_many_in_several_blocks(spark, most):
     queries = cases.where("id % 4 = 0").selectExpr("id as query_id", "vec").limit(3 * most).localCheckpoint()
     rows = lambda **k: rows_of(Q.search.search_many(cases, queries, Q.QUERY, 3, **k).toPandas().round(6))
     assert rows(most=most) == rows()
+
+
+@pytest.mark.parametrize("name", ["meta_score", "hybrid_search", "report_top_cases", "report_summary"])
+def test_injuries_of_whole_texts(spark, duck, name):  # noqa: F811
+    sql = Q.ORACLE_SQL[name].replace(*WHOLE)
+    assert rows_of(Q.QUERIES[name](spark, SF).toPandas()) == rows_of(duck.sql(sql).df())
+
+
+def test_an_injury_after_the_first_characters_counts(spark, tmp_path):
+    spark.createDataFrame([(1, "x " * 60 + "thion", "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, [1.0] * 64)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert Q.QUERIES["meta_score"](spark, str(tmp_path)).first()["overlap"] == 0.25
