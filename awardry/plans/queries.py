@@ -435,14 +435,21 @@ def section_fill(spark, sf_dir):
 
 
 _TERMS = [r"\b(thion \w+)", r"\b(\w+ of the)", r"\b(idiot|clown)\b"]
+#: The same with ASCII boundaries, as in SQL: Java's \b may know other letters than its \w.
+_BEFORE, _AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+_ASCII_TERMS = [rf"{_BEFORE}(thion \w+)", rf"{_BEFORE}(\w+ of the)", rf"{_BEFORE}(idiot|clown){_AFTER}"]
 _TERMS_SQL = " || ".join(f"regexp_extract_all(lower(coalesce(text, '')), '{p}', 1)" for p in _TERMS)
 
 
 @query(f"select doc_id, array_to_string(list_transform({_TERMS_SQL}, lambda x: trim(x)), '|') as terms, case when regexp_matches(lower(text), 'severe|significant|major|profound') then 'severe' when regexp_matches(lower(text), 'mild|minor|slight') then 'mild' else 'moderate' end as severity from documents where lang = 'en'")
 def extract_terms_regex(spark, sf_dir):
-    docs = A.table(spark, sf_dir, "documents").where("lang = 'en'")
-    found_terms = text.matches(F.lower(F.coalesce("text", F.lit(""))), _TERMS)
-    return docs.select("doc_id", F.array_join(found_terms, "|").alias("terms"), text.report_severity(F.col("text")).alias("severity"))
+    docs = A.table(spark, sf_dir, "documents")
+    found_terms = text.matches(F.lower(F.coalesce("text", F.lit(""))), _ASCII_TERMS)
+    joined = lambda found, name: F.array_join(F.coalesce(found, F.array().cast("array<string>")), "|").alias(name)
+    return docs.select(
+        "doc_id", joined(found_terms, "terms"), text.report_severity(F.col("text")).alias("severity"), joined(text.comment_injuries(F.col("text")), "injuries"),
+        joined(text.report_findings(F.col("text"), fixed.REPORT_INJURIES), "findings"), joined(text.report_findings(F.col("text"), fixed.REPORT_SEQUELAE), "sequelae"),
+    )
 
 
 _PARTS = [("idiot", ["knee_left", "knee_right"]), ("worthless", ["shoulder_left", "shoulder_right"]), ("scum", ["spine"]), ("trash", [])]
