@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..working import new_path, shared_dir, stored  # noqa: F401
+
 #: Characters between words, as the inside of a regular expression's class.
 SPACE = r"\x20\x09-\x0D"
 
@@ -18,30 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where it is unset, as in tests on one machine, a new local folder is taken.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def filled(df: DataFrame, name: str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(df[name].cast("string"), F.lit(""))
@@ -78,3 +54,10 @@ def join_small(left: DataFrame, small: DataFrame, keys: list[str], bound: int, s
     on = [left[k].eqNullSafe(right[f"__{k}"]) for k in keys]
     joined = left.join(right, [*on, left["__salt"] == right["__salt_r"]], "left")
     return joined.drop("__salt", "__salt_r", *[f"__{k}" for k in keys])
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, by: str, salts: int = 16) -> DataFrame:
+    """Inner join with a table that is unique in key; left rows of one key are spread over the salts by the column ``by``."""
+    left = left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "__salt"]).drop("__salt")

@@ -24,9 +24,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id that each end of the edges (u, v) can reach.
 
-    Large-star and small-star rounds in turn, until the edges are stars about the least ids. All
-    aggregations combine before their shuffle, so a hub's edges don't meet in one task; each round
-    is written to the shared folder. Ids without edges aren't returned.
+    Large-star and small-star rounds in turn, until the edges are stars about the least ids. The
+    aggregations combine before their shuffle. The joins bring a hub's edges, rows of two numbers, to the
+    partition of the hub, which adaptive execution splits where it is large; each round is written to the
+    shared folder. Ids without edges aren't returned.
     """
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     edges = stored(edges.select("u", "v").where("u <> v").distinct(), "edges")

@@ -74,3 +74,48 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90)], "u long, v long")
     got = {r.id: r.component for r in components(edges).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 90: 90, 100: 90}
+
+
+def test_different_texts_of_one_id(spark):
+    rng = random.Random(3)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a), (5, [*a, "x"]), (7, b), (9, [*b, "y"]), (9, [*a, "q"])]
+    found = near_duplicates(docs(spark, [(i, " ".join(w)) for i, w in rows]), words=2)
+    assert sorted((r.id, r.component) for r in found.collect()) == [(1, 1), (5, 1), (7, 7), (9, 1), (9, 7)]
+
+
+def near_group(size, passages, edits):
+    """Copies of one text with so many words exchanged: some are linked with some, many pairs lie below 0.8."""
+    rng = random.Random(size)
+    base, rows = prose(rng, passages), []
+    for i in range(size):
+        copy = list(base)
+        for _ in range(rng.randrange(*edits)):
+            copy[rng.randrange(len(copy))] = "x" + str(rng.randrange(10**6))
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_large_group_of_near_copies_and_its_recall(spark):
+    """2,000 copies between 0.6 and 0.9 of one another, beside 3,000 other texts: all links of 5,000 documents are found."""
+    rng = random.Random(8)
+    rows = near_group(2000, 150, (4, 26)) + [(i, " ".join(prose(rng, 40))) for i in range(2000, 5000)]
+    sets = [shingle_set(t, 2) for _, t in rows[:2000]]
+    values, places = np.unique(np.concatenate(sets), return_inverse=True)
+    member = np.zeros((2000, len(values)), np.float32)
+    member[np.repeat(np.arange(2000), [len(s) for s in sets]), places] = 1
+    shared, n = member @ member.T, np.array([len(s) for s in sets])
+    similar = shared / (n[:, None] + n - shared)
+    pairs = similar[np.triu_indices(2000, 1)]
+    assert (pairs < 0.8).mean() > 0.3 and ((pairs > 0.7) & (pairs < 0.8)).mean() > 0.2
+    linked, root = 100 * shared >= 80 * (n[:, None] + n - shared), np.full(2000, -1)
+    for i in range(2000):  # components by a walk over exact links
+        stack = [i] if root[i] < 0 else []
+        while stack:
+            j = stack.pop()
+            if root[j] < 0:
+                root[j] = i
+                stack += np.flatnonzero(linked[j] & (root < 0)).tolist()
+    found = {r.id: r.component for r in near_duplicates(docs(spark, rows), words=2).collect()}
+    assert [found[i] for i in range(2000)] == root.tolist()
+    assert all(found[i] == i for i in range(2000, 5000))
