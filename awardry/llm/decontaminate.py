@@ -7,7 +7,7 @@ A document is held against the partitions whose items it is large enough to cont
 reach the partition's least share (missed with a probability of 1e-9 at the threshold; exact where
 the sketch is the whole set) are verified by exact containment of their full shingle sets.
 Documents aren't shuffled: the items go to them in blocks of a bounded number of shingles, one pass
-for each block.
+for each block: benchmarks of hundreds of millions of words take some tens of passes.
 
 Edge cases: a null or empty text has no shingles: such an item is in no document, such a document
 holds no item. An item of fewer words than a shingle is one shingle of that many words and is found

@@ -4,6 +4,7 @@ Each rule's regular expression is turned into a Boolean query over case-folded t
 ANDs). The index has, for each trigram that some rule asks for and each block of documents, the
 sorted ids of the documents which hold it; a rule's postings are intersected block by block, the
 documents left are verified with the expression itself, and the rest are not scanned for that rule.
+The number of blocks follows the number of documents, which Parquet tells without reading them.
 A rule without mandatory trigrams scans every document. Only DataFrame functions are used.
 
 Edge cases: a null text counts as empty. Documents with a null id aren't indexed: all rules scan
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled, join_small, stored
+from .common import filled, stored
 
 
 @dataclass(frozen=True)
@@ -45,7 +46,7 @@ RULES = (
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{20,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"),
 )
 
 #: Classes of up to so many folded characters, and runs of up to so many strings, are spelled out.
@@ -189,6 +190,14 @@ def spans(text: Column, rule: Rule) -> Column:
     )
 
 
+def with_kinds(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """docs with __kinds of found, which is unique in key; rows without a key, which match nothing, don't meet in one task."""
+    if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(found), key, "left")
+    spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(text), F.lit(4096))).otherwise(0)
+    return docs.withColumn("__spread", spread).join(found.withColumn("__spread", F.lit(0).cast("long")), [key, "__spread"], "left").drop("__spread")
+
+
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with secrets: array<struct<start, rank, kind, end>>, by start, then in the rules' order."""
     plan = {r.kind: trigram_query(r.pattern) for r in rules}
@@ -198,7 +207,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "d
         vocabulary = sorted({t for q in plan.values() for conj in q for t in conj})
         index = trigram_index(docs.select(key, text), vocabulary, key, text)
         found = stored(candidates(index, plan), "secret_candidates").select(F.col("id").alias(key), F.col("kinds").alias("__kinds"))
-        docs = join_small(docs, found, [key], BROADCAST_ROWS, salts=1)
+        docs = with_kinds(docs, found, key, text)
     else:
         docs = docs.withColumn("__kinds", F.array().cast("array<string>"))
     body = filled(docs, text)

@@ -187,7 +187,7 @@ def write_records(docs: DataFrame, path: str, end_id: int = 1, tokenizer: str |
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": f"{path}/{name}", "n_docs": len(entries), "n_tokens": total}], schema)
 
     schema = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).repartitionByRange("id", F.substring("text", 1, 32)).sortWithinPartitions("id", "text")
     shards = sorted(tuple(r) for r in rows.mapInArrow(run, "shard int, path string, n_docs long, n_tokens long").collect())
     starts = np.cumsum([0, *[s[3] for s in shards]])
     return spark.createDataFrame([(*s, int(b)) for s, b in zip(shards, starts)], "shard int, path string, n_docs long, n_tokens long, start long")

@@ -4,28 +4,25 @@ A rule is a host and a path, to allow or to block. It fits its host and all subd
 path starts with the rule's; among the rules that fit, the one with most host labels wins, then the
 one with the longest path; of equal rules, block wins. Rules are compiled to a trie: host labels from
 the last to the first, then whole path segments, then rests of segments. The trie goes to all
-executors if the rule table has at most BROADCAST_RULES rows. Beyond that the same answer comes from
-an equi-join of the rules with the few (host suffix, path prefix) keys that a URL has.
+executors if the rule table has at most BROADCAST_RULES rows and BROADCAST_CHARS characters. Beyond that
+the same answer comes from an equi-join of the rules with the (host suffix, path prefix) keys that a URL has.
 
 Edge cases: a null URL, or one without ``://``, has an empty host and path, which no rule fits. The
 host keeps a port or user name, so it fits only rules that have them. No rule that fits: rule null,
 and the verdict is ``default``. Repeated rows are each judged. An empty table gives an empty result.
 Other columns pass through; columns with the names of the results are replaced. Rules with a null
-host or path are left out.
+host or path are left out. Very long paths are judged whole.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name
 
-#: Rules in a trie that is broadcast, at most.
-BROADCAST_RULES = 1_000_000
+#: Rules in a trie that is broadcast, and characters in all of them, at most.
+BROADCAST_RULES, BROADCAST_CHARS = 200_000, 16_000_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,57 +36,50 @@ RULES = [
 ]
 
 
-class Rule(NamedTuple):
-    verdict: str
-    host: str
-    path: str
-
-
-class Node:
-    __slots__ = ("labels", "segments", "rests")
-
-    def __init__(self):
-        self.labels: dict[str, Node] = {}
-        self.segments: dict[str, Node] = {}
-        #: rest of a segment -> rule
-        self.rests: dict[str, Rule] = {}
-
-
-def compiled(rules) -> Node:
-    root = Node()
-    for rule in sorted({Rule(*r) for r in rules if None not in tuple(r)}):  # allow before block, which replaces it
-        node = root
-        for label in reversed(rule.host.split(".")):
-            node = node.labels.setdefault(label, Node())
-        *whole, rest = rule.path.split("/")
-        for segment in whole:
-            node = node.segments.setdefault(segment, Node())
-        node.rests[rest] = rule
-    return root
-
-
-def longest(root: Node, host: str, path: str) -> Rule | None:
-    """The rule that wins for a host and a path."""
-    hosts, node = [], root
-    for label in reversed(host.split(".")):
-        node = node.labels.get(label)
-        if node is None:
-            break
-        hosts.append(node)
-    segments = path.split("/")
-    for node in reversed(hosts):
-        best = None
-        for segment in segments:
-            for n in range(len(segment), -1, -1) if node.rests else ():
-                if segment[:n] in node.rests:
-                    best = node.rests[segment[:n]]
-                    break
-            node = node.segments.get(segment)
+class Trie:
+    """Nodes are numbers, and arcs are in flat tables, however deep the rules: (node, label or segment) -> node."""
+
+    def __init__(self, rules):
+        self.labels: dict[tuple[int, str], int] = {}
+        self.segments: dict[tuple[int, str], int] = {}
+        #: (node, rest of a segment) -> verdict, host, path
+        self.rests: dict[tuple[int, str], tuple[str, str, str]] = {}
+        #: longest rest of each node that has one
+        self.longest: dict[int, int] = {}
+        nodes = 0
+        for verdict, host, path in sorted({tuple(r) for r in rules if None not in tuple(r)}):  # allow before block, which replaces it
+            node = 0
+            *whole, rest = path.split("/")
+            for arcs, name in [*((self.labels, x) for x in reversed(host.split("."))), *((self.segments, x) for x in whole)]:
+                if (node, name) not in arcs:
+                    nodes += 1
+                    arcs[node, name] = nodes
+                node = arcs[node, name]
+            self.rests[node, rest] = verdict, host, path
+            self.longest[node] = max(self.longest.get(node, 0), len(rest))
+
+    def rule(self, host: str, path: str) -> tuple[str, str, str] | None:
+        """The rule that wins for a host and a path."""
+        hosts, node = [], 0
+        for label in reversed(host.split(".")):
+            node = self.labels.get((node, label))
             if node is None:
                 break
-        if best is not None:
-            return best
-    return None
+            hosts.append(node)
+        segments = path.split("/")
+        for node in reversed(hosts):
+            best = None
+            for segment in segments:
+                for n in range(min(len(segment), self.longest.get(node, -1)), -1, -1):
+                    if (node, segment[:n]) in self.rests:
+                        best = self.rests[node, segment[:n]]
+                        break
+                node = self.segments.get((node, segment))
+                if node is None:
+                    break
+            if best is not None:
+                return best
+        return None
 
 
 def with_parts(pages: DataFrame, url: str) -> DataFrame:
@@ -108,19 +98,17 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     """
     rules = rules.select("verdict", "host", "path").dropna().distinct()
     pages = with_parts(pages.drop("rule", "verdict"), url)
-    held = rules.limit(broadcast_rules + 1).collect()
-    if len(held) > broadcast_rules:
+    size = rules.agg(F.count("*"), F.coalesce(F.sum(F.length("host") + F.length("path")), F.lit(0))).first()
+    if size[0] > broadcast_rules or size[1] > BROADCAST_CHARS:
         return _joined(pages, rules, default)
-    trie = pages.sparkSession.sparkContext.broadcast(compiled(held))
+    trie = pages.sparkSession.sparkContext.broadcast(Trie(rules.collect()))
 
     @F.pandas_udf("rule string, verdict string")
     def judge(host, path):
         import pandas as pd
 
-        found = [longest(trie.value, h, p) for h, p in zip(host, path)]
-        return pd.DataFrame(
-            {"rule": [r and r.host + r.path for r in found], "verdict": [r.verdict if r else default for r in found]}, dtype="object"
-        )
+        found = [trie.value.rule(h, p) for h, p in zip(host, path)]
+        return pd.DataFrame({"rule": [r and r[1] + r[2] for r in found], "verdict": [r[0] if r else default for r in found]}, dtype="object")
 
     out = free_name(pages, "__judged")
     pages = pages.withColumn(out, judge("host", "path"))
