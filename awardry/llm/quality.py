@@ -3,9 +3,15 @@
 Cutoffs are not fixed numbers. For each language and source a mergeable quantile sketch of four
 text measures is kept: a histogram whose buckets have a relative width of 1/32 at most (whole
 numbers below 64 are exact). Sketches merge by adding counts, so the result is the same in
-whatever order partitions arrive. A group's cutoffs are fences about its quartiles; groups with
-few documents take the fences of the sketch merged over their language, then over everything.
-Only DataFrame functions are used.
+whatever order partitions arrive. They hold the documents that pass the base rule, which is fixed.
+A sketch's fence lies FENCE times as far from its median as its 85th (below: 15th) percentile does,
+each taken at the far end of its bucket, so that it follows the bulk of the documents, however many of the rest are junk up to a seventh.
+The fence of a group is the wider of its source's and its language's: a source may earn a wider
+fence. Sketches of few documents don't count; the language's then stands, or that over everything.
+
+A rate (symbols, repeated lines, repeated words) fails if it exceeds the fence by more than its own
+sampling error, Z standard deviations of its count: one repeated line is no rate. Only DataFrame
+functions are used.
 
 Edge cases: a null text counts as empty (no words; base_failed). Null lang or source form groups
 of their own. Repeated rows each get a verdict, and count each. An empty table gives an empty
@@ -20,17 +26,19 @@ from pyspark.sql import Window
 
 from .common import SPACE, filled, join_small, stored
 
-#: name -> (low fence is used, high fence is used, least distance of a fence from the quartile)
-MEASURES = {
-    "symbols_permille": (False, True, 150),
-    "dup_lines_permille": (False, True, 500),
-    "repeats_permille": (False, True, 400),
-    "word_length_centi": (True, True, 300),
+#: Rates per thousand that have a high fence: name -> (count, of how many).
+RATES = {
+    "symbols_permille": ("n_symbols", "n_words"),
+    "dup_lines_permille": ("n_dup_lines", "n_lines"),
+    "repeats_permille": ("n_repeat_words", "n_words"),
 }
-#: A fence lies so many interquartile ranges beyond the quartile.
-FENCE = 3
-#: Groups with fewer documents take the sketch of the level above.
-LEAST_DOCS = 200
+#: The mean length of words in hundredths of a character, which has a low fence too.
+LENGTH = "word_length_centi"
+MEASURES = (*RATES, LENGTH)
+#: Percentiles of a sketch: low, median, high; distances from the median at which fences lie; standard deviations.
+LOW, MIDDLE, HIGH, FENCE, Z = 15, 50, 85, 10, 3.0
+#: Sketches of fewer documents don't count.
+LEAST_DOCS = 30
 #: Up to so many repeated windows are looked up one by one.
 FEW = 12
 #: Threshold tables of up to so many rows are broadcast.
@@ -78,14 +86,14 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def measures() -> dict[str, Column]:
-    """The measures of MEASURES from the columns of features(), as whole numbers; null without words."""
-    words = F.expr("nullif(n_words, 0)")
-    return {
-        "symbols_permille": F.floor(F.col("n_symbols") * 1000 / words),
-        "dup_lines_permille": F.floor(F.col("n_dup_lines") * 1000 / F.expr("nullif(n_lines, 0)")),
-        "repeats_permille": F.floor(F.col("n_repeat_words") * 1000 / words),
-        "word_length_centi": F.floor(F.col("word_chars") * 100 / words),
-    }
+    """MEASURES from the columns of features(), as whole numbers; null without words."""
+    rate = lambda n, of: F.floor(F.col(n) * 1000 / F.expr(f"nullif({of}, 0)"))
+    return {k: rate(*c) for k, c in RATES.items()} | {LENGTH: F.floor(F.col("word_chars") * 100 / F.expr("nullif(n_words, 0)"))}
+
+
+def base_failed() -> Column:
+    """Under 50 words, or over half of the words in repeated windows of three words."""
+    return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
 
 
 def sketches(featured: DataFrame) -> DataFrame:
@@ -107,34 +115,26 @@ def merged(*parts: DataFrame) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame, least_docs: int = LEAST_DOCS, fence: int = FENCE) -> DataFrame:
-    """One row for each (lang, source): low_<measure> and high_<measure>, from the lowest level with enough documents."""
-    tiers = []
+    """One row for each (lang, source): __low_<measure> and __high_<measure>."""
+    groups = sketch.select("lang", "source", "measure").distinct()
     for rank, by in enumerate((["lang", "source"], ["lang"], [])):
         level = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
-        part = Window.partitionBy(*by, "measure")
+        part = Window.partitionBy(*by, "measure")  # a row for each bucket: some hundreds at most
         level = level.withColumn("upto", F.sum("n").over(part.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
         level = level.withColumn("total", F.sum("n").over(part))
-        quartile = lambda k: F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bucket")))
-        level = level.groupBy(*by, "measure").agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("total").alias("total"))
-        tiers.append((rank, by, level))
-    groups = sketch.select("lang", "source", "measure").distinct()
-    for rank, by, level in tiers:
-        right = level.select(
-            *[F.col(b).alias(f"__{b}") for b in by], F.col("measure").alias("__measure"), F.struct("q1", "q3", "total").alias(f"t{rank}")
-        )
-        on = [groups[b].eqNullSafe(right[f"__{b}"]) for b in by] + [groups["measure"] == right["__measure"]]
-        groups = groups.join(right, on, "left").drop("__measure", *[f"__{b}" for b in by])
-    enough = [F.when(F.col(f"t{r}.total") >= least_docs, F.col(f"t{r}")) for r in (0, 1)]
-    groups = groups.withColumn("t", F.coalesce(*enough, F.col("t2")))
-    gap = F.col("t.q3") - F.col("t.q1")
-    floor = F.create_map(*[x for k, m in MEASURES.items() for x in (F.lit(k), F.lit(m[2]))])[F.col("measure")]
-    groups = groups.select(
-        "lang", "source", "measure",
-        (F.col("t.q1") - F.greatest(gap * fence, floor)).alias("low"),
-        (F.col("t.q3") + F.greatest(gap * fence, floor)).alias("high"),
-    )
+        at = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, F.col("bucket")))
+        level = level.groupBy(*by, "measure").agg(at(LOW).alias("a"), at(MIDDLE).alias("m"), at(HIGH).alias("b"), F.max("total").alias("total"))
+        top = lambda c: F.expr(f"{c} + shiftleft(1L, greatest(length(bin({c})) - 6, 0)) - 1")  # noqa: E731  the bucket's greatest value
+        low, high = top("m") - (top("m") - F.col("a")) * fence, F.col("m") + (top("b") - F.col("m")) * fence
+        fences = F.struct(low.alias("low"), high.alias("high"))
+        counts = F.col("total") >= (least_docs if by else 0)
+        right = level.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("measure").alias("__measure"), F.when(counts, fences).alias(f"t{rank}"))
+        on = [groups[c].eqNullSafe(right[f"__{c}"]) for c in by] + [groups["measure"] == right["__measure"]]
+        groups = groups.join(right, on, "left").drop("__measure", *[f"__{c}" for c in by])
+    above = F.coalesce("t1", "t2")
+    groups = groups.select("lang", "source", "measure", F.least("t0.low", above["low"]).alias("low"), F.greatest("t0.high", above["high"]).alias("high"))
     return groups.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("measure") == k, F.col(side))).alias(f"{side}_{k}") for k in MEASURES for side in ("low", "high")]
+        *[F.max(F.when(F.col("measure") == k, F.col(side))).alias(f"__{side}_{k}") for k in MEASURES for side in ("low", "high")]
     )
 
 
@@ -143,34 +143,21 @@ def quality_rules(
 ) -> DataFrame:
     """docs with FEATURES, n_lines, base_failed and kept; without the text unless carry_text.
 
-    Both the sketches and the filter need the counts: without texts they are stored once, with texts they
-    are made twice rather than written with the texts.
-
-    base_failed: under 50 words, or over half of the words in repeated windows of three words.
+    Both the sketches and the filter need the counts, so these are stored once, with the texts if they are carried.
     kept: not base_failed, and no measure lies beyond the fences of the document's language and source.
     """
     featured = features(docs, text)
-    once = F.lit(True)
-    if carry_text:
-        # a filter on the verdict must not go below the counts, where it would make them again for each
-        # condition: filters don't pass columns that aren't deterministic
-        featured = featured.withColumn("__once", F.rand(8))
-        once = F.col("__once") >= 0
-    else:
-        featured = stored(featured.drop(text), "quality_features")
-    limits = stored(thresholds(sketches(featured), least_docs, fence), "quality_thresholds")
-    featured = featured.drop(*[c for c in limits.columns if c not in ("lang", "source")])
+    featured = stored(featured if carry_text else featured.drop(text), "quality_features")
+    limits = stored(thresholds(sketches(featured.where(~base_failed())), least_docs, fence), "quality_thresholds")
     out = join_small(featured, limits, ["lang", "source"], BROADCAST_ROWS)
-    base = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    count = lambda c: F.col(c).cast("double")
     beyond = F.lit(False)
-    for k, v in measures().items():
-        low, high, _ = MEASURES[k]
-        if low:
-            beyond = beyond | F.coalesce(v < F.col(f"low_{k}"), F.lit(False))
-        if high:
-            beyond = beyond | F.coalesce(v > F.col(f"high_{k}"), F.lit(False))
-    out = out.withColumns({"base_failed": base}).withColumn("kept", ~(F.col("base_failed") | beyond) & once)
-    return out.drop("__once", *[c for c in limits.columns if c not in ("lang", "source")])
+    for k, (n, of) in RATES.items():
+        beyond = beyond | F.coalesce(count(n) - F.sqrt(count(n)) * Z > count(of) * count(f"__high_{k}") / 1000, F.lit(False))
+    length = measures()[LENGTH]
+    beyond = beyond | F.coalesce((length < F.col(f"__low_{LENGTH}")) | (length > F.col(f"__high_{LENGTH}")), F.lit(False))
+    out = out.withColumn("base_failed", base_failed()).withColumn("kept", ~(F.col("base_failed") | beyond))
+    return out.drop(*[c for c in limits.columns if c not in ("lang", "source")])
 
 
 def op8_quality_rules(spark, sf_dir) -> DataFrame:
@@ -178,14 +165,15 @@ def op8_quality_rules(spark, sf_dir) -> DataFrame:
     return quality_rules(docs, carry_text=False).select("doc_id", *FEATURES, "base_failed", "kept")
 
 
-FIXED = ", ".join(f"('{k}', {m[2]})" for k, m in MEASURES.items())
-LOWS = " or ".join(f"coalesce(v_{k} < low_{k}, false)" for k, m in MEASURES.items() if m[0])
-HIGHS = " or ".join(f"coalesce(v_{k} > high_{k}, false)" for k, m in MEASURES.items() if m[1])
+_BEYOND = " or ".join(f"coalesce({n}::double - sqrt({n}::double) * {Z} > {of}::double * high_{k}::double / 1000, false)" for k, (n, of) in RATES.items())
+_BEYOND += f" or coalesce(v_{LENGTH} < low_{LENGTH} or v_{LENGTH} > high_{LENGTH}, false)"
+_TOP = "({0} + (1::bigint << greatest(length(bin({0})) - 6, 0)::bigint) - 1)"
+_BASE = "(n_words < 50 or 100 * n_repeat_words > 50 * n_words)"
 
 
 def quality_sql(documents: str = "documents", tail: str = "select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept from judged") -> str:
     """The same by DuckDB; judged has every row of documents with the verdicts."""
-    values = " union all ".join(f"select lang, source, '{k}' as measure, v_{k} as v from measured" for k in MEASURES)
+    values = " union all ".join(f"select lang, source, '{k}' as measure, v_{k} as v from measured where not {_BASE}" for k in MEASURES)
     pivot = ", ".join(f"max(case when measure = '{k}' then {s} end) as {s}_{k}" for k in MEASURES for s in ("low", "high"))
     return rf"""
 with src as (select *, row_number() over () as rid, coalesce(text, '') as t from {documents}),
@@ -208,19 +196,17 @@ lev as (select 0 as tier, lang, source, measure, bucket, n from sk
     union all select 1, lang, null, measure, bucket, sum(n) from sk group by lang, measure, bucket
     union all select 2, null, null, measure, bucket, sum(n) from sk group by measure, bucket),
 cum as (select *, sum(n) over (partition by tier, lang, source, measure order by bucket) as upto, sum(n) over (partition by tier, lang, source, measure) as total from lev),
-quart as (select tier, lang, source, measure, min(case when upto * 4 >= total then bucket end) as q1, min(case when upto * 4 >= total * 3 then bucket end) as q3, max(total) as total
-    from cum group by tier, lang, source, measure),
-chosen as (select g.lang, g.source, g.measure, case when a.total >= {LEAST_DOCS} then a.q1 when b.total >= {LEAST_DOCS} then b.q1 else c.q1 end as q1,
-    case when a.total >= {LEAST_DOCS} then a.q3 when b.total >= {LEAST_DOCS} then b.q3 else c.q3 end as q3
+quart as (select *, {_TOP.format('m')} - ({_TOP.format('m')} - a) * {FENCE} as low, m + ({_TOP.format('b')} - m) * {FENCE} as high from (select tier, lang, source, measure,
+    min(case when upto * 100 >= total * {LOW} then bucket end) as a, min(case when upto * 100 >= total * {MIDDLE} then bucket end) as m,
+    min(case when upto * 100 >= total * {HIGH} then bucket end) as b, max(total) as total from cum group by tier, lang, source, measure)
+    where tier = 2 or total >= {LEAST_DOCS}),
+fences as (select g.lang, g.source, g.measure, least(a.low, coalesce(b.low, c.low)) as low, greatest(a.high, coalesce(b.high, c.high)) as high
     from (select distinct lang, source, measure from sk) g
     left join quart a on a.tier = 0 and a.measure = g.measure and a.lang is not distinct from g.lang and a.source is not distinct from g.source
     left join quart b on b.tier = 1 and b.measure = g.measure and b.lang is not distinct from g.lang
     left join quart c on c.tier = 2 and c.measure = g.measure),
-fences as (select lang, source, chosen.measure, q1 - greatest((q3 - q1) * {FENCE}, least_gap) as low, q3 + greatest((q3 - q1) * {FENCE}, least_gap) as high
-    from chosen join (values {FIXED}) as f(measure, least_gap) on f.measure = chosen.measure),
 limits as (select lang, source, {pivot} from fences group by lang, source),
-judged as (select m.*, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
-    not ((n_words < 50 or 100 * n_repeat_words > 50 * n_words) or {LOWS} or {HIGHS}) as kept
+judged as (select m.*, {_BASE} as base_failed, not ({_BASE} or {_BEYOND}) as kept
     from measured m left join limits on m.lang is not distinct from limits.lang and m.source is not distinct from limits.source)
 {tail}"""
 
