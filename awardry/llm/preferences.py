@@ -11,7 +11,9 @@ key, and a rendered conversation is one value by what it is; a key's turns must
 
 Edge cases: null roles and texts count as empty. Rows with a null key form no conversation. Repeated
 rows are repeated turns. A key in only one of the tables is paired with an empty conversation. Equal
-conversations give two empty completions. Empty tables give an empty result. Other columns are dropped.
+conversations give two empty completions. ``paired`` says whether both completions have a scored span;
+no conversation is left out. Empty tables give an empty result. Other columns are dropped. A very long
+turn is carried whole.
 """
 
 from __future__ import annotations
@@ -64,7 +66,7 @@ def mask(turns: Column) -> Column:
 
 
 def preference_pairs(chosen: DataFrame, rejected: DataFrame, key: str = "conv_id") -> DataFrame:
-    """key, n_prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask for each key.
+    """key, n_prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask, paired for each key.
 
     Both tables have a row for each turn: key, turn, role, text. The number of a turn only orders it.
     """
@@ -76,34 +78,47 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, key: str = "conv_id
     common = F.when(first_apart > 0, first_apart - 1).otherwise(F.size("__c"))
     pairs = pairs.withColumn("__n", common)
     rest = lambda c: F.slice(c, F.col("__n") + 1, F.greatest(F.size(c) - F.col("__n"), F.lit(0)))
-    return pairs.select(
+    out = pairs.select(
         key,
         F.col("__n").cast("long").alias("n_prompt_turns"),
         rendered(F.slice("__c", 1, F.col("__n"))).alias("prompt"),
         rendered(rest("__c")).alias("chosen"), mask(rest("__c")).alias("chosen_mask"),
         rendered(rest("__r")).alias("rejected"), mask(rest("__r")).alias("rejected_mask"),
     )
+    return out.withColumn("paired", (F.col("chosen_mask") != "") & (F.col("rejected_mask") != ""))
 
 
-def with_stale_answer(conversations: DataFrame) -> DataFrame:
-    """The conversations, cut after the last assistant turn, which there has the text of the first one.
+#: Answers are exchanged among conversations whose ids have the same quotient by this number.
+NEIGHBOURS = 1000
 
-    conversations.parquet has no rejected answers; these are answers to something else. A conversation whose
-    only assistant turn is its last stays without that turn; one without any stays as it is.
+
+def with_other_answers(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chosen and rejected conversations: both cut after the last assistant turn, which in the rejected has another's text.
+
+    conversations.parquet has no rejected answers. Among the conversations whose conv_id (an integer) has the same
+    quotient by NEIGHBOURS and whose last assistant turn has the same number, the different texts of these turns
+    form a ring in their order; an answer's counterpart is the next text of its ring, so it always differs. A
+    ring has NEIGHBOURS texts at most. An answer alone in its ring has no counterpart, and the rejected side
+    ends before it; a conversation without an assistant's turn stays as it is, on both sides. Of several rows of
+    the last turn the assistant's with the greatest text is the answer; assistant turns without number are none.
     """
-    w = Window.partitionBy("conv_id")
-    speaks = F.col("role") == SCORED
-    last = F.max(F.when(speaks, F.col("turn"))).over(w)
-    first = F.min(F.when(speaks, F.struct("turn", "text"))).over(w)
-    rows = conversations.select("conv_id", "turn", "role", "text", last.alias("last"), first.alias("first"))
-    rows = rows.where(F.col("last").isNull() | (F.col("turn") < F.col("last")) | ((F.col("turn") == F.col("last")) & (F.col("first.turn") < F.col("last"))))
-    stale = F.coalesce((F.col("turn") == F.col("last")) & (F.col("role") == SCORED), F.lit(False))
-    return rows.select("conv_id", "turn", "role", F.when(stale, F.col("first.text")).otherwise(F.col("text")).alias("text"))
+    rows = conversations.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    said = rows.where((F.col("role") == SCORED) & F.col("turn").isNotNull()).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("own"))
+    said = said.select("conv_id", F.expr(f"conv_id div {NEIGHBOURS}").alias("part"), "own.*")
+    w = Window.partitionBy("part", "turn")
+    ring = said.select("part", "turn", "text").distinct()
+    ring = ring.withColumn("other", F.coalesce(F.lead("text").over(w.orderBy("text")), F.min("text").over(w)))
+    said = said.join(ring, ["part", "turn", "text"])
+    before = rows.join(said.select("conv_id", F.col("turn").alias("last")), "conv_id", "left")
+    before = before.where(F.coalesce(F.col("turn") < F.col("last"), F.lit(True))).select(rows.columns)
+    answer = lambda df, c: df.select("conv_id", "turn", F.lit(SCORED).alias("role"), F.col(c).alias("text"))
+    return before.unionByName(answer(said, "text")), before.unionByName(answer(said.where("other <> text"), "other"))
 
 
 def op9_preference_pairs(spark, sf_dir) -> DataFrame:
-    chosen = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    return preference_pairs(chosen, with_stale_answer(chosen))
+    """One row for each conversation; those that aren't ``paired`` have no answer, or one alone in its ring."""
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return preference_pairs(*with_other_answers(conversations))
 
 
 _RENDER = "'<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10)"
@@ -117,16 +132,18 @@ def _side(name: str) -> str:
 
 ORACLE = rf"""
 with cv as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
-w as (select conv_id, turn, role, text, max(case when role = 'assistant' then turn end) over (partition by conv_id) as last,
-  min(case when role = 'assistant' then turn end) over (partition by conv_id) as first,
-  first_value(text) over (partition by conv_id order by case when role = 'assistant' then 0 else 1 end, turn) as ftext from cv),
-rj as (select conv_id, turn, role, case when turn = last and role = 'assistant' then ftext else text end as text from w where last is null or turn < last or (turn = last and first < last)),
-c_k as (select *, row_number() over (partition by conv_id order by turn, role, text) as k from cv),
-r_k as (select *, row_number() over (partition by conv_id order by turn, role, text) as k from rj),
+la as (select conv_id, conv_id // {NEIGHBOURS} as part, turn, text from (select *, row_number() over (partition by conv_id order by turn desc, text desc) as k from cv where role = 'assistant' and turn is not null) where k = 1),
+ring as (select part, turn, text, coalesce(lead(text) over (partition by part, turn order by text), min(text) over (partition by part, turn)) as other from (select distinct part, turn, text from la)),
+bf as (select cv.* from cv left join la on la.conv_id = cv.conv_id where coalesce(cv.turn < la.turn, true)),
+ch as (select * from bf union all select conv_id, turn, 'assistant', text from la),
+rj as (select * from bf union all select conv_id, turn, 'assistant', other from la join ring using (part, turn, text) where other <> text),
+c_k as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k from ch),
+r_k as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k from rj),
 z as (select c.conv_id, c.k, (c.role = r.role and c.text = r.text) as same from c_k c left join r_k r on r.conv_id = c.conv_id and r.k = c.k),
 n as (select conv_id, coalesce(min(case when same is not true then k end) - 1, max(k)) as n from z group by conv_id),
 {_side('c')}, {_side('r')},
 p as (select c_l.conv_id, string_agg(x, '' order by k) as prompt from c_l join n on n.conv_id = c_l.conv_id where k <= n group by c_l.conv_id)
-select n.conv_id, n.n::bigint as n_prompt_turns, coalesce(prompt, '') as prompt, coalesce(c_o.body, '') as chosen, coalesce(c_o.mask, '') as chosen_mask, coalesce(r_o.body, '') as rejected, coalesce(r_o.mask, '') as rejected_mask
+select n.conv_id, n.n::bigint as n_prompt_turns, coalesce(prompt, '') as prompt, coalesce(c_o.body, '') as chosen, coalesce(c_o.mask, '') as chosen_mask, coalesce(r_o.body, '') as rejected, coalesce(r_o.mask, '') as rejected_mask,
+  (c_o.mask is not null and r_o.mask is not null) as paired
 from n left join p on p.conv_id = n.conv_id left join c_o on c_o.conv_id = n.conv_id left join r_o on r_o.conv_id = n.conv_id
 """
