@@ -1,21 +1,24 @@
 """Operator 5: not-modified revisits of web captures, resolved by an as-of join.
 
-A revisit (a 304 answer, or a profile that says "not modified") has no payload. It is joined to the
+A revisit (a 304 answer, or a record whose profile is "server-not-modified") has no payload. It is joined to the
 latest earlier full response of the same canonical URL. Its validators are compared with that
 response's (entity tag first, by weak comparison; else the date of last change): if they agree, the
 revisit takes the response's payload and headers, and the headers that a 304 answer may carry
 replace those of the response. If they differ, or the response has none of them, the outcome says
 so and nothing is merged. A response counts as earlier if its date is smaller, or equal and its record id smaller.
 
-The join takes no window over a whole URL: captures are cut into time slots (SLOTS by their dates);
-inside a slot the last response is carried forward, and a slot without one takes the last of the
-slots before, which are aggregated before the shuffle to a row each. So a URL with a third of all
-captures is spread over its slots.
-
-Columns: record_id (long), url, date (long), status (int), headers (map<string,string>, any case) and
-payload_digest. Edge cases: records with a null URL or date are returned as unresolved ("orphan").
-Null headers count as none. Repeated records are each returned. Records that aren't revisits aren't in the result.
-An empty table gives an empty result. Other columns are dropped.
+The join takes no window over a whole URL: captures are cut into slots at quantiles of their dates,
+and those of a date that fills slots alone at quantiles of their record ids, so that slots hold about
+equally many captures however these cluster. Inside a slot the last response is carried forward, and a
+slot without one takes the last of the slots before, which are aggregated before the shuffle to a row
+each. So a URL with a third of all captures is spread over its slots.
+
+Columns: record_id (long), url, date (long), status (int), headers (map<string,string>, any case),
+payload_digest and, if there, profile. Edge cases: records with a null URL or date are returned as
+unresolved ("orphan"). Null headers count as none. Repeated records are each returned; of responses with
+one date and record id that with the greatest digest stands. Records that aren't not-modified revisits aren't in the result, and one
+with another profile (identical payload) is no full response. Very long URLs and headers are carried
+whole. An empty table gives an empty result. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -23,10 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Time slots into which the captures' dates are cut.
-SLOTS = 64
+#: Slots into which the captures are cut: at least, records in each at most, and at most.
+SLOTS, SLOT_ROWS, MAX_SLOTS = 64, 1_000_000, 1024
 #: Headers which a 304 answer may carry and which then replace the stored ones (RFC 9110, 15.4.5).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
+#: Fixed value: how the profile of a not-modified revisit ends (WARC 1.0 and 1.1).
+NOT_MODIFIED = "server-not-modified"
 #: Query parameters that only say where a visit came from.
 TRACKING = "utm_[a-z]+|gclid|fbclid|ref"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,18 +59,37 @@ def lowered(headers: Column) -> Column:
     return F.map_from_entries(F.transform(names, lambda n: F.struct(n.alias("key"), last(n).alias("value"))))
 
 
-def with_earlier(records: DataFrame, key: str, slots: int = SLOTS) -> DataFrame:
+def cuts(records: DataFrame, column: str, slots: int) -> list[int]:
+    """The inner quantiles of a column of integers, in order; a value that holds several slots comes several times."""
+    at = F.percentile_approx(column, [i / slots for i in range(1, slots)] or [0.5], 10 * slots + 1000)
+    return sorted(records.agg(at).first()[0] or [])
+
+
+def slot_of(records: DataFrame, slots: int) -> Column:
+    """A number for each record that rises with date and record id, strictly between slots."""
+    dates = cuts(records, "date", slots)
+    alone = sorted({d for d in dates if dates.count(d) > 1})
+    before = lambda values, x: F.size(F.filter(F.array(*map(F.lit, values)).cast("array<bigint>"), lambda v: v < x))
+    date, record = F.col("date"), F.col("record_id")
+    own = F.lit(False)
+    inside = F.lit(0)
+    if alone:  # dates with slots of their own, cut by record id
+        own = date.isin(alone)
+        inside = F.when(own, before(cuts(records.where(own), "record_id", slots), record)).otherwise(0)
+    return (before(sorted(set(dates)), date) * 2 + own.cast("int")).cast("long") * (slots + 1) + inside
+
+
+def with_earlier(records: DataFrame, key: str, slots: int | None = None) -> DataFrame:
     """records with earlier: the latest full response (struct) of the same key before each record.
 
-    records has key, date, record_id, is_response and the struct "response".
+    records has key, date, record_id, is_response, payload_digest and the struct "response".
     """
-    low, high = records.agg(F.min("date"), F.max("date")).first()
-    width = ((high or 0) - (low or 0)) // slots + 1
-    records = records.withColumn("slot", F.floor((F.col("date") - F.lit(low or 0)) / F.lit(width)))
-    order = F.struct("date", "record_id")
+    slots = slots or min(MAX_SLOTS, max(SLOTS, records.count() // SLOT_ROWS))
+    records = records.withColumn("slot", slot_of(records, slots))
+    order = F.struct("date", "record_id", "payload_digest")
     lasts = records.where("is_response").groupBy(key, "slot").agg(F.max_by("response", order).alias("last"))
     seen = Window.partitionBy(key).orderBy("slot")  # a row for each slot at most
-    inside = Window.partitionBy(key, "slot").orderBy("date", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(key, "slot").orderBy("date", "record_id", "is_response", "payload_digest").rowsBetween(Window.unboundedPreceding, -1)
     records = records.withColumn("here", F.last(F.when(F.col("is_response"), F.col("response")), ignorenulls=True).over(inside))
     # the slots with records, each with the last response of the slots before it
     spans = records.select(key, "slot").distinct().join(lasts, [key, "slot"], "left")
@@ -74,17 +98,19 @@ def with_earlier(records: DataFrame, key: str, slots: int = SLOTS) -> DataFrame:
     return records.join(spans, [key, "slot"], "left").withColumn("earlier", F.coalesce("here", "before")).drop("here", "before", "slot")
 
 
-def resolve_revisits(records: DataFrame, slots: int = SLOTS) -> DataFrame:
+def resolve_revisits(records: DataFrame, slots: int | None = None) -> DataFrame:
     """For each revisit: record_id, canonical_url, outcome, source_id, payload_digest and headers (merged, sorted map).
 
     outcome: "resolved", "changed" (validators differ), "unverified" (no validator to compare) or "orphan".
     """
-    rows = records.select("record_id", "url", "date", "status", lowered(F.col("headers")).alias("headers"), "payload_digest")
+    profile = F.col("profile") if "profile" in records.columns else F.lit(None)
+    rows = records.select("record_id", "url", "date", "status", lowered(F.col("headers")).alias("headers"), "payload_digest", profile.cast("string").alias("profile"))
     rows = rows.withColumn("canonical_url", canonical(F.col("url")))
-    rows = rows.withColumn("is_response", (F.col("status") == 200) & F.col("payload_digest").isNotNull())
-    rows = rows.withColumn("is_revisit", F.coalesce(F.col("status") == 304, F.lit(False)))
+    not_modified = F.coalesce(F.lower("profile").endswith(NOT_MODIFIED), F.lit(False))
+    rows = rows.withColumn("is_revisit", not_modified | (F.col("profile").isNull() & F.coalesce(F.col("status") == 304, F.lit(False))))
+    rows = rows.withColumn("is_response", F.coalesce(F.col("status") == 200, F.lit(False)) & F.col("payload_digest").isNotNull() & F.col("profile").isNull())
     rows = rows.withColumn("response", F.struct("record_id", "headers", "payload_digest"))
-    whole = F.col("canonical_url").isNotNull() & F.col("date").isNotNull()
+    whole = F.col("url").isNotNull() & F.col("date").isNotNull()
     joined = with_earlier(rows.where(whole), "canonical_url", slots).where("is_revisit")
     lost = rows.where(~whole & F.col("is_revisit")).withColumn("earlier", F.lit(None).cast(joined.schema["earlier"].dataType))
     both = joined.select(*lost.columns).unionByName(lost)
