@@ -5,9 +5,10 @@ unlabelled ones. With the class prior p, the risk is p * E_P[l(+1)] + max(0, E_U
 l being the logistic loss: the unlabelled mean, corrected by the prior, stands for the negatives, and
 may not fall below zero (where it would, a step goes the other way, out of overfitting). Words are
 chosen by how much likelier they are in positive than in unlabelled training documents. Training uses
-samples of at most MAX_POSITIVE and MAX_UNLABELLED documents, the least by a hash of their ids;
-counts of words are made on the executors, and only chosen words go to the driver. Scores use
-the whole text of every document.
+bounded samples, of max_positive and max_unlabelled documents, the least by a hash of their ids. The
+unlabelled ones only tell how common a word is among all texts and hold the weights of a thousand words
+down; 20,000 documents place a share of 1 % within 0.07 % (a standard deviation). Counts of words are
+made on the executors, and only chosen words go to the driver. Scores use the whole text of every document.
 
 Edge cases: a null or empty text has no words and scores by the bias alone. Rows with a null id are
 scored, and aren't trained on. Labels that are null aren't confirmations. Without a positive training
@@ -88,10 +89,13 @@ def word_table(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "id long, positive boolean, words array<string>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic") -> dict[str, float]:
+def fit(
+    docs: DataFrame, labels: DataFrame, prior: float | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic",
+    max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_words: int = MAX_WORDS,
+) -> dict[str, float]:
     """word -> weight, "" -> bias, from the rows that aren't held out.
 
-    Without a prior, the share of confirmed toxic documents among the training rows of labels is taken.
+    max_positive and max_unlabelled bound the samples, max_words the model. Without a prior, the share of confirmed toxic documents among the training rows of labels is taken.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key))
     known = known.groupBy(F.col(key).cast("long").alias("id")).agg(F.max((F.col(label) == 1)).alias("positive"))
@@ -100,10 +104,10 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, key: str
     prior = min(max(prior, PRIOR_BOUNDS[0]), PRIOR_BOUNDS[1])
     texts = docs.where(F.col(key).isNotNull() & ~held_out(key)).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     order = F.xxhash64(F.col("id"), F.lit(6))
-    chosen = known.where("positive").orderBy(order, "id").limit(MAX_POSITIVE).select("id", F.lit(True).alias("positive"))
-    free = texts.select("id").distinct().orderBy(order, "id").limit(MAX_UNLABELLED).select("id", F.lit(False).alias("positive"))
-    ids = stored(chosen.union(free), "toxicity_sample")  # at most MAX_POSITIVE + MAX_UNLABELLED rows
-    sample = texts.join(F.broadcast(ids), "id").select("id", "positive", "text")
+    chosen = known.where("positive").orderBy(order, "id").limit(max_positive).select("id", F.lit(True).alias("positive"))
+    free = texts.select("id").distinct().orderBy(order, "id").limit(max_unlabelled).select("id", F.lit(False).alias("positive"))
+    ids = stored(chosen.union(free), "toxicity_sample")  # at most max_positive + max_unlabelled rows
+    sample = texts.join(F.broadcast(ids), "id").groupBy("id", "positive").agg(F.min("text").alias("text"))  # repeated rows of an id are one
     table = stored(word_table(sample), "toxicity_words")
     totals = {r[0]: r[1] for r in table.groupBy("positive").count().collect()}
     n_p, n_u = totals.get(True, 0), totals.get(False, 0)
@@ -115,10 +119,10 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, key: str
     lift = F.log((F.col("p") + 0.5) / n_p) - F.log((F.col("u") + 0.5) / n_u)
     # a word of toxic texts alone is 1 / prior times likelier in them; half of that on the log scale is asked for
     marked = (F.col("p") >= LEAST_DOCS) & (lift >= 0.5 * math.log(1 / prior))
-    kept = counts.where(marked).orderBy((lift * F.sqrt("p")).desc(), "word").limit(MAX_WORDS)
+    kept = counts.where(marked).orderBy((lift * F.sqrt("p")).desc(), "word").limit(max_words)
     index = {r[0]: i for i, r in enumerate(kept.select("word").collect())}
     vocabulary = F.array(*[F.lit(w) for w in index]) if index else F.array().cast("array<string>")
-    rows = table.select("positive", F.array_intersect("words", vocabulary).alias("words")).toPandas()
+    rows = table.select("id", "positive", F.array_intersect("words", vocabulary).alias("words")).orderBy("positive", "id").toPandas()
     documents = [np.array([index[w] for w in words], np.int64) for words in rows["words"]]
     sides = [[d for d, p in zip(documents, rows["positive"]) if bool(p) is want] for want in (True, False)]
     weights, bias = train(*sides, len(index), prior)
