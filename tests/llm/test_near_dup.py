@@ -99,7 +99,7 @@ def near_group(size, passages, edits):
 def test_large_group_of_near_copies_and_its_recall(spark):
     """2,000 copies between 0.6 and 0.9 of one another, beside 3,000 other texts: all links of 5,000 documents are found."""
     rng = random.Random(8)
-    rows = near_group(2000, 150, (4, 26)) + [(i, " ".join(prose(rng, 40))) for i in range(2000, 5000)]
+    rows = near_group(2000, 150, (2, 11)) + [(i, " ".join(prose(rng, 40))) for i in range(2000, 5000)]
     sets = [shingle_set(t, 2) for _, t in rows[:2000]]
     values, places = np.unique(np.concatenate(sets), return_inverse=True)
     member = np.zeros((2000, len(values)), np.float32)

@@ -35,6 +35,19 @@ def test_urls_by_brute_force(spark, bound):
     assert url_filter.filter_urls(pages.limit(0), table, broadcast_rules=bound).count() == 0
 
 
+def test_very_long_paths_and_hosts(spark):
+    """A rule of 5,000 segments compiles to flat tables, which can be sent to executors; long paths are judged whole."""
+    import pickle
+
+    path = "/a" * 5000
+    rules = [("block", "x.org", path + "/"), ("allow", "x.org", path[:-2] + "/"), ("block", ".".join(["b"] * 3000) + ".org", "")]
+    urls = [f"http://x.org{path}/c", f"http://x.org{path}", "http://x.org/" + "a" * 100_000, "http://" + "b." * 3000 + "org/q"]
+    pickle.loads(pickle.dumps(url_filter.Trie(rules)))
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = url_filter.filter_urls(pages, spark.createDataFrame(rules, "verdict string, host string, path string")).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == [brute(u, rules)[3] for u in urls] == ["block", "allow", "allow", "block"]
+
+
 def test_canonical(spark):
     from pyspark.sql import functions as F
 
@@ -78,6 +91,26 @@ def test_revisits_by_brute_force(spark, slots):
     assert warc_revisits.resolve_revisits(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize("slots", [None, 5])
+def test_revisits_by_profile_ties_and_clustered_dates(spark, slots):
+    """A date that a third of all captures have, one far off, repeated records, equal ids, profiles, extra columns."""
+    schema = "record_id long, url string, date long, status int, headers map<string,string>, payload_digest string, profile string, outcome string, slot long"
+    row = lambda i, date, status, digest, profile=None, tag="t": (i, "http://hot.org/", date, status, {"ETag": tag}, digest, profile, "clash", 3)
+    modified = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
+    rows = [row(i, 7 if i < 40 else i, 200 if i % 2 else 304, str(i) if i % 2 else None) for i in range(90)]
+    rows += [row(200, 10**12, 304, None), row(201, 10**12, 200, None, modified), row(202, 10**12, 200, None, modified), row(202, 10**12, 200, None, modified)]
+    rows += [row(300, 500, 200, "a"), row(300, 500, 200, "b"), row(300, 500, 304, None), row(301, 500, 304, None), row(302, 600, 200, "c", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), row(303, 700, 304, None)]
+    got = warc_revisits.resolve_revisits(spark.createDataFrame(rows, schema), slots).collect()
+    want = []
+    for r in rows:
+        if r[6] == modified or (r[3] == 304 and r[6] is None):
+            before = [x for x in rows if x[3] == 200 and x[5] and x[6] is None and (x[2], x[0]) < (r[2], r[0])]
+            best = max(before, key=lambda x: (x[2], x[0], x[5]), default=None)
+            want.append((r[0], "resolved" if best else "orphan", best and best[0], best and best[5]))
+    assert sorted((r.record_id, r.outcome, r.source_id, r.payload_digest) for r in got) == sorted(want, key=lambda w: (w[0], w[2] or 0))
+    assert got[0].asDict().keys() == {"record_id", "canonical_url", "outcome", "source_id", "payload_digest", "headers"}
+
+
 def test_preferences(spark):
     schema = "conv_id long, turn long, role string, text string, prompt string"
     row = lambda c, t, r, x: (c, t, r, x, "clash")
@@ -96,3 +129,21 @@ def test_preferences(spark):
     assert got[5].n_prompt_turns == 1 and got[5].rejected == "" and got[5].chosen
     empty = spark.createDataFrame([], schema)
     assert preferences.preference_pairs(empty, empty).count() == 0
+    assert [got[k].paired for k in (1, 2, 3, 4, 5)] == [True, False, False, False, False]
+
+
+def test_other_answers_are_answers_of_others(spark):
+    long = "y" * 200_000
+    answers = {1: "A", 2: "B", 3: "A", 4: long, 2000: "alone"}
+    rows = [(c, t, r, x, "clash") for c, a in answers.items() for t, r, x in ((0, "user", "q"), (1, "assistant", "first"), (2, "user", "q2"), (3, "assistant", a), (4, "user", "thanks"))]
+    rows += [(7, 0, "user", "no answer", "clash"), (None, 1, "assistant", "x", "clash"), (8, 0, None, None, "clash"), (9, None, "assistant", "z", "clash")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, last string")
+    got = {r.conv_id: r for r in preferences.preference_pairs(*preferences.with_other_answers(table)).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 7, 8, 9, 2000]
+    said = lambda x: f"<|assistant|>\n{x}<|end|>\n"
+    assert {c: got[c].rejected for c in (1, 2, 3, 4)} == {1: said("B"), 2: said(long), 3: said("B"), 4: said("A")}
+    assert all(got[c].chosen == said(answers[c]) and got[c].paired and got[c].n_prompt_turns == 3 for c in (1, 2, 3, 4))
+    assert got[2000].chosen == said("alone") and got[2000].rejected == "" and not got[2000].paired
+    assert not any(got[c].paired for c in (7, 8, 9))
+    empty_pair = preferences.with_other_answers(table.limit(0))
+    assert preferences.preference_pairs(*empty_pair).count() == 0

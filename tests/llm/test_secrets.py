@@ -11,6 +11,7 @@ TEXTS = [
     None, "", "plain", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" x', "PassWord: hunter22, é secret:abc token=abcdefgh",
     "secret: token: abcdefgh", f"é{KEY} {KEY}x AKIAshort", "f" * 23 + " " + "0" * 24, "api_key='abc.def' apikey=ghijkl",
     "ghp_" + "a1" * 20, "tokENtoken==abcdef\ntoken =\tabcdef", "日本 " * 500 + "passwd=" + "q" * 5000, "-----BEGIN RSA PRIVATE KEY-----",
+    "a -----BEGIN PRIVATE KEY-----\nMIIEvQ+/=\nabc\n-----END PRIVATE KEY----- b", "-----BEGIN EC PRIVATE KEY-----\nMIIE é",
 ]
 
 
@@ -54,3 +55,18 @@ def test_redaction(spark):
 
 def test_empty(spark):
     assert scan_secrets(docs(spark, []).limit(0)).count() == 0
+
+
+def test_keys_go_with_their_body(spark):
+    df = scan_secrets(docs(spark, [(1, TEXTS[-2])]))
+    assert df.select(redacted(F.col("text"), F.col("secrets"))).first()[0] == "a [SECRET] b"
+
+
+def test_many_candidates_and_rows_without_id(spark, monkeypatch):
+    """Beyond the bound of a broadcast the candidates are joined; rows without id keep their secrets."""
+    from awardry.llm import secrets
+
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", 1)
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, t) for t in TEXTS] * 2
+    found = scan_secrets(docs(spark, rows)).select("text", "secrets").collect()
+    assert len(found) == len(rows) and all([tuple(s) for s in r.secrets] == brute(r.text) for r in found)

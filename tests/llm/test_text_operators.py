@@ -43,6 +43,42 @@ def test_quality_adapts_and_merges(spark):
     assert key(quality.merged(*halves)) == key(whole)
 
 
+def mixed_text(rng, symbols, lines, repeats, size):
+    """A text of so many words with symbols, repeated lines and repeated windows, each in so many of 100."""
+    words = ["x" * rng.choice(size) + str(i) + ("%" if rng.randrange(100) < symbols else "") for i in range(100)]
+    for i in range(0, 90, 6):
+        if rng.randrange(100) < repeats:
+            words[i + 3 : i + 6] = words[i : i + 3]
+    rows = [" ".join(words[i : i + 5]) for i in range(0, 100, 5)]
+    for i in range(1, 20):
+        if rng.randrange(100) < lines:
+            rows[i] = rows[0]
+    return "\n".join(rows)
+
+
+def test_fences_differ_between_groups_in_all_measures(spark):
+    rng = random.Random(12)
+    kinds = {"plain": (1, 2, 1, (3, 4, 5)), "odd": (20, 25, 30, (7, 9, 14))}
+    rows = [(i, mixed_text(rng, *kinds[s]), "en", s) for i in range(600) for s in ["odd" if i % 10 == 0 else "plain"]]
+    rows += [(1000, mixed_text(rng, 70, 2, 1, (3, 4, 5)), "en", "plain"), (1001, mixed_text(rng, 70, 25, 10, (7, 9, 14)), "en", "odd"), (1002, rows[0][1], "fr", "rare")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    sketch = quality.sketches(quality.features(table))
+    limits = {r.source: r for r in quality.thresholds(sketch).collect()}
+    for k in quality.MEASURES:  # the odd source has earned wider fences, each by its own sketch
+        assert limits["odd"][f"__high_{k}"] > limits["plain"][f"__high_{k}"], k
+    few = {r.source: r for r in quality.thresholds(sketch, least_docs=100).collect()}  # some 50 documents no longer count
+    assert few["odd"]["__high_symbols_permille"] == few["plain"]["__high_symbols_permille"]
+    assert limits["rare"]["__high_repeats_permille"] is not None
+    got = {r.doc_id: r.kept for r in quality.quality_rules(table).collect()}
+    assert not got[1000] and got[1001] and sum(got[i] for i in range(600) if i % 10) > 530  # alike in symbols, but not in source
+
+
+def test_quality_keeps_other_columns(spark):
+    row = (1, "a b c " * 40, "en", "s", 7, 8)
+    df = quality.quality_rules(spark.createDataFrame([row], "doc_id long, text string, lang string, source string, low_symbols_permille long, n_words long"))
+    assert df.first().low_symbols_permille == 7 and df.first().n_words == 120
+
+
 def brute_contained(rows, items):
     def sets(t, n):
         w = (t or "").lower().split()
@@ -115,6 +151,17 @@ def test_token_records_by_brute_force(spark, tmp_path):
     assert token_records.read_records(token_records.read_index(token_records.write_records(docs(spark, []), path + "2"))).count() == 0
 
 
+def test_rows_of_one_id_go_to_many_shards(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(7, " ".join(prose(rng, 30))) for _ in range(4000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_records.write_records(docs(spark, rows), f"file://{tmp_path}/r").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(manifest) > 1 and max(r.n_docs for r in manifest) < 4000 and sum(r.n_docs for r in manifest) == 4000
+
+
 def test_damaged_record():
     import io
 
@@ -150,9 +197,137 @@ def test_toxicity_on_held_out_rows(spark):
     assert set(toxicity.fit(df, table.limit(0))) == {""}
 
 
+def brute_toxicity(rows, labels, most, steps):
+    """fit and scored in plain Python: word -> weight and "" -> bias, then a score for each text."""
+    import math
+    import re
+    import struct
+
+    import xxhash
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    order = lambda i: (x - 2**64 if (x := xxhash.xxh64_intdigest(struct.pack("<i", 6), xxhash.xxh64_intdigest(struct.pack("<q", i), 42))) >= 2**63 else x, i)
+    words = lambda t: {w for w in re.findall(r"[^\W\d_]+", (t or "").lower())}
+    known = {}
+    for i, y in labels:
+        if i is not None and y is not None and not held(i):
+            known[i] = known.get(i, False) or y == 1
+    prior = min(max(sum(known.values()) / len(known), 0.01), 0.5)
+    texts = {}
+    for i, t in rows:
+        if i is not None and not held(i):
+            texts[i] = min([x for x in (texts.get(i), t) if x is not None], default=None)
+    positive = [i for i in sorted((i for i, y in known.items() if y), key=order)[: most[0]] if i in texts]
+    free = sorted(texts, key=order)[: most[1]]
+    sides = [[words(texts[i]) for i in sorted(ids)] for ids in (positive, free)]
+    count = [{w: sum(w in d for d in side) for d0 in side for w in d0} for side in sides]
+    lift = lambda w: math.log((count[0].get(w, 0) + 0.5) / len(positive)) - math.log((count[1].get(w, 0) + 0.5) / len(free))
+    good = [w for w in count[0] if count[0][w] >= toxicity.LEAST_DOCS and lift(w) >= 0.5 * math.log(1 / prior)]
+    good = sorted(good, key=lambda w: (-lift(w) * math.sqrt(count[0][w]), w))[: most[2]]
+    weight, bias = dict.fromkeys(good, 0.0), math.log(prior / (1 - prior))
+    moments = {w: [0.0, 0.0] for w in [*good, ""]}
+    docs_ = [(1, [w for w in d if w in weight]) for d in sides[0]] + [(0, [w for w in d if w in weight]) for d in sides[1]]
+    for step in range(1, steps + 1):
+        z = [bias + sum(weight[w] for w in d) for _, d in docs_]
+        loss = [math.log1p(math.exp(-abs(x))) + max(x, 0) for x in z]
+        mean = lambda k: sum(x for x, (y, _) in zip(loss, docs_) if y == k) / sum(y == k for y, _ in docs_)
+        negative = mean(0) - prior * mean(1)
+        grad = {w: toxicity.DECAY * weight[w] for w in good} | {"": 0.0}
+        for x, (y, d) in zip(z, docs_):
+            p, n = 1 / (1 + math.exp(-x)), len(positive) if y else len(free)
+            if negative >= 0:
+                pull = prior * ((p - 1) - p) / n if y else p / n
+            else:
+                pull = prior * p / n if y else -p / n
+            for w in [*d, ""]:
+                grad[w] += pull
+        for w, g in grad.items():
+            m = moments[w]
+            m[0], m[1] = 0.9 * m[0] + 0.1 * g, 0.999 * m[1] + 0.001 * g * g
+            move = toxicity.RATE * (m[0] / (1 - 0.9**step)) / (math.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
+            if w:
+                weight[w] = max(weight[w] - move, 0)
+            else:
+                bias -= move
+    return [(i, 1 / (1 + math.exp(-bias - sum(weight[w] for w in words(t) if w in weight)))) for i, t in rows], good
+
+
+@pytest.mark.parametrize("most", [(4000, 20_000, 1024), (30, 60, 2)])
+def test_toxicity_by_brute_force(spark, monkeypatch, most):
+    """Scores equal those of plain Python, with repeated rows of an id, ties, odd texts and a column called score."""
+    monkeypatch.setattr(toxicity, "STEPS", 60)
+    rng = random.Random(9)
+    rows, labels = [*ODD, (5000, "vile b"), (5000, "vile a"), (5000, "vile a")], [(None, 1), (1, None), (5000, 1), (5000, 0), (99_999, 1)]
+    for i in range(1000, 1240):
+        body = ["w" + "abcdefgh"[rng.randrange(8)] + "xyz"[rng.randrange(3)] for _ in range(8)]
+        rows.append((i, " ".join([*body, rng.choice(["vile", "Foul", "nasty"])] if i % 4 == 0 else body)))
+        labels += [(i, int(i % 4 == 0))] * (i % 3)
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, score string").repartition(5)
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(df, table, max_positive=most[0], max_unlabelled=most[1], max_words=most[2])
+    want, good = brute_toxicity(rows, labels, most, 60)
+    assert list(model) == ["", *good] and good
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in toxicity.scored(df, model).collect())
+    assert np.allclose([g[2] for g in got], [w[1] for w in sorted(want, key=lambda x: (x[0] is None, x[0] or 0, x[1]))], atol=1e-9)
+
+
 def test_risk_stays_non_negative():
     rng = np.random.default_rng(1)
     clean = [rng.choice(50, 8, replace=False) for _ in range(300)]
     toxic = [np.append(rng.choice(50, 8, replace=False), 50) for _ in range(60)]
     weights, bias = toxicity.train(toxic[:30], clean + toxic[30:], 51, 0.1)
     assert weights[50] > weights[:50].max() and weights[50] + bias > 0 > bias
+
+
+def unigram_model(path, rule, pieces_, byte_fallback, dummy=True):
+    """A model of given pieces and scores (nothing is trained) with the library's own normaliser."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    model.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+    model.normalizer_spec.add_dummy_prefix = dummy
+    model.normalizer_spec.escape_whitespaces = True
+    model.normalizer_spec.remove_extra_whitespaces = rule != "identity"
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = model.trainer_spec.UNIGRAM, byte_fallback
+    model.trainer_spec.unk_id, model.trainer_spec.bos_id, model.trainer_spec.eos_id, model.trainer_spec.pad_id = 0, 1, 2, -1
+    for name, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        model.pieces.add(piece=name, score=0, type=kind)
+    for i in range(256 * byte_fallback):
+        model.pieces.add(piece=f"<0x{i:02X}>", score=0, type=6)
+    for name, score, kind in pieces_:
+        model.pieces.add(piece=name, score=score, type=kind)
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("rule", ["identity", "nfkc", "nmt_nfkc_cf"])
+@pytest.mark.parametrize("byte_fallback", [True, False])
+def test_weights_and_normalisers_of_unigram_models(tmp_path, rule, byte_fallback):
+    """Ids equal the library's where weights decide: most texts have many paths here, some of them equally short."""
+    import sentencepiece
+
+    rng = random.Random(13)
+    names = {"".join(rng.choice("▁abcde") if i == 0 else rng.choice("abcde") for i in range(rng.randrange(1, 5))) for _ in range(120)} | set("▁abcdefi1.") | {"▁a▁b"}
+    given = [(p, -rng.random() * 9 - 1, 1) for p in sorted(names)] + [("dd", 0.0, 4), ("ee", 0.0, 5)]
+    given = [g for i, g in enumerate(given) if g[0] not in {x[0] for x in given[:i]}]
+    path = unigram_model(tmp_path / "m.model", rule, given, byte_fallback)
+    sp, fst = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Transducer(path)
+    ways = same = 0
+    for _ in range(400):
+        text = "".join(rng.choice("abcdeabcdeabcde  .fi①ﬁA①é́½　\t\n日▁ÅẛＡ") for _ in range(rng.randrange(40)))
+        ids = np.frombuffer(fst.encode(text), "<u4").tolist()
+        theirs = sp.encode(text)
+        weight = lambda x: (sum(fst.weights[i] for i in x), sum(i not in fst.names for i in x))
+        assert ids == theirs or np.allclose(weight(ids), weight(theirs), atol=1e-4), text  # of equal paths the library's 32-bit sums may pick another
+        same += ids == theirs
+        assert fst.decode(np.array(ids, np.int64)) == sp.decode(ids)
+        ways += any(len(p) > 1 and p in fst.ids for p in map(fst.names.get, ids) if p)
+    assert ways > 200 and same > 300
+    assert fst.normaliser("  Ａb ﬁ  ") == sp.normalize("  Ａb ﬁ  ")
+    with pytest.raises(ValueError):
+        bad = unigram_model(tmp_path / "n.model", rule, [("a", 0.0, 4)], byte_fallback)
+        data = __import__("sentencepiece.sentencepiece_model_pb2", fromlist=["x"]).ModelProto.FromString(open(bad, "rb").read())
+        data.trainer_spec.model_type = data.trainer_spec.BPE
+        open(bad, "wb").write(data.SerializeToString())
+        pieces.Transducer(bad)
