@@ -1,22 +1 @@
-"""Award analytics and corpus preparation on Spark.
-
-Python workers import this package by name: its folder joins PYTHONPATH for sessions that start later
-and for one that runs already. On a cluster, install the package or pass it with --py-files.
-"""
-
-import os
-
-from pyspark import SparkContext
-
-_root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-
-
-def _with_root(path: str) -> str:
-    parts = [p for p in path.split(os.pathsep) if p]
-    return os.pathsep.join(parts if _root in parts else [_root, *parts])
-
-
-os.environ["PYTHONPATH"] = _with_root(os.environ.get("PYTHONPATH", ""))
-if SparkContext._active_spark_context is not None:
-    _env = SparkContext._active_spark_context.environment
-    _env["PYTHONPATH"] = _with_root(_env.get("PYTHONPATH", ""))
+"""Award analytics and corpus preparation on Spark."""

@@ -64,8 +64,9 @@ def keyword_score(document: Column, query: list[str]) -> Column:
     return F.least(bm25(document, query) / 10.0, F.lit(1.0))
 
 
-def severity(text: Column) -> Column:
-    low = F.lower(text)
+def severity(text: Column, low: Column | None = None) -> Column:
+    """The severity of a text; low is a column that has it in lower case already."""
+    low = F.lower(text) if low is None else low
     severe, mild = count_of(low, fixed.SEVERE), count_of(low, fixed.MILD)
     return (
         F.when(given(F.trim(text)).isNull(), 0.5)
@@ -81,10 +82,13 @@ def severity_proximity(a: Column, b: Column) -> Column:
     return F.exp(F.abs(a - b) * -3.0)
 
 
-def meta_score(injuries: Column, comments: Column, sex: Column, age: Column, wanted: Column, gender: Column, wanted_age: Column, query_text: Column) -> Column:
-    """0.6 injury overlap + 0.2 severity proximity + 0.1 gender + 0.1 age, within 0 and 1."""
-    case_text = F.concat_ws(" ", injuries, given(comments))
-    near = F.when(given(query_text).isNull(), 0.5).otherwise(severity_proximity(severity(case_text), severity(query_text)))
+def meta_score(injuries: Column, comments: Column, sex: Column, age: Column, wanted: Column, gender: Column, wanted_age: Column, query_text: Column, low: Column | None = None) -> Column:
+    """0.6 injury overlap + 0.2 severity proximity + 0.1 gender + 0.1 age, within 0 and 1.
+
+    low is a column that has injuries and comments, joined, in lower case already.
+    """
+    text = F.concat_ws(" ", injuries, given(comments)) if low is None else low
+    near = F.when(given(query_text).isNull(), 0.5).otherwise(severity_proximity(severity(text, low), severity(query_text)))
     score = injury_overlap(injuries, wanted) * 0.6 + near * 0.2 + gender_match(sex, gender) * 0.1 + age_proximity(age, wanted_age) * 0.1
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 

@@ -120,7 +120,7 @@ def claim_summary(claims: Column) -> Column:
 
 def judge_name(c: Column) -> Column:
     """The surname: titles, honours and commas taken off, last word, title case; null when nothing is left."""
-    x = F.regexp_replace(F.trim(c), r"(?i)[\s,]+(C\.?J\.?O|C\.?J\.?C|J\.?J\.?A|J\.?A|C\.?J|J)\.?\s*$", "")
+    x = F.regexp_replace(F.trim(c), r"(?i)[\s,]+(C\.J\.[OC]|J\.J\.A|J\.A|C\.J|J)\.$", "")
     x = F.regexp_replace(x, r"(?i)^(The\s+)?((Honourable|Hon)\.?\s+)?", "")
     x = F.trim(F.regexp_replace(x, r"[,\s]+", " "))
     x = F.rtrim(F.element_at(F.split(x, " "), -1), F.lit("."))

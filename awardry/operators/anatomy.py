@@ -9,6 +9,8 @@ from ..functions import fixed
 
 #: Characters about a term's first place that tell the side: in a text, then before and after the term.
 CONTEXT, BEFORE, AFTER = 100, 30, 10
+#: Terms of a dictionary, at most.
+MAX_TERMS = 10_000
 
 
 def _has(text: Column, words: list[str], whole: bool) -> Column:
@@ -30,34 +32,38 @@ def sided(regions: Column, context: Column, term: Column, word_boundaries: bool
     return F.when(~pair | both | (left & right), regions).when(left, side("_left")).when(right, side("_right")).otherwise(regions)
 
 
-def term_regions(terms: DataFrame, dictionary: DataFrame, term: str = "term", context: str = "context", word_boundaries: bool = False) -> DataFrame:
-    """terms with regions: of the equal key, else of the first key that contains the term or is in it; empty without any.
+def whole_dictionary(dictionary: DataFrame) -> DataFrame:
+    """One row: the dictionary in its order as an array of (ord, term, regions), which all rows can look through.
 
-    The dictionary has a bounded number of rows (a few hundred) and is broadcast.
+    It grows with what is known of bodies and not with the data: beyond MAX_TERMS terms it's refused.
     """
-    low = F.lower(F.trim(term))
-    d = F.broadcast(dictionary.select(F.col("ord").alias("__ord"), F.col("term").alias("__key"), F.col("regions").alias("__regions")))
-    own = terms.withColumn("__id", F.monotonically_increasing_id())
-    hit = own.join(d, F.contains(low, F.col("__key")) | F.contains(F.col("__key"), low))
-    best = hit.groupBy("__id").agg(F.min_by(F.struct("__key", "__regions"), F.struct((F.col("__key") != low).alias("x"), "__ord")).alias("b"))
-    out = own.join(best, "__id", "left")
-    regions = sided(F.col("b.__regions"), F.coalesce(context, F.lit("")), F.col("b.__key"), word_boundaries)
-    return out.withColumn("regions", F.coalesce(regions, F.array().cast("array<string>"))).drop("__id", "b")
+    if dictionary.limit(MAX_TERMS + 1).count() > MAX_TERMS:
+        raise ValueError(f"a dictionary has {MAX_TERMS} terms at most")
+    return dictionary.agg(F.array_sort(F.collect_list(F.struct("ord", "term", "regions"))).alias("__dictionary"))
+
+
+def term_regions(terms: DataFrame, dictionary: DataFrame, term: str = "term", context: str = "context", word_boundaries: bool = False) -> DataFrame:
+    """terms with regions: of the equal key, else of the first key that contains the term or is in it; empty without any."""
+    rows = terms.crossJoin(F.broadcast(whole_dictionary(dictionary))).withColumn("__low", F.lower(F.trim(term)))  # one row
+    low = F.col("__low")
+    hits = F.filter("__dictionary", lambda d: F.contains(low, d["term"]) | F.contains(d["term"], low))
+    rows = rows.withColumn("__hits", hits)
+    equal = F.filter("__hits", lambda d: d["term"] == low)
+    rows = rows.withColumn("__b", F.coalesce(F.get(equal, F.lit(0)), F.get("__hits", F.lit(0))))
+    regions = sided(F.col("__b.regions"), F.coalesce(context, F.lit("")), F.col("__b.term"), word_boundaries)
+    return rows.withColumn("regions", F.coalesce(regions, F.array().cast("array<string>"))).drop("__dictionary", "__low", "__hits", "__b")
 
 
 def text_regions(texts: DataFrame, dictionary: DataFrame, text: str = "text", key: str = "doc_id", word_boundaries: bool = False) -> DataFrame:
     """(key, region): the regions of all terms that each text contains, by side as near their first place."""
-    d = dictionary.select("term", "regions").collect()  # a bounded dictionary, as conditions of one pass
-    low = F.lower(text)
-    found = []
-    for r in d:
-        at = F.instr("__low", F.lit(r.term))
-        start = F.greatest(at - CONTEXT, F.lit(1))
-        context = F.substring("__low", start, at - start + len(r.term) + CONTEXT)
-        regions = F.array(*[F.lit(x) for x in r.regions]).cast("array<string>")
-        found.append(F.when(at > 0, sided(regions, context, F.lit(r.term), word_boundaries)).otherwise(F.array().cast("array<string>")))
-    rows = texts.select(key, low.alias("__low"))
-    return rows.select(key, F.explode(F.array_distinct(F.flatten(F.array(*found)))).alias("region"))
+    rows = texts.select(key, F.lower(text).alias("__low")).crossJoin(F.broadcast(whole_dictionary(dictionary)))  # one row
+    rows = rows.withColumn("__hits", F.filter("__dictionary", lambda d: F.contains("__low", d["term"])))
+    rows = rows.select(key, "__low", F.explode("__hits").alias("d"))
+    at = F.instr("__low", F.col("d.term"))
+    start = F.greatest(at - CONTEXT, F.lit(1))
+    near = F.substring("__low", start, at - start + F.char_length("d.term") + CONTEXT)
+    rows = rows.select(key, near.alias("__near"), "d.term", "d.regions")
+    return rows.select(key, F.explode(sided(F.col("regions"), F.col("__near"), F.col("term"), word_boundaries)).alias("region")).distinct()
 
 
 def region_labels(rows: DataFrame, terms: DataFrame, region: str = "region") -> DataFrame:

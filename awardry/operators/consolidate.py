@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import total_award
 from ..functions.text import as_list, dashboard_summary, given, some
 from ..schemas import AMOUNT, CLAIM, PLAINTIFF
+from ..working import stored
 
 UNKNOWN = "UNKNOWN"
 
@@ -22,8 +23,16 @@ def _gathered(c: Column) -> Column:
     return F.flatten(F.transform(rows, lambda r: r["x"]))
 
 
-def _first(c: Column) -> Column:
-    return F.min_by(c, F.when(c.isNotNull(), F.col("ord")))
+def _listed(df: DataFrame, c: str) -> Column:
+    """A column that may be a scalar, a text of a JSON list or an array, as an array; null when missing or empty."""
+    kind = dict(df.dtypes).get(c, "void")
+    if kind.startswith("array"):
+        return some(F.transform(F.col(c), lambda x: x.cast("string")))
+    return some(as_list(F.col(c).cast("string"))) if kind != "void" else F.lit(None).cast("array<string>")
+
+
+def _either(df: DataFrame, one: str, many: str) -> Column:
+    return F.coalesce(_listed(df, one), _listed(df, many))
 
 
 def _known(a: Column) -> Column:
@@ -48,6 +57,8 @@ def consolidate(records: DataFrame, carry_other_damages: bool = True, claims: st
 
     claims: "first" keeps those of the first record, "union" all. anonymous: "each" record without plaintiffs is
     a plaintiff of its own; "first" counts only the first of them. ord of a case is that of its first record.
+    judge, citation and source_page may be scalars or lists; where one is missing, a column judges, citations or
+    source_pages stands for it. Citations are joined by "; ", and of several pages the first is the case's.
     """
     r = records.withColumn("case_name", F.coalesce(given(F.col("case_name")), F.lit("Unknown")))
     own = F.array(F.struct(
@@ -55,9 +66,12 @@ def consolidate(records: DataFrame, carry_other_damages: bool = True, claims: st
         F.coalesce("injuries", F.array().cast("array<string>")).alias("injuries"), F.col("comments"),
     ).cast(PLAINTIFF))
     r = r.withColumn("__p", F.coalesce(some(F.col("plaintiffs")), own)).withColumn("__bare", F.coalesce(F.size("plaintiffs"), F.lit(0)) < 1)
-    region = F.col("region") if dict(r.dtypes)["region"].startswith("array") else as_list(F.col("region"))
-    judge = F.col("judge") if dict(r.dtypes)["judge"].startswith("array") else as_list(F.col("judge"))
-    r = r.withColumns({"__region": region, "__judge": judge, "__category": as_list(F.col("category"))})
+    r = r.withColumns(
+        {
+            "__region": _listed(r, "region"), "__category": _listed(r, "category"), "__judge": _either(r, "judge", "judges"),
+            "__citation": F.array_join(_either(r, "citation", "citations"), "; "), "__page": _either(r, "source_page", "source_pages"),
+        }
+    )
     if anonymous == "first":
         first = r.where("__bare").groupBy("case_name", "year", "court").agg(F.min("ord").alias("__first"))
         keys = [r[c].eqNullSafe(first[c]) for c in ("case_name", "year", "court")]
@@ -65,7 +79,7 @@ def consolidate(records: DataFrame, carry_other_damages: bool = True, claims: st
         r = r.withColumn("__p", F.when(~F.col("__bare") | (F.col("ord") == F.col("__first")), F.col("__p")).otherwise(F.array().cast(f"array<{PLAINTIFF}>")))
     g = r.groupBy("case_name", "year", "court").agg(
         F.min("ord").alias("ord"), F.count("*").alias("n_records"),
-        F.min_by("__judge", "ord").alias("judges"), F.min_by("citation", "ord").alias("citation"), F.min_by("source_page", "ord").alias("source_page"),
+        F.min_by("__judge", "ord").alias("judges"), F.min_by("__citation", "ord").alias("citation"), F.get(F.min_by("__page", "ord"), F.lit(0)).cast("int").alias("source_page"),
         F.min_by("comments", "ord").alias("comments"),
         (F.min_by("family_law_act_claims", "ord") if claims == "first" else _gathered(F.col("family_law_act_claims"))).alias("claims"),
         (_gathered(F.col("other_damages")) if carry_other_damages else F.array().cast(f"array<struct<{AMOUNT}>>")).alias("other_damages"),
@@ -94,7 +108,9 @@ def numbered(df: DataFrame, order: str = "ord", then: list[str] | None = None, o
 
     The order is cut into ranges at its quantiles; rows are numbered inside their range, from the number of rows
     in the ranges before. No window goes over all rows, and only a count for each range comes to the driver.
+    The rows are stored first, so that what makes them runs once.
     """
+    df = stored(df, "numbered")
     bounds = sorted(set(df.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.25 / RANGES)))
     part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<double>"), lambda b: F.col(order) >= b))
     df = df.withColumn("__range", part)

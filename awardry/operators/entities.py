@@ -52,6 +52,32 @@ def by_category(cases: DataFrame, valid: DataFrame | None = None, regions: str =
     return rows
 
 
+#: How the category of a relationship begins.
+RELATION = "FLA: "
+
+
+def category_cases(cases: DataFrame, name: str, region: str = "region", regions: str = "regions", claims: str = "claims") -> DataFrame:
+    """The cases of one category: its name equals region or one of the regions, but for case; FLA: x: a claim of x is an award."""
+    if name.startswith(RELATION):
+        want = name[len(RELATION) :].strip().lower()
+        hit = F.exists(claims, lambda c: (F.lower(F.trim(F.coalesce(c["relationship"], F.lit("")))) == want) & F.coalesce(c["is_fla_award"], F.lit(True)))
+    else:
+        hit = (F.upper(F.coalesce(region, F.lit(""))) == name.upper()) | F.coalesce(F.exists(regions, lambda r: F.upper(r) == name.upper()), F.lit(False))
+    return cases.where(F.coalesce(hit, F.lit(False)))
+
+
+def category_points(cases: DataFrame, name: str, claim_amounts: bool = False, amount: str = "damages", adjusted: str = "adjusted", claims: str = "claims", **columns) -> DataFrame:
+    """Timeline points of one category: category, year, award, adjusted, case_name.
+
+    A category FLA: x shows the main award of its cases; with claim_amounts, each award of x instead, as it is.
+    """
+    rows = category_cases(cases, name, claims=claims, **columns).withColumn("category", F.lit(name))
+    if claim_amounts and name.startswith(RELATION):
+        own = awards(rows.drop(amount), claims).where(F.lower(F.trim("relationship")) == name[len(RELATION) :].strip().lower())
+        rows = own.withColumns({amount: F.col("amount"), adjusted: F.lit(None).cast("double")})
+    return timeline_points(rows, "category", amount, adjusted, keep=("case_name",))
+
+
 def by_claim_category(cases: DataFrame, claims: str = "claims", out: str = "category", amount: str = "amount") -> DataFrame:
     """A row for each case and relationship among its awards: category FLA: x, amount of the first claim with that relationship.
 
@@ -71,9 +97,9 @@ def all_categories(cases: DataFrame, valid: DataFrame | None = None, regions: st
     return own.unionByName(by_claim_category(cases, claims).select("category")).distinct()
 
 
-def judge_counts(cases: DataFrame, ord_column: str = "ord") -> DataFrame:
-    """(judge, n) after judge_cases."""
-    return judge_cases(cases, ord_column).groupBy("judge").agg(F.count("*").alias("n"))
+def judge_counts(cases: DataFrame) -> DataFrame:
+    """(judge, n): the cases of each judge, of the same name and year one."""
+    return by_judge(cases.select("judges", "case_name", "year")).select("judge", "case_name", "year").distinct().groupBy("judge").agg(F.count("*").alias("n"))
 
 
 def corpus_counts(cases: DataFrame, amount: str = "damages", plaintiffs: str = "plaintiffs") -> DataFrame:

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .statistics import with_quantiles
+
 
 def without_outliers(df: DataFrame, value: str, by: list[str] | None = None, threshold: float = 1.5, broadcast_groups: int = 100_000) -> DataFrame:
     """df without rows whose positive value lies beyond threshold interquartile ranges of its group's quartiles.
 
     Groups of fewer than four positive values stay whole, as do rows without a positive value. The quartiles
-    are exact. They are aggregated, not windowed: a large group's rows don't meet in one task for it.
+    are exact; statistics.quantiles finds them without a group's values in one task.
     """
     by = by or []
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    bounds = df.where(F.col(value) > 0).groupBy(*by).agg(q.alias("__q"), F.count("*").alias("__n")).where("__n >= 4")
-    gap = (F.col("__q")[1] - F.col("__q")[0]) * threshold
-    bounds = bounds.select(*[F.col(b).alias(f"__{b}") for b in by], (F.col("__q")[0] - gap).alias("__lo"), (F.col("__q")[1] + gap).alias("__hi"))
+    good = df.where(F.col(value) > 0).select(*by, value)
+    bounds = good.groupBy(*by).agg(F.count("*").alias("__n")).where("__n >= 4")
+    bounds = with_quantiles(bounds, good, by, value, {"__q1": 0.25, "__q3": 0.75})
+    gap = (F.col("__q3") - F.col("__q1")) * threshold
+    bounds = bounds.select(*[F.col(b).alias(f"__{b}") for b in by], (F.col("__q1") - gap).alias("__lo"), (F.col("__q3") + gap).alias("__hi"))
     if not by:
         joined = df.join(F.broadcast(bounds), F.lit(True), "left")  # one row at most
     else:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import given, report_findings, report_severity, shortened
-from .anatomy import text_regions
+from .anatomy import region_labels, text_regions
 from .statistics import summary
 
 
@@ -30,6 +30,21 @@ def report_search_text(injuries: Column, sequelae: Column) -> Column:
     return F.concat_ws(" | ", given(F.array_join(injuries, "; ")), given(F.array_join(sequelae, "; ")))
 
 
+def report_parameters(queries: DataFrame, labels: DataFrame) -> DataFrame:
+    """(query_id, place, name, value): the search parameters of a report, in their order.
+
+    queries: query_id, gender, age, regions, text. Gender and age appear where they are given; each region by its
+    label (region_id, label), else by its id; the description always.
+    """
+    told = F.col("gender").isNotNull() & ~F.col("gender").isin("", "Not Specified")
+    row = lambda place, name, value: F.struct(F.lit(place).alias("place"), F.lit(name).alias("name"), value.cast("string").alias("value"))
+    one = F.array_compact(F.array(F.when(told, row(0, "Gender", F.col("gender"))), F.when(F.col("age") != 0, row(1, "Age", F.col("age"))), row(10_000, "Injury Description", F.col("text"))))
+    rows = queries.select("query_id", F.explode(one).alias("r")).select("query_id", "r.*")
+    own = queries.select("query_id", F.posexplode("regions").alias("place", "region"))
+    own = region_labels(own, labels).select("query_id", (F.col("place") + 2).alias("place"), F.lit("Injured Region").alias("name"), F.col("label").alias("value"))
+    return rows.unionByName(own)
+
+
 def damages_report(results: DataFrame, amount: str = "damages", most: int = 10) -> tuple[DataFrame, DataFrame]:
     """(summary of the amounts, the top cases with number, match in per cent and shortened summary)."""
     cases = results.where(F.col("rank") <= most).select(

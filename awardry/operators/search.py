@@ -46,6 +46,18 @@ def expand_queries(queries: DataFrame, expansions: DataFrame, text: str = "text"
     return terms.union(queries.select("query_id", F.trim(F.lower(text)))).distinct()
 
 
+def expanded_texts(queries: DataFrame, expansions: DataFrame, text: str = "text") -> DataFrame:
+    """(query_id, expanded): each query's text twice, then its terms in order, as expanded_text."""
+    terms = expand_queries(queries, expansions, text).where(given(F.col("term")).isNotNull())
+    terms = terms.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("term")), ". ").alias("__terms"))
+    out = queries.select("query_id", text).join(terms, "query_id", "left")
+    return out.select("query_id", F.concat(text, F.lit(". "), text, F.lit(". "), F.coalesce("__terms", F.lit(""))).alias("expanded"))
+
+
+#: Words of a set of queries that are looked for in each document before its tokens are shuffled, at most.
+FEW_WORDS = 256
+
+
 @dataclass
 class Query:
     """What is looked for. injuries are phrases, keywords are tokens (of the expanded query), vectors are lists or None."""
@@ -73,7 +85,12 @@ def keyword_scores(documents: DataFrame, queries: DataFrame, mean_length: float
 
     documents: id, tokens. queries: query_id, tokens (with repetitions). A query set is small; what isn't is shuffled by token.
     """
-    docs = documents.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("token")).groupBy("id", "len", "token").agg(F.count("*").alias("tf"))
+    documents = documents.select("id", F.size("tokens").alias("len"), "tokens")
+    words = queries.select(F.explode("tokens").alias("t")).distinct()
+    if words.limit(FEW_WORDS + 1).count() <= FEW_WORDS:  # only the queries' words are exploded and shuffled
+        held = F.broadcast(words.agg(F.collect_list("t").alias("__words")))  # one row
+        documents = documents.crossJoin(held).withColumn("tokens", F.filter("tokens", lambda t: F.array_contains("__words", t)))
+    docs = documents.select("id", "len", F.explode("tokens").alias("token")).groupBy("id", "len", "token").agg(F.count("*").alias("tf"))
     q = queries.select("query_id", F.size(F.array_distinct("tokens")).alias("distinct"), F.explode("tokens").alias("token"))
     q = q.groupBy("query_id", "distinct", "token").agg(F.count("*").alias("times"))
     part = F.col("times") * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / mean_length)) / F.col("distinct")
@@ -81,10 +98,15 @@ def keyword_scores(documents: DataFrame, queries: DataFrame, mean_length: float
     return docs.join(q, "token").groupBy("query_id", "id").agg(score.alias("keyword"))
 
 
+def case_text() -> Column:
+    """Injuries and comments of a case, in lower case, in which the severity is looked for."""
+    return F.lower(F.concat_ws(" ", "injuries", given(F.col("comments"))))
+
+
 def case_meta(q: Query) -> Column:
-    """The meta score of a case against a query."""
+    """The meta score of a case, with case_text() as __low, against a query."""
     wanted = F.array(*[F.lit(i) for i in q.injuries]) if q.injuries else F.array().cast("array<string>")
-    return meta_score(F.col("injuries"), F.col("comments"), F.col("sex"), F.col("age"), wanted, F.lit(q.gender), F.lit(q.age), F.lit(q.text))
+    return meta_score(F.col("injuries"), F.col("comments"), F.col("sex"), F.col("age"), wanted, F.lit(q.gender), F.lit(q.age), F.lit(q.text), F.col("__low"))
 
 
 def scored(cases: DataFrame, q: Query, given_weights: dict[str, float] | None = None) -> DataFrame:
@@ -96,10 +118,11 @@ def scored(cases: DataFrame, q: Query, given_weights: dict[str, float] | None =
     rows = cases.where(in_categories(F.col("regions"), q.regions))
     vector = lambda v: cosine(F.col("vec"), F.array(*[F.lit(float(x)) for x in v])) if v else F.lit(0.0)
     document = document_tokens(F.col("injuries"), F.col("comments"), F.col("case_name"), F.col("summary_text"))
-    total = vector(q.full_vector) * w["semantic"] + F.col("injury_sim") * w["injury"] + keyword_score(document, q.keywords) * w["keyword"]
+    total = vector(q.full_vector) * w["semantic"] + F.col("injury_sim") * w["injury"] + keyword_score(F.col("__tokens"), q.keywords) * w["keyword"]
     if w["meta"]:
         total = total + case_meta(q) * w["meta"]
-    return rows.withColumn("injury_sim", vector(q.injury_vector)).withColumn("combined", total)
+    rows = rows.withColumns({"injury_sim": vector(q.injury_vector), "__tokens": document, "__low": case_text()})
+    return rows.withColumn("combined", total).drop("__tokens", "__low")
 
 
 def deduplicated(results: DataFrame, by: list[str] | None = None, score: str = "combined", order: str = "ord") -> DataFrame:
@@ -153,11 +176,11 @@ def search_many(cases: DataFrame, queries: DataFrame, q: Query, n: int = 5, give
     w = weights(True, given_weights)
     weight = w["semantic"] + w["injury"]
     document = document_tokens(F.col("injuries"), F.col("comments"), F.col("case_name"), F.col("summary_text"))
-    rest = keyword_score(document, q.keywords) * w["keyword"] + case_meta(q) * w["meta"]
+    rest = keyword_score(F.col("__tokens"), q.keywords) * w["keyword"] + case_meta(q) * w["meta"]
     name = F.lower(F.trim("case_name"))
     spark = cases.sparkSession
     rows = cases.where(F.col("vec").isNotNull() & (F.coalesce(name, F.lit("")) != ""))
-    rows = rows.select("id", "case_name", name.alias("name"), "vec", rest.alias("rest"))
+    rows = rows.withColumns({"__tokens": document, "__low": case_text()}).select("id", "case_name", name.alias("name"), "vec", rest.alias("rest"))
     # as many parts at any size of the input, as each part returns n rows for each query
     rows = rows.repartition(4 * spark.sparkContext.defaultParallelism)
     queries = queries.select("query_id", "vec").where(F.col("vec").isNotNull())
@@ -199,6 +222,11 @@ def search(cases: DataFrame, q: Query, n: int = 25, given_weights: dict[str, flo
     return top(deduplicated(scored(cases, q, given_weights)), n)
 
 
+def only(results: DataFrame, ids: DataFrame) -> DataFrame:
+    """Results whose id is among those that filters leave."""
+    return results.join(ids.select("id"), "id", "left_semi")
+
+
 def search_without_outliers(cases: DataFrame, q: Query, amount: str, n: int = 25, threshold: float = 1.5, **options) -> DataFrame:
     """Three times as many results, without outliers by amount if there are over four, cut to n."""
     found = search(cases, q, 3 * n, **options)

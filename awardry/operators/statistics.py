@@ -1,32 +1,80 @@
-"""Statistics of awards. Medians and quartiles are exact, deviations are of the population."""
+"""Statistics of awards. Medians and quartiles are exact and need no group in one task; deviations are of the population."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 
 
+#: Buckets of quantiles are 1 / WIDTH of a value wide, on the scale of logarithms.
+WIDTH = 46
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """(by, name of each quantile): exact quantiles, linear between two values, of each group that has a value.
+
+    Values are counted by group and value, then by bucket of values, of which a group has some thousands at most.
+    Running counts of the buckets tell in which of them the ranks lie; only the different values of these are looked
+    through. So no task holds a group's values, however many they are, and the rows are read once.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    size = F.floor(F.log(F.abs("__v")) * WIDTH) + 100_000
+    counted = counted.withColumn("__b", F.when(F.col("__v") > 0, size).when(F.col("__v") < 0, -size).otherwise(0))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    upto = lambda w, order: F.sum("__c").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    levels = counted.groupBy(*by, "__b").agg(F.sum("__c").alias("__c"))
+    levels = levels.withColumns({"__upto": upto(group, "__b"), "__n": F.sum("__c").over(group)})
+    last = F.col("__n") - 1
+    rank = lambda name, end, x: F.struct(F.lit(name).alias("q"), F.lit(end).alias("end"), x.cast("long").alias("r"))
+    ranks = F.array(*[rank(k, e, f(last * q)) for k, q in at.items() for e, f in (("lo", F.floor), ("hi", F.ceil))])
+    levels = levels.withColumn("__base", F.col("__upto") - F.col("__c"))
+    inside = F.filter(ranks, lambda x: (x["r"] >= F.col("__base")) & (x["r"] < F.col("__upto")))
+    levels = levels.withColumn("__ranks", inside).where(F.size("__ranks") > 0)
+    right = levels.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__b").alias("__bucket"), "__base", "__n", "__ranks")
+    on = [counted[c].eqNullSafe(right[f"__{c}"]) for c in by] + [counted["__b"] == right["__bucket"]]
+    found = counted.join(right, on)
+    found = found.withColumn("__to", F.col("__base") + upto(Window.partitionBy(*by, "__b"), "__v"))
+    own = F.filter("__ranks", lambda x: (x["r"] >= F.col("__to") - F.col("__c")) & (x["r"] < F.col("__to")))
+    found = found.select(*by, "__v", "__n", F.explode(own).alias("__r"))
+    value_at = lambda k, e: F.max(F.when((F.col("__r.q") == k) & (F.col("__r.end") == e), F.col("__v")))
+    place = lambda q: (F.max("__n") - 1) * q
+    part = lambda q: place(q) - F.floor(place(q))
+    between = lambda k, q: value_at(k, "lo") * (1 - part(q)) + value_at(k, "hi") * part(q)
+    return found.groupBy(*by).agg(*[between(k, q).alias(k) for k, q in at.items()])
+
+
+def with_quantiles(stats: DataFrame, df: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """stats, a row for each group, with the exact quantiles of df; null for a group without values."""
+    q = quantiles(df, by, value, at)
+    right = q.select(*[F.col(c).alias(f"__{c}") for c in by], *at)
+    on = [stats[c].eqNullSafe(right[f"__{c}"]) for c in by] or F.lit(True)
+    return stats.join(right if by else F.broadcast(right), on, "left").drop(*[f"__{c}" for c in by])  # without groups: one row
+
+
 def of_amounts(c: Column, name: str) -> list[Column]:
-    """mean, median, min, max and std of an amount; 0 where there is none."""
+    """mean, min, max and std of an amount; 0 where there is none."""
     zero = lambda x, what: F.coalesce(x, F.lit(0.0)).alias(f"{what}_{name}")
-    return [zero(F.avg(c), "mean"), zero(F.median(c), "median"), zero(F.min(c), "min"), zero(F.max(c), "max"), zero(F.stddev_pop(c), "std")]
+    return [zero(F.avg(c), "mean"), zero(F.min(c), "min"), zero(F.max(c), "max"), zero(F.stddev_pop(c), "std")]
 
 
 def award_statistics(df: DataFrame, by: list[str], amount: str = "amount", adjusted: str = "adjusted", year: str = "year") -> DataFrame:
     """A row for each group: cases, cases with an award, statistics of original and adjusted awards, first and last year.
 
-    One grouped aggregate stands for a pass over all cases for each judge or category.
+    One grouped aggregate stands for a pass over all cases for each judge or category; medians come by quantiles().
     """
     award = F.when(F.col(amount) > 0, F.col(amount))
     money = F.when(F.col(amount) > 0, F.coalesce(F.nullif(F.col(adjusted), F.lit(0.0)), F.col(amount)))
     real_year = F.nullif(F.col(year), F.lit(0))
-    return df.groupBy(*by).agg(
-        F.count("*").alias("total_cases"), F.count(award).alias("cases_with_award"),
-        *of_amounts(award, "award"), *of_amounts(money, "adjusted"),
-        F.min(real_year).alias("first_year"), F.max(real_year).alias("last_year"),
+    df = df.select(*by, award.alias("award"), money.alias("money"), real_year.alias("real_year"))
+    out = df.groupBy(*by).agg(
+        F.count("*").alias("total_cases"), F.count("award").alias("cases_with_award"),
+        *of_amounts(F.col("award"), "award"), *of_amounts(F.col("money"), "adjusted"),
+        F.min("real_year").alias("first_year"), F.max("real_year").alias("last_year"),
     )
+    out = with_quantiles(out, df, by, "award", {"median_award": 0.5})
+    return with_quantiles(out, df, by, "money", {"median_adjusted": 0.5}).na.fill(0.0, ["median_award", "median_adjusted"])
 
 
 def distribution(df: DataFrame, by: list[str], value: Column, name: str = "value") -> DataFrame:
@@ -41,27 +89,28 @@ def as_map(counts: DataFrame, by: list[str], name: str = "value") -> DataFrame:
 
 def five_numbers(df: DataFrame, by: list[str], amount: str, least: int = 2) -> DataFrame:
     """min, q25, median, q75, max and n of the groups with least values or more."""
-    q = F.percentile(amount, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(F.min(amount).alias("min"), q.alias("q"), F.max(amount).alias("max"), F.count(amount).alias("n"))
-    return out.where(F.col("n") >= least).select(*by, "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "max", "n")
+    out = df.groupBy(*by).agg(F.min(amount).alias("min"), F.max(amount).alias("max"), F.count(amount).alias("n")).where(F.col("n") >= least)
+    return with_quantiles(out, df, by, amount, {"q25": 0.25, "median": 0.5, "q75": 0.75}).select(*by, "min", "q25", "median", "q75", "max", "n")
 
 
 def timeline(df: DataFrame, amount: str, by: list[str] | None = None, year: str = "year") -> DataFrame:
     """mean, median and n by year (and group)."""
-    return df.groupBy(*(by or []), year).agg(F.avg(amount).alias("mean"), F.median(amount).alias("median"), F.count(amount).alias("n"))
+    keys = [*(by or []), year]
+    out = df.groupBy(*keys).agg(F.avg(amount).alias("mean"), F.count(amount).alias("n"))
+    return with_quantiles(out, df, keys, amount, {"median": 0.5}).select(*keys, "mean", "median", "n")
 
 
 def summary(df: DataFrame, amount: str) -> DataFrame:
     """median, mean, min, max and n of all amounts."""
-    return df.agg(
-        F.median(amount).alias("median"), F.avg(amount).alias("mean"), F.min(amount).alias("min"), F.max(amount).alias("max"), F.count(amount).alias("n")
-    )
+    out = df.agg(F.avg(amount).alias("mean"), F.min(amount).alias("min"), F.max(amount).alias("max"), F.count(amount).alias("n"))
+    return with_quantiles(out, df, [], amount, {"median": 0.5}).select("median", "mean", "min", "max", "n")
 
 
 def change_summary(df: DataFrame, amount: str = "amount", adjusted: str = "adjusted") -> DataFrame:
     """Median original, median adjusted, mean change in per cent."""
     percent = (F.col(adjusted) - F.col(amount)) / F.nullif(F.col(amount), F.lit(0.0)) * 100
-    return df.agg(F.median(amount).alias("median_original"), F.median(adjusted).alias("median_adjusted"), F.avg(percent).alias("mean_change"))
+    out = with_quantiles(df.agg(F.avg(percent).alias("mean_change")), df, [], amount, {"median_original": 0.5})
+    return with_quantiles(out, df, [], adjusted, {"median_adjusted": 0.5}).select("median_original", "median_adjusted", "mean_change")
 
 
 def trend_line(df: DataFrame, amount: str, year: str = "year", points: int = 100) -> DataFrame:
@@ -76,7 +125,8 @@ def trend_line(df: DataFrame, amount: str, year: str = "year", points: int = 100
 
 def cap_comparison(df: DataFrame, amount: str, cap: float = fixed.DAMAGES_CAP) -> DataFrame:
     """min, median and max against the cap: measure, amount, percent, band. Empty for fewer than two values."""
-    one = df.agg(F.min(amount).alias("lo"), F.median(amount).alias("mid"), F.max(amount).alias("hi"), F.count(amount).alias("n")).where("n >= 2")
+    one = df.agg(F.min(amount).alias("lo"), F.max(amount).alias("hi"), F.count(amount).alias("n")).where("n >= 2")
+    one = with_quantiles(one, df, [], amount, {"mid": 0.5})
     rows = one.select(F.stack(F.lit(3), F.lit("min"), F.col("lo"), F.lit("median"), F.col("mid"), F.lit("max"), F.col("hi")).alias("measure", "amount"))
     percent = F.col("amount") / cap * 100
     band = F.when(percent < 25, "low").when(percent < 50, "moderate").when(percent < 75, "high").otherwise("very high")

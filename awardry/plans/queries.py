@@ -8,20 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import fixed, predicates, scores, text
 from ..operators import boolean_query, consolidate, embedding, entities, inflation, ingest, outliers, reports, search, statistics
 from ..streaming.running import running_statistics
+from ..working import new_path
 from . import adapters as A
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -176,7 +165,8 @@ def claim_timeline(spark, sf_dir):
 @query(f"with {A.CLAIMS_SQL} select count(distinct id) as cases, count(*) as awards, round(sum(amount), 2) as total, median(amount) as median from aw")
 def claim_overview(spark, sf_dir):
     rows = entities.awards(entities.with_claims(A.claimed_cases(spark, sf_dir)))
-    return rows.agg(F.count_distinct("id").alias("cases"), F.count("*").alias("awards"), F.round(F.sum("amount"), 2).alias("total"), F.median("amount").alias("median"))
+    one = rows.agg(F.count_distinct("id").alias("cases"), F.count("*").alias("awards"), F.round(F.sum("amount"), 2).alias("total"))
+    return statistics.with_quantiles(one, rows, [], "amount", {"median": 0.5})
 
 
 @query(f"""with {A.CASES_SQL}, l as (select *, round(l_extendedprice, 2) as amount, l_linestatus = 'F' as good from lineitem),
@@ -186,7 +176,9 @@ select 'FLA: ' || k.rel as category, count(*) as n, count(case when good and f.a
 from k join f on f.l_orderkey = k.l_orderkey and f.rel = k.rel and f.r = 1 join cases on cases.id = k.l_orderkey group by 1""")
 def claim_category_statistics(spark, sf_dir):
     rows = entities.by_claim_category(A.claimed_cases(spark, sf_dir))
-    return rows.groupBy("category").agg(F.count("*").alias("n"), F.count("amount").alias("n_awards"), F.round(F.coalesce(F.median("amount"), F.lit(0.0)), 4).alias("median"))
+    out = rows.groupBy("category").agg(F.count("*").alias("n"), F.count("amount").alias("n_awards"))
+    out = statistics.with_quantiles(out, rows, ["category"], "amount", {"median": 0.5})
+    return out.withColumn("median", F.round(F.coalesce("median", F.lit(0.0)), 4))
 
 
 @query(f"""with {A.CLAIMS_SQL} select distinct upper(trim(category)) as category from cases where upper(trim(category)) in ('5-LOW', '1-URGENT', '2-HIGH')
@@ -299,12 +291,14 @@ def severe_text() -> F.Column:
 
 @query(f"select doc_id, round({severity_sql(SEVERE_TEXT_SQL)}, 6) as severity, round(exp(-3 * abs({severity_sql(SEVERE_TEXT_SQL)} - 0.75)), 6) as proximity from documents")
 def severity_score(spark, sf_dir):
-    s = scores.severity(severe_text())
-    return A.table(spark, sf_dir, "documents").select("doc_id", F.round(s, 6).alias("severity"), F.round(scores.severity_proximity(s, F.lit(0.75)), 6).alias("proximity"))
+    d = A.table(spark, sf_dir, "documents").select("doc_id", severe_text().alias("low"))
+    d = d.withColumn("severity", scores.severity(F.col("low"), F.col("low")))
+    s = F.col("severity")
+    return d.select("doc_id", F.round(s, 6).alias("severity"), F.round(scores.severity_proximity(s, F.lit(0.75)), 6).alias("proximity"))
 
 
 WANTED = ["the", "thion", "of", "in"]
-INJURIES_SQL = "list_distinct(list_filter(string_split_regex(lower(left(text, 80)), '[^a-z]+'), lambda w: length(w) > 1))"
+INJURIES_SQL = "list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) > 1))"
 _OVERLAP = f"case when len(injuries) = 0 then 0.0 else len(list_intersect(injuries, {WANTED!r})) / {len(WANTED)}.0 end"
 _GAP = "abs(age - 40)"
 META_SQL = f"""greatest(0, least(1, ({_OVERLAP}) * 0.6 + exp(-3 * abs({severity_sql('ctext')} - 0.5)) * 0.2 + case when sex is null then 0.5 when sex = 'F' then 1 else 0 end * 0.1
@@ -317,9 +311,9 @@ TEXT_CASES_SQL = f"""tcases as (select *, lower(concat_ws(' ', nullif(array_to_s
 
 @query(f"with {TEXT_CASES_SQL} select id, round({META_SQL}, 6) as meta, round({_OVERLAP}, 6) as overlap from tcases")
 def meta_score(spark, sf_dir):
-    c = A.text_cases(spark, sf_dir)
+    c = A.text_cases(spark, sf_dir).withColumn("low", search.case_text())
     wanted = F.array(*[F.lit(w) for w in WANTED])
-    meta = scores.meta_score(F.col("injuries"), F.col("comments"), F.col("sex"), F.col("age"), wanted, F.lit("female"), F.lit(40), F.lit("plain words"))
+    meta = scores.meta_score(F.col("injuries"), F.col("comments"), F.col("sex"), F.col("age"), wanted, F.lit("female"), F.lit(40), F.lit("plain words"), F.col("low"))
     return c.select("id", F.round(meta, 6).alias("meta"), F.round(scores.injury_overlap(F.col("injuries"), wanted), 6).alias("overlap"))
 
 
@@ -344,9 +338,18 @@ def hybrid_search(spark, sf_dir):
     return found(spark, sf_dir, 25).select("id", "case_name", "rank", F.round("injury_sim", 6).alias("injury_sim"), F.round("combined", 6).alias("combined"))
 
 
-@query(f"""with {BM25_SQL}, qv as (select vec_id as qid, embedding as qe from embeddings where vec_id < 8),
-s as (select qid as query_id, vec_id as id, round(list_dot_product(e.embedding::double[], qe::double[]) / sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) / sqrt(list_dot_product(qe::double[], qe::double[])), 6) as similarity from embeddings e, qv)
-select query_id, id, similarity, rank::int as rank from (select *, row_number() over (partition by query_id order by similarity desc, id) as rank from s) where rank <= 5""")
+#: All languages; the vector of each row whose id is divisible by 20.
+MANY_SQL = f"""with {TEXT_CASES_SQL}, dt as (select *, {TOKENS_SQL.format(_DOC)} as ts from tcases),
+base as (select *, ({_KW}) * 0.35 + ({META_SQL}) * 0.1 as rest from dt),
+qv as (select vec_id as query_id, embedding::double[] as qe from embeddings where vec_id % 20 = 0),
+s as (select query_id, id, case_name, rest, list_dot_product(embedding::double[], qe) / sqrt(list_dot_product(embedding::double[], embedding::double[])) / sqrt(list_dot_product(qe, qe)) as sim from base, qv),
+sc as (select *, round(sim * 0.55 + rest, 9) as combined from s),
+dd as (select * from (select *, row_number() over (partition by query_id, lower(trim(case_name)) order by combined desc, id) as k from sc) where k = 1)
+select query_id, id, case_name, round(sim, 6) as similarity, round(combined, 6) as combined, rank::int as rank
+from (select *, row_number() over (partition by query_id order by combined desc, id) as rank from dd) where rank <= 5"""
+
+
+@query(MANY_SQL)
 def hybrid_search_multi(spark, sf_dir):
     """The query set are the rows whose id is divisible by 20; each is held against all rows."""
     cases = A.text_cases(spark, sf_dir)
@@ -438,10 +441,27 @@ _TERMS = [r"\b(thion \w+)", r"\b(\w+ of the)", r"\b(idiot|clown)\b"]
 #: The same with ASCII boundaries, as in SQL: Java's \b may know other letters than its \w.
 _BEFORE, _AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 _ASCII_TERMS = [rf"{_BEFORE}(thion \w+)", rf"{_BEFORE}(\w+ of the)", rf"{_BEFORE}(idiot|clown){_AFTER}"]
-_TERMS_SQL = " || ".join(f"regexp_extract_all(lower(coalesce(text, '')), '{p}', 1)" for p in _TERMS)
+def found_sql(x: str, patterns: list[str]) -> str:
+    """All of group 1 of each expression in turn, trimmed."""
+    return "list_transform(" + " || ".join(f"regexp_extract_all({x}, '{p}', 1)" for p in patterns) + ", lambda x: trim(x))"
+
 
+def firsts_sql(a: str, most: int = 10) -> str:
+    """The first different ones of a list."""
+    return f"array_to_string(list_filter({a}, lambda x, i: list_position({a}, x) = i)[1:{most}], '|')"
 
-@query(f"select doc_id, array_to_string(list_transform({_TERMS_SQL}, lambda x: trim(x)), '|') as terms, case when regexp_matches(lower(text), 'severe|significant|major|profound') then 'severe' when regexp_matches(lower(text), 'mild|minor|slight') then 'mild' else 'moderate' end as severity from documents where lang = 'en'")
+
+def extracted_sql(x: str) -> str:
+    """The columns of injuries, findings and sequelae of a lower-case text."""
+    cut = lambda patterns: f"list_transform({found_sql(x, patterns)}, lambda x: left(x, 80))"
+    injuries = f"list_filter({found_sql(x, fixed.COMMENT_INJURIES)}, lambda x: length(x) > 3)"
+    return f"{firsts_sql(injuries)} as injuries, {firsts_sql(cut(fixed.REPORT_INJURIES))} as findings, {firsts_sql(cut(fixed.REPORT_SEQUELAE))} as sequelae"
+
+
+SEVERITY_WORDS_SQL = f"case when regexp_matches(body, '{'|'.join(fixed.REPORT_SEVERE)}') then 'severe' when regexp_matches(body, '{'|'.join(fixed.REPORT_MILD)}') then 'mild' else 'moderate' end"
+
+
+@query(f"""select doc_id, array_to_string({found_sql('body', _TERMS)}, '|') as terms, {SEVERITY_WORDS_SQL} as severity, {extracted_sql('body')} from (select doc_id, lower(coalesce(text, '')) as body from documents)""")
 def extract_terms_regex(spark, sf_dir):
     docs = A.table(spark, sf_dir, "documents")
     found_terms = text.matches(F.lower(F.coalesce("text", F.lit(""))), _ASCII_TERMS)
@@ -479,11 +499,11 @@ def region_laterality(spark, sf_dir):
 @query("select event_type, count(value) as n, round(avg(value), 4) as mean, min(value) as min, max(value) as max, round(stddev_pop(value), 4) as std from events group by 1")
 def streaming_running_stats(spark, sf_dir):
     """The running statistics after all rows have come through a stream."""
-    import uuid
-
     schema = A.table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    name = "running_" + uuid.uuid4().hex
-    q = running_statistics(stream, "event_type", "value").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    path = new_path(spark, "running")
+    running = running_statistics(stream, "event_type", "value")
+    keep = lambda df, number: df.write.mode("overwrite").parquet(f"{path}/result")  # noqa: E731  the whole result, a row for each group
+    q = running.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return rounded(spark.table(name))
+    return rounded(spark.read.schema(running.schema).parquet(f"{path}/result"))

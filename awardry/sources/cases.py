@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from ..functions.text import as_list
 from ..operators.consolidate import consolidate, dashboard
 from ..schemas import DASHBOARD_CASE, FLAT_CASE, PARSED_CASE
+from ..working import stored
 
 SCHEMAS = {"parsed": PARSED_CASE, "dashboard": DASHBOARD_CASE, "flat": FLAT_CASE}
 
 
-def with_order(df: DataFrame, column: str = "ord") -> DataFrame:
-    """df with its rows numbered from 0 in input order, without a window over all of them."""
-    schema = df.schema.add(column, "long")
-    return df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])).toDF(schema)
+def with_order(files: DataFrame, column: str = "ord") -> DataFrame:
+    """A table of files with its rows numbered from 0 in input order: by file, place in the file and row.
+
+    Rows are stored with their number inside their part of a file; only the parts, a row each, are put in order.
+    """
+    names = files.columns
+    rows = files.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__at"))
+    rows = stored(rows, "ordered")
+    parts = rows.groupBy("__file", "__start").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("__file", "__start", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+    rows = rows.join(parts, ["__file", "__start"])
+    return rows.select(*names, (F.col("__before") + F.col("__at") - F.col("__first")).alias(column))
 
 
 def read_cases(spark: SparkSession, path: str, kind: str, lines: bool = False) -> DataFrame:
@@ -76,5 +86,11 @@ def write_vectors(df: DataFrame, path: str, id_column: str = "case_id", vector:
     df.select(F.col(id_column).alias("case_id"), F.col(vector).alias("vec"), F.sqrt(square).alias("vec_norm")).write.mode("overwrite").parquet(path)
 
 
+def read_vectors(spark: SparkSession, path: str, cases: DataFrame | None = None, id_column: str = "id") -> DataFrame:
+    """(case_id, vec, vec_norm) as written; with cases, these with vec and vec_norm of their id, null where there is none."""
+    vectors = spark.read.schema("case_id long, vec array<float>, vec_norm double").parquet(path)
+    return vectors if cases is None else cases.join(vectors.withColumnRenamed("case_id", id_column), id_column, "left")
+
+
 def write_cases(df: DataFrame, path: str, form: str = "parquet") -> None:
     df.write.mode("overwrite").format(form).save(path)

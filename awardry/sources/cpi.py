@@ -43,6 +43,12 @@ def write_cpi(cpi: DataFrame, path: str) -> None:
     out.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def cpi_info(cpi: DataFrame) -> DataFrame:
-    """earliest, latest and number of years."""
-    return cpi.agg(F.min("year").alias("earliest"), F.max("year").alias("latest"), F.count("*").alias("years"))
+def available_years(cpi: DataFrame) -> DataFrame:
+    """The years that have an index, in order."""
+    return cpi.select("year").distinct().orderBy("year")
+
+
+def cpi_info(cpi: DataFrame, name: str = "Built-in data") -> DataFrame:
+    """earliest, latest and number of years, and a line that names the source."""
+    out = cpi.agg(F.min("year").alias("earliest"), F.max("year").alias("latest"), F.count("*").alias("years"))
+    return out.withColumn("source", F.format_string(f"{name} (%d years: %d-%d)", "years", "earliest", "latest"))

@@ -3,38 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.consolidate import consolidate
 from ..schemas import PARSED_CASE
 
 KEYS = ["case_name", "year", "court"]
+#: Parts into which records and cases are dealt by their key.
+PARTS = 64
 
 
-def ingest_stream(spark: SparkSession, incoming: str, records: str, store: str, checkpoint: str, **options) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, incoming: str, records: str, store: str, checkpoint: str, parts: int = PARTS, **options) -> StreamingQuery:
     """Run over all new JSON-lines files of incoming, then stop; a restart goes on where the checkpoint ends.
 
-    Records are appended below records by batch, so that a batch that is run again replaces itself. Only the
-    cases whose key a batch touches are consolidated anew; each version of the store is a folder of its own.
+    Records are appended below records by batch and part, so that a batch that is run again replaces itself. Only
+    the parts of the store that a batch's keys fall into are consolidated anew, from their records, and replaced.
     """
     rows = spark.readStream.schema(PARSED_CASE + ", ord long").json(incoming)
 
     def batch(df: DataFrame, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{records}/batch={number}")
-        every = spark.read.parquet(records).where(f"batch <= {number}").drop("batch")
-        keys = df.select(*KEYS).distinct()
-        same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in KEYS]
-        touched = consolidate(every.join(keys, same(every, keys), "left_semi"), **options)
-        if number:
-            old = spark.read.parquet(f"{store}/version={number - 1}")
-            new = touched.select(*KEYS)
-            touched = old.join(new, same(old, new), "left_anti").unionByName(touched)
-        touched.write.mode("overwrite").parquet(f"{store}/version={number}")
+        part = F.pmod(F.xxhash64(*KEYS), F.lit(parts)).cast("int").alias("part")
+        df.select("*", part).write.mode("overwrite").partitionBy("part").parquet(f"{records}/batch={number}")
+        touched = [r[0] for r in spark.read.parquet(f"{records}/batch={number}").select("part").distinct().collect()]  # at most parts numbers
+        every = spark.read.parquet(records).where((F.col("batch") <= number) & F.col("part").isin(touched))
+        cases = consolidate(every.drop("batch", "part"), **options).select("*", part)
+        cases.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(store)
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_version(spark: SparkSession, store: str) -> DataFrame:
-    rows = spark.read.parquet(store)
-    last = rows.agg({"version": "max"}).first()[0]
-    return rows.where(rows["version"] == last).drop("version")
+def stored_cases(spark: SparkSession, store: str) -> DataFrame:
+    """The consolidated cases of all batches so far."""
+    return spark.read.parquet(store).drop("part")

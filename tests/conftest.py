@@ -5,7 +5,10 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
+
+from awardry.working import let_workers_import  # noqa: E402
+
+let_workers_import()
 DATA = "/root/testdata/sf0.001"
 
 

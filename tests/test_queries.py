@@ -2,7 +2,7 @@ import glob
 import os
 
 import pytest
-from awardry.plans.queries import ORACLE_SQL, QUERIES
+from awardry.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,6 +25,8 @@ def duck():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     got = QUERIES[name](spark, SF).toPandas()
+    if name not in ORACLE_SQL:
+        pytest.skip("no SQL; tests of its own")
     want = duck.sql(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows_of(got) == rows_of(want)
