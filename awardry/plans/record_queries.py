@@ -8,7 +8,7 @@ from ..functions import fixed, text
 from ..operators import consolidate, entities, inflation, ingest
 from ..sources import cases as case_files
 from ..sources import cpi as cpi_files
-from ..streaming.ingest import ingest_stream, stored_cases
+from ..streaming.ingest import ingest_stream, latest_version
 from ..working import new_path, stored
 from . import adapters as A
 from . import record_tables as R
@@ -310,4 +310,4 @@ def streaming_ingest(spark, sf_dir):
     for lot in (0, 1):
         rows.where(F.col("ord") % 2 == lot).write.mode("append").json(f"{base}/in")
         ingest_stream(spark, f"{base}/in", f"{base}/records", f"{base}/store", f"{base}/checkpoint", parts=8).awaitTermination()
-    return stored_cases(spark, f"{base}/store").select("ord", "case_name", "year", "court", "n_records", F.size("plaintiffs").alias("num_plaintiffs"))
+    return latest_version(spark, f"{base}/store").select("ord", "case_name", "year", "court", "n_records", F.size("plaintiffs").alias("num_plaintiffs"))

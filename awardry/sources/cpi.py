@@ -48,7 +48,7 @@ def available_years(cpi: DataFrame) -> DataFrame:
     return cpi.select("year").distinct().orderBy("year")
 
 
-def cpi_info(cpi: DataFrame, name: str = "Built-in data") -> DataFrame:
+def cpi_info(cpi: DataFrame, name: str = "Fallback data") -> DataFrame:
     """earliest, latest and number of years, and a line that names the source."""
     out = cpi.agg(F.min("year").alias("earliest"), F.max("year").alias("latest"), F.count("*").alias("years"))
     return out.withColumn("source", F.format_string(f"{name} (%d years: %d-%d)", "years", "earliest", "latest"))

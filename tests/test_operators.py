@@ -1,7 +1,9 @@
 """Operators on the small fixtures that were worked out by hand."""
 
 import json
+import random
 
+import numpy as np
 import pytest
 from awardry.functions import predicates, scores, text
 from awardry.operators import anatomy, boolean_query, consolidate, entities, inflation, ingest, outliers, reports, search, statistics
@@ -47,7 +49,7 @@ def test_inflation(spark, tmp_path):
     assert C.read_cpi(spark, str(tmp_path / "cpi.csv")).count() == 112
     C.write_cpi(C.built_in_cpi(spark), str(tmp_path / "out"))
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 112
-    assert tuple(C.cpi_info(C.built_in_cpi(spark)).first()) == (1914, 2025, 112)
+    assert tuple(C.cpi_info(C.built_in_cpi(spark)).first()) == (1914, 2025, 112, "Fallback data (112 years: 1914-2025)")
 
 
 def test_text_functions(spark):
@@ -284,3 +286,46 @@ def test_vectors(spark):
     q = df.where("i = 1").first().vec
     got = {r.i: r.similarity for r in similarities(df, q).collect()}
     assert got[1] == pytest.approx(1.0) and got[2] == 0.0
+
+
+def test_quantiles_by_brute_force(spark):
+    """Exact quantiles of groups of all sizes, with repeated, negative, zero and missing values and a missing group."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "b", None]), rng.choice([None, 0.0, -3.5, round(rng.lognormvariate(8, 2), 2)])) for _ in range(3000)] + [("one", 7.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    at = {"q0": 0.0, "q10": 0.1, "mid": 0.5, "q75": 0.75, "q100": 1.0}
+    groups = {g: [v for h, v in rows if h == g and v is not None] for g, _ in rows}
+    got = {r.g: r for r in statistics.quantiles(df, ["g"], "v", at).collect()}
+    assert got.keys() == {g for g, v in groups.items() if v}
+    for g, r in got.items():
+        assert np.allclose([r[k] for k in at], np.quantile(groups[g], list(at.values())))
+    every = [v for _, v in rows if v is not None]
+    assert np.allclose(list(statistics.quantiles(df, [], "v", at).first()), np.quantile(every, list(at.values())))
+    assert statistics.quantiles(df.limit(0), ["g"], "v", at).count() == 0
+    plan = statistics.award_statistics(df.selectExpr("g", "v as amount", "v as adjusted", "1990 as year"), ["g"])._jdf.queryExecution().toString()
+    assert "percentile" not in plan
+
+
+def test_parts_of_files_are_numbered_in_order(spark, tmp_path):
+    rows = spark.range(0, 3000, 1, 7).selectExpr("concat('n', id) as case_name", "id as year")
+    rows.write.json(f"{tmp_path}/c")
+    got = S.read_cases(spark, f"{tmp_path}/c", "flat", lines=True).orderBy("ord").collect()
+    assert [r.ord for r in got] == list(range(3000)) and [r.year for r in got] == sorted(r.year for r in got)
+
+
+def test_category_by_name_and_its_points(spark):
+    schema = "case_name string, year int, damages double, adjusted double, region string, regions array<string>, claims array<struct<relationship: string, amount: double, is_fla_award: boolean, description: string>>"
+    claim = lambda r, a, ok: (r, a, ok, None)
+    rows = [
+        ("a", 2000, 10.0, 12.0, "Knee", ["hip"], [claim(" Spouse", 5.0, None), claim("child", 1.0, False)]), ("b", 2001, None, None, None, ["KNEE"], [claim("child", 3.0, True)]),
+        ("c", None, 5.0, None, "x", None, None), ("d", 2003, 8.0, None, "x", [], [claim("SPOUSE ", 0.0, True)]),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    names = lambda n: sorted(r.case_name for r in entities.category_cases(df, n).collect())
+    assert names("knee") == ["a", "b"] and names("FLA: spouse ") == ["a", "d"] and names("FLA: Child") == ["b"] and names("y") == []
+    points = lambda **k: sorted((r.case_name, r.award, r.adjusted) for r in entities.category_points(df, "FLA: spouse", **k).collect())
+    assert points() == [("a", 10.0, 12.0), ("d", 8.0, 8.0)] and points(claim_amounts=True) == [("a", 5.0, 5.0)]
+
+
+def test_judges_keep_a_bare_initial(spark):
+    assert column_of(spark, text.judge_name, ["John J", "John J.", "Roe, C.J."]) == ["J", "John", "Roe"]
