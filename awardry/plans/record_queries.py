@@ -215,11 +215,13 @@ def money_tables(spark, sf_dir):
     return rows.select(F.col("l_orderkey").alias("id"), text.claim_summary(F.col("claims")).alias("claims"), text.type_label(F.lower(F.concat(F.lit("future_loss_of_"), "flag"))).alias("label"))
 
 
-@query(f"""with {A.ADJUSTED_SQL} select id, case when year = {fixed.REFERENCE_YEAR} or adjusted is null then '$' || format('{{:,d}}', round(amount)::bigint) || ' (' || year || ')' else
-  '$' || format('{{:,d}}', round_even(amount, 0)::bigint) || ' (' || year || ') → $' || format('{{:,d}}', round_even(adjusted, 0)::bigint) || ' ({fixed.REFERENCE_YEAR})' end as info from adj""")
+@query(f"""with {A.ADJUSTED_SQL}, r as (select adj.*, round((t.cpi - f.cpi) / f.cpi * 100, 2) as rate from adj left join cpi f on f.year = adj.year left join cpi t on t.year = {fixed.REFERENCE_YEAR})
+select id, case when year = {fixed.REFERENCE_YEAR} or adjusted is null then '$' || format('{{:,d}}', round_even(amount, 0)::bigint) || ' (' || year || ')' else
+  '$' || format('{{:,d}}', round_even(amount, 0)::bigint) || ' (' || year || ') → $' || format('{{:,d}}', round_even(adjusted, 0)::bigint) || ' ({fixed.REFERENCE_YEAR})' || ' [+' || format('{{:,.1f}}', rate) || '% inflation]' end as info from r""")
 def inflation_texts(spark, sf_dir):
-    rows = A.adjusted_cases(spark, sf_dir)
-    return rows.select("id", inflation.info(F.col("amount"), F.col("year"), F.col("adjusted"), fixed.REFERENCE_YEAR, F.lit(None).cast("double")).alias("info"))
+    rows = A.adjusted_cases(spark, sf_dir).withColumn("to_year", F.lit(fixed.REFERENCE_YEAR))
+    rows = inflation.rate(rows, A.cpi(spark), "year", "to_year")
+    return rows.select("id", inflation.info(F.col("amount"), F.col("year"), F.col("adjusted"), fixed.REFERENCE_YEAR, F.col("rate")).alias("info"))
 
 
 def monthly_cpi(spark, sf_dir, scale: float = 1.0) -> str:
