@@ -1,4 +1,9 @@
-"""A corpus pipeline of the training-data operators: each stage reads what the one before wrote."""
+"""A corpus pipeline of the training-data operators: each stage reads what the one before wrote.
+
+For all stages: a null doc_id, text, lang, source or n_chars is allowed, as are empty and very long texts,
+repeated rows and an empty table, which gives an empty one. A column of documents that is missing is null.
+Other columns are dropped, so that none can clash; the last stage says which it returns.
+"""
 
 from __future__ import annotations
 
@@ -13,45 +18,61 @@ from awardry.llm.quality import quality_rules
 from awardry.llm.secrets import redacted, scan_secrets
 
 #: The columns of documents, which all stages but the last return.
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+SCHEMA = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+COLUMNS = list(SCHEMA)
 #: Ids to broadcast at most.
 BROADCAST_ROWS = 200_000
 
 
+def documents(docs: DataFrame) -> DataFrame:
+    """docs with the columns of documents alone, null where one is missing."""
+    return docs.select(*[F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in SCHEMA.items()])
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose doc_id isn't among the ids; a null doc_id stays."""
+    """docs whose values in the columns of ids aren't among the ids; a null id stays."""
     ids = stored(ids.distinct(), "pipeline_ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_anti")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, ids.columns, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality_rules(docs).where("kept").select(*COLUMNS)
+    """Documents that the quality rules reject go: null, empty and short texts among them. Repeated rows are judged alike."""
+    return quality_rules(documents(docs)).where("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked at 0.8 of five-word shingles the document with the least id stays, with all rows of that id."""
-    found = near_duplicates(docs, words=5, percent=80)
-    return without(docs, found.where("id <> component").select(F.col("id").alias("doc_id"))).select(*COLUMNS)
+    """Of each group linked at 0.8 of five-word shingles the document with the least id stays.
+
+    Rows of one id are judged each by its own text: a copy goes, another text of its id stays. Rows that share
+    the least id of their group all stay, repeated rows among them. Rows without id or without words stay.
+    """
+    docs = documents(docs)
+    found = near_duplicates(docs, words=5, percent=80).where("id <> component")
+    gone = found.select(F.col("id").alias("doc_id"), "text_hash")
+    return without(docs.withColumn("text_hash", F.xxhash64("text")), gone).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that hold 80 % or more of a benchmark item's five-word shingles."""
+    """Documents go that hold 80 % or more of a benchmark item's five-word shingles, with all rows of their id; rows without id stay.
+
+    Texts are searched whole. An item without words is in no document; one of fewer words is found wherever they stand in a row.
+    """
+    docs = documents(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return without(docs, contained_items(docs, items, words=5, percent=80).select("doc_id")).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; all documents stay. n_chars follows where a text changes."""
-    found = scan_secrets(docs.select(*COLUMNS))
+    """Secrets are replaced by a mark, overlapping ones by one; all rows stay. n_chars follows where a text changes; a null text stays null."""
+    found = scan_secrets(documents(docs))
     changed = F.size("secrets") > 0
     text = redacted(F.col("text"), F.col("secrets"))
     return found.withColumn("text", text).withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text, and whether they decode to it again; a null text counts as empty."""
-    out = encoded(docs.select(*COLUMNS), back="decoded")
+    """doc_id, lang, source, n_chars, piece_ids, n_pieces, and same: whether the ids decode to the text. All rows stay; a null text counts as empty."""
+    out = encoded(documents(docs), back="decoded")
     same = F.coalesce("text", F.lit("")) == F.col("decoded")
     return out.select("doc_id", "lang", "source", "n_chars", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), same.alias("same"))
 
