@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from awardry.llm import pieces, quality
 
 from .helpers import DOC, oracle, prose
@@ -84,3 +86,20 @@ def test_empty_and_odd_tables(spark, tmp_path):
         assert stage(spark, odd, str(tmp_path)).count() <= 4
     kept = corpus_pipeline.near_dedup(spark, odd, str(tmp_path)).select("doc_id").collect()
     assert None in [r[0] for r in kept]
+
+
+def test_extra_and_missing_columns(spark, tmp_path):
+    """Columns with the names of results and inner columns are dropped; missing ones are null."""
+    tables(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id < 12")
+    names = ["kept", "base_failed", "n_words", "secrets", "text_hash", "piece_ids", "decoded", "component", "id", "__kinds"]
+    more = docs.withColumns({c: F.lit("clash") for c in names})
+    less = docs.select("doc_id", "text")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        want = sorted(r.doc_id for r in stage(spark, docs, str(tmp_path)).collect())
+        for table in (more, less):
+            got = stage(spark, table, str(tmp_path))
+            assert got.columns == corpus_pipeline.COLUMNS, name
+            assert table is less or sorted(r.doc_id for r in got.collect()) == want, name
+    assert corpus_pipeline.pieces(spark, more, str(tmp_path)).columns == corpus_pipeline.pieces(spark, less, str(tmp_path)).columns
+    assert corpus_pipeline.quality(spark, less, str(tmp_path)).count() > 0

@@ -331,3 +331,19 @@ def test_weights_and_normalisers_of_unigram_models(tmp_path, rule, byte_fallback
         data.trainer_spec.model_type = data.trainer_spec.BPE
         open(bad, "wb").write(data.SerializeToString())
         pieces.Transducer(bad)
+
+
+def test_clashing_columns(spark):
+    """Tables that already have columns with the names of results, of operators and of their inner columns."""
+    rows = [(1, "alpha beta gamma delta eps zeta"), (2, None), (2, "x"), (2, "x"), (None, "y")]
+    table = docs(spark, rows)
+    for c in ("piece_ids", "decoded", "n_pieces", "ids_crc32", "same", "item_id", "n_item", "id", "print", "component", "score", "shingles"):
+        table = table.withColumn(c, F.lit("clash"))
+    back = pieces.decoded(pieces.encoded(table)).collect()
+    assert [r.decoded for r in back] == [t or "" for _, t in rows] and all(r.component == "clash" for r in back)
+    assert pieces.encoded(table, back="same").columns.count("same") == 1
+    assert all(r.n_pieces == len(b.piece_ids) for r, b in zip(pieces.round_trip(table).collect(), back))
+    items = spark.createDataFrame([(7, rows[0][1], 1), (8, "x", 2), (8, "x", 2)], "item_id long, text string, doc_id long")
+    got = decontaminate.contained_items(table, items).collect()
+    assert sorted(map(tuple, got)) == sorted([(1, 7, 2, 2), *[(2, 8, 1, 1)] * 4])
+    assert all(r.score == 0.5 for r in toxicity.scored(table, {"": 0.0}).collect())
