@@ -35,8 +35,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def let_workers_import() -> None:
-    """Put the package's folder on the path of Python workers, of a session that runs and of those to come.
+def let_workers_import(spark: SparkSession | None = None) -> None:
+    """Put the package's folder on the path of Python workers, of this session or the active one and of those to come.
 
     For checkouts; on a cluster, install the package or pass it with --py-files.
     """
@@ -47,6 +47,6 @@ def let_workers_import() -> None:
         return os.pathsep.join(parts if root in parts else [root, *parts])
 
     os.environ["PYTHONPATH"] = extended(os.environ.get("PYTHONPATH", ""))
-    if session := SparkSession.getActiveSession():
-        environment = session.sparkContext.environment
+    if spark := spark or SparkSession.getActiveSession():
+        environment = spark.sparkContext.environment
         environment["PYTHONPATH"] = extended(environment.get("PYTHONPATH", ""))
