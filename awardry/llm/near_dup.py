@@ -322,16 +322,16 @@ def block_links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def texts_of(wanted: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, text) of the rows of docs whose id is in wanted."""
-    ids = wanted.select("id").distinct()
+def only(df: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """The rows of df whose value in the column is in wanted: long rows that no one asks for aren't shuffled."""
+    ids = wanted.select(column).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+    return df.join(ids, column, "left_semi")
 
 
 def of_classes(wanted: DataFrame, docs: DataFrame, repeated: bool, key: str, text: str) -> DataFrame:
     """(cid, text): a text of each wanted class (cid, id, text_hash)."""
-    texts = texts_of(wanted, docs, key, text).withColumn("text_hash", F.xxhash64("text"))
+    texts = only(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), wanted, "id").withColumn("text_hash", F.xxhash64("text"))
     if repeated:  # several rows of one id: each text once
         texts = texts.groupBy("id", "text_hash").agg(F.min("text").alias("text"))
     return texts.join(wanted.select("cid", "id", "text_hash"), ["id", "text_hash"]).select("cid", "text")
@@ -366,7 +366,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     first = first.groupBy(F.col("cid").alias("u"), "v").agg(F.count("*").alias("c"))
     first = stored(first.groupBy("u").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("v")), "first_pairs")
     wanted = first.select(F.col("u").alias("cid")).union(first.select("v")).distinct().join(reps.select("cid", "id", "text_hash"), "cid")
-    edges = stored(star_links(first, reps, of_classes(stored(wanted, "first_classes"), docs, repeated, key, text), words, percent), "links")
+    wanted = stored(wanted, "first_classes")
+    edges = stored(star_links(first, only(reps, wanted, "cid"), of_classes(wanted, docs, repeated, key, text), words, percent), "links")
 
     labels = components(edges)
     members = met.select("key", "band", "cid", "n").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
@@ -376,7 +377,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     counts = counts.select("key", "size", F.col("top.component").alias("head"), (F.col("size") - F.col("top.c")).alias("outside"))
     members = stored(salted(members, counts, "key", "cid"), "mixed_buckets")
     mixed_of = members.groupBy("cid").agg(F.collect_list(F.struct("band", "key", "size")).alias("mixed"))
-    info = stored(reps.join(mixed_of, "cid"), "mixed_classes")
+    info = stored(only(reps, members, "cid").join(mixed_of, "cid"), "mixed_classes")
     left = stored(undecided(members, info, percent), "undecided")
     wanted = stored(left.select("cid").distinct().join(info.select("cid", "id", "text_hash", "n", "regs", "mixed"), "cid"), "undecided_classes")
     sets = with_shingles(of_classes(wanted, docs, repeated, key, text), words)
