@@ -8,7 +8,7 @@ import xxhash
 from .kept import Kept
 
 #: Words whose hashes a worker keeps, twice at most.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 100_000
 
 
 class WordHashes(Kept):
