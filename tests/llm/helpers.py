@@ -26,5 +26,7 @@ def oracle(sf_dir, sql):
 
 
 def rows_of(frame):
-    frame = frame[sorted(frame.columns)].astype(object)
+    frame = frame[sorted(frame.columns)]
+    whole = [c for c in frame if frame[c].dtype == float and (frame[c].dropna() % 1 == 0).all()]  # whole numbers with nulls
+    frame = frame.astype({c: "Int64" for c in whole}).astype(object)
     return sorted(map(repr, frame.where(frame.notna(), None).itertuples(index=False, name=None)))
