@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dup, pieces, preferences, quality, secrets, spelling, token_records, toxicity, url_filter, warc_revisits
+from . import decontaminate, near_dup, periodic, pieces, preferences, quality, secrets, spelling, token_records, toxicity, url_filter, warc_revisits
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_preference_pairs": preferences.op9_preference_pairs,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 #: SQL can't express op2 (a tokenizer), op6 (a classifier) and op7 (a tokenizer). Tests hold op2 and op7 against
@@ -29,4 +30,5 @@ ORACLE_SQL = {
     "op9_preference_pairs": preferences.ORACLE,
     "op10_benchmark_decontamination": decontaminate.ORACLE,
     "op12_spelling_variants": spelling.ORACLE,
+    "op13_periodic_runs": periodic.ORACLE,
 }
