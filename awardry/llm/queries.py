@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dup, periodic, pieces, preferences, quality, secrets, spelling, token_records, toxicity, url_filter, warc_revisits
+from . import decontaminate, near_dup, order_minhash, periodic, pieces, preferences, quality, secrets, spelling, token_records, toxicity, url_filter, warc_revisits
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_preference_pairs": preferences.op9_preference_pairs,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+    "op11_order_minhash": order_minhash.op11_order_minhash,
     "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
