@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import filled, slices
 from .shingles import FACTOR, mixed
@@ -105,7 +106,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the column fingerprint, without a shuffle."""
     docs = docs.drop("fingerprint")
-    schema = docs.schema.add("fingerprint", "string", False)
+    schema = StructType([*docs.schema.fields, StructField("fingerprint", StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -134,9 +135,8 @@ def ring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     cut, fills = np.unique(np.array(cuts, np.int64), return_counts=True)
 
     @F.pandas_udf("long")
-    def part_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
-        null = ids.isna().to_numpy()
-        ids = ids.fillna(0).to_numpy().astype(np.int64)
+    def part_of(null: pd.Series, ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        null, ids = null.to_numpy(), ids.to_numpy()
         if not len(cut):
             return pd.Series(null.astype(np.int64))
         at = np.searchsorted(cut, ids)
@@ -148,7 +148,7 @@ def ring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         return pd.Series(np.where(null, 2 * len(cut) + 2, place) * (int(fills.max()) + 1) + piece)
 
     rows = rows.withColumn("hash", F.xxhash64("text"))
-    rows = rows.withColumn("part", part_of("id", "hash"))
+    rows = rows.withColumn("part", part_of(F.col("id").isNull(), F.coalesce("id", F.lit(0)), F.col("hash")))
     order = [F.bitwise_not("id").alias("order"), F.col("hash")]
     firsts = rows.groupBy("part").agg(F.min(F.struct(*order)).alias("r")).select("part", F.bitwise_not("r.order").alias("id"), "r.hash").sort("part").collect()
     guests = [(f.id, f.hash, firsts[i - 1].part) for i, f in enumerate(firsts)]
