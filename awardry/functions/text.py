@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
+from .patterns import all_matches
 
 
 def given(c: Column) -> Column:
@@ -71,21 +72,28 @@ def count_of(text: Column, words: list[str]) -> Column:
 
 
 def matches(text: Column, patterns: list[str]) -> Column:
-    """Group 1 of all matches, pattern after pattern, trimmed."""
-    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns]))
-    return F.transform(found, lambda x: F.trim(x))
+    """Group 1 of all matches, pattern after pattern, trimmed; several lists of patterns share a pass in patterns.all_matches."""
+    return all_matches(text, found=patterns)["found"]
+
+
+def as_injuries(found: Column, most: int = 10) -> Column:
+    """Matches of over three characters, without repetitions, the first ones."""
+    return F.slice(F.array_distinct(F.filter(found, lambda x: F.char_length(x) > 3)), 1, most)
 
 
 def comment_injuries(c: Column, most: int = 10) -> Column:
-    """Injuries that comments speak of: over three characters long, without repetitions, the first ones."""
-    found = F.filter(matches(F.lower(F.coalesce(c, F.lit(""))), fixed.COMMENT_INJURIES), lambda x: F.char_length(x) > 3)
-    return F.slice(F.array_distinct(found), 1, most)
+    """Injuries that comments speak of."""
+    return as_injuries(matches(F.lower(F.coalesce(c, F.lit(""))), fixed.COMMENT_INJURIES), most)
+
+
+def as_findings(found: Column, most: int = 10) -> Column:
+    """Matches cut to 80 characters, without repetitions, the first ones."""
+    return F.slice(F.array_distinct(F.transform(found, lambda x: F.left(x, F.lit(80)))), 1, most)
 
 
 def report_findings(c: Column, patterns: list[str], most: int = 10) -> Column:
-    """What expressions find in a report, cut to 80 characters, in order of occurrence."""
-    found = F.transform(matches(F.lower(c), patterns), lambda x: F.left(x, F.lit(80)))
-    return F.slice(F.array_distinct(found), 1, most)
+    """What expressions find in a report, in order of occurrence."""
+    return as_findings(matches(F.lower(c), patterns), most)
 
 
 def report_severity(c: Column) -> Column:

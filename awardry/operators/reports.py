@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import given, report_findings, report_severity, shortened
+from ..functions.patterns import all_matches
+from ..functions.text import as_findings, given, report_severity, shortened
 from .anatomy import region_labels, text_regions
 from .statistics import summary
 
@@ -14,12 +15,10 @@ from .statistics import summary
 def analysed(reports: DataFrame, text: str = "text", key: str = "doc_id", dictionary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(findings, rejects): injuries, sequelae, severity and, with a dictionary, injured_regions of each report; reports without text are rejected."""
     blank = given(F.trim(F.coalesce(text, F.lit("")))).isNull()
-    out = reports.where(~blank).withColumns(
-        {
-            "injuries": report_findings(F.col(text), fixed.REPORT_INJURIES), "sequelae": report_findings(F.col(text), fixed.REPORT_SEQUELAE),
-            "severity": report_severity(F.col(text)), "extraction_method": F.lit("regex"),
-        }
-    )
+    found = all_matches(F.lower(text), injuries=fixed.REPORT_INJURIES, sequelae=fixed.REPORT_SEQUELAE)
+    out = reports.where(~blank).withColumn("__found", found).withColumns(
+        {"injuries": as_findings(F.col("__found.injuries")), "sequelae": as_findings(F.col("__found.sequelae")), "severity": report_severity(F.col(text)), "extraction_method": F.lit("regex")}
+    ).drop("__found")
     if dictionary is not None:
         found = text_regions(out, dictionary, text, key).groupBy(key).agg(F.array_sort(F.collect_set("region")).alias("injured_regions"))
         out = out.join(found, key, "left")

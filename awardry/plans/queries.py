@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, predicates, scores, text
+from ..functions.patterns import all_matches
 from ..operators import boolean_query, consolidate, embedding, entities, inflation, ingest, outliers, reports, search, statistics
 from ..streaming.running import running_statistics
 from ..working import new_path
@@ -464,11 +465,12 @@ SEVERITY_WORDS_SQL = f"case when regexp_matches(body, '{'|'.join(fixed.REPORT_SE
 @query(f"""select doc_id, array_to_string({found_sql('body', _TERMS)}, '|') as terms, {SEVERITY_WORDS_SQL} as severity, {extracted_sql('body')} from (select doc_id, lower(coalesce(text, '')) as body from documents)""")
 def extract_terms_regex(spark, sf_dir):
     docs = A.table(spark, sf_dir, "documents")
-    found_terms = text.matches(F.lower(F.coalesce("text", F.lit(""))), _ASCII_TERMS)
+    lists = {"terms": _ASCII_TERMS, "injuries": fixed.COMMENT_INJURIES, "findings": fixed.REPORT_INJURIES, "sequelae": fixed.REPORT_SEQUELAE}
+    docs = docs.select("doc_id", "text", all_matches(F.lower(F.coalesce("text", F.lit(""))), **lists).alias("m"))
     joined = lambda found, name: F.array_join(F.coalesce(found, F.array().cast("array<string>")), "|").alias(name)
     return docs.select(
-        "doc_id", joined(found_terms, "terms"), text.report_severity(F.col("text")).alias("severity"), joined(text.comment_injuries(F.col("text")), "injuries"),
-        joined(text.report_findings(F.col("text"), fixed.REPORT_INJURIES), "findings"), joined(text.report_findings(F.col("text"), fixed.REPORT_SEQUELAE), "sequelae"),
+        "doc_id", joined(F.col("m.terms"), "terms"), text.report_severity(F.col("text")).alias("severity"), joined(text.as_injuries(F.col("m.injuries")), "injuries"),
+        joined(text.as_findings(F.col("m.findings")), "findings"), joined(text.as_findings(F.col("m.sequelae")), "sequelae"),
     )
 
 
