@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .dictionary import found_terms
 
 #: Characters about a term's first place that tell the side: in a text, then before and after the term.
 CONTEXT, BEFORE, AFTER = 100, 30, 10
-#: Terms of a dictionary, at most.
-MAX_TERMS = 10_000
 
 
 def _has(text: Column, words: list[str], whole: bool) -> Column:
@@ -32,43 +31,42 @@ def sided(regions: Column, context: Column, term: Column, word_boundaries: bool
     return F.when(~pair | both | (left & right), regions).when(left, side("_left")).when(right, side("_right")).otherwise(regions)
 
 
-def whole_dictionary(dictionary: DataFrame) -> DataFrame:
-    """One row: the dictionary in its order as an array of (ord, term, regions), which all rows can look through.
+#: Rows to broadcast at most.
+BROADCAST_ROWS = 10_000
 
-    It grows with what is known of bodies and not with the data: beyond MAX_TERMS terms it's refused.
-    """
-    if dictionary.limit(MAX_TERMS + 1).count() > MAX_TERMS:
-        raise ValueError(f"a dictionary has {MAX_TERMS} terms at most")
-    return dictionary.agg(F.array_sort(F.collect_list(F.struct("ord", "term", "regions"))).alias("__dictionary"))
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def term_regions(terms: DataFrame, dictionary: DataFrame, term: str = "term", context: str = "context", word_boundaries: bool = False) -> DataFrame:
-    """terms with regions: of the equal key, else of the first key that contains the term or is in it; empty without any."""
-    rows = terms.crossJoin(F.broadcast(whole_dictionary(dictionary))).withColumn("__low", F.lower(F.trim(term)))  # one row
-    low = F.col("__low")
-    hits = F.filter("__dictionary", lambda d: F.contains(low, d["term"]) | F.contains(d["term"], low))
-    rows = rows.withColumn("__hits", hits)
-    equal = F.filter("__hits", lambda d: d["term"] == low)
-    rows = rows.withColumn("__b", F.coalesce(F.get(equal, F.lit(0)), F.get("__hits", F.lit(0))))
-    regions = sided(F.col("__b.regions"), F.coalesce(context, F.lit("")), F.col("__b.term"), word_boundaries)
-    return rows.withColumn("regions", F.coalesce(regions, F.array().cast("array<string>"))).drop("__dictionary", "__low", "__hits", "__b")
+    """terms with regions: of the equal key, else of the first key that contains the term or is in it; empty without any.
+
+    Keys are looked for in the different terms, and these in the keys, each by automata over blocks.
+    """
+    rows = terms.withColumn("__low", F.lower(F.trim(term)))
+    own = rows.select("__low").where("__low is not null").distinct()
+    keys = dictionary.select("ord", "term")
+    within = found_terms(own, keys, "__low", "__low", "ord", "term").select("__low", "ord")
+    about = found_terms(keys, own, "ord", "term", "__low", "__low").select("__low", "ord")
+    hits = within.union(about).join(_few(dictionary.select("ord", F.col("term").alias("__term"), F.col("regions").alias("__regions"))), "ord")
+    first = F.struct((F.col("__term") != F.col("__low")).alias("other"), F.col("ord"))
+    best = hits.groupBy("__low").agg(F.min_by(F.struct("__term", "__regions"), first).alias("__b"))
+    rows = rows.join(_few(best), "__low", "left")
+    regions = sided(F.col("__b.__regions"), F.coalesce(context, F.lit("")), F.col("__b.__term"), word_boundaries)
+    return rows.withColumn("regions", F.coalesce(regions, F.array().cast("array<string>"))).drop("__low", "__b")
 
 
 def text_regions(texts: DataFrame, dictionary: DataFrame, text: str = "text", key: str = "doc_id", word_boundaries: bool = False) -> DataFrame:
     """(key, region): the regions of all terms that each text contains, by side as near their first place."""
-    rows = texts.select(key, F.lower(text).alias("__low")).crossJoin(F.broadcast(whole_dictionary(dictionary)))  # one row
-    rows = rows.withColumn("__hits", F.filter("__dictionary", lambda d: F.contains("__low", d["term"])))
-    rows = rows.select(key, "__low", F.explode("__hits").alias("d"))
-    at = F.instr("__low", F.col("d.term"))
-    start = F.greatest(at - CONTEXT, F.lit(1))
-    near = F.substring("__low", start, at - start + F.char_length("d.term") + CONTEXT)
-    rows = rows.select(key, near.alias("__near"), "d.term", "d.regions")
+    low = texts.select(key, F.lower(text).alias("__low"))
+    rows = found_terms(low, dictionary, key, "__low", "ord", "term", CONTEXT).withColumnRenamed("near", "__near")
+    rows = rows.join(_few(dictionary.select("ord", "term", "regions")), "ord")
     return rows.select(key, F.explode(sided(F.col("regions"), F.col("__near"), F.col("term"), word_boundaries)).alias("region")).distinct()
 
 
 def region_labels(rows: DataFrame, terms: DataFrame, region: str = "region") -> DataFrame:
     """rows with label: the region's label, or its id where it has none."""
     labels = terms.select(F.col("region_id").alias(region), "label").distinct()
-    small = labels.limit(10_001).count() <= 10_000
-    return rows.join(F.broadcast(labels) if small else labels, region, "left").withColumn("label", F.coalesce("label", region))
+    return rows.join(_few(labels), region, "left").withColumn("label", F.coalesce("label", region))
 
