@@ -56,21 +56,47 @@ def mixed_text(rng, symbols, lines, repeats, size):
     return "\n".join(rows)
 
 
+def quality_table(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
 def test_fences_differ_between_groups_in_all_measures(spark):
     rng = random.Random(12)
-    kinds = {"plain": (1, 2, 1, (3, 4, 5)), "odd": (20, 25, 30, (7, 9, 14))}
-    rows = [(i, mixed_text(rng, *kinds[s]), "en", s) for i in range(600) for s in ["odd" if i % 10 == 0 else "plain"]]
-    rows += [(1000, mixed_text(rng, 70, 2, 1, (3, 4, 5)), "en", "plain"), (1001, mixed_text(rng, 70, 25, 10, (7, 9, 14)), "en", "odd"), (1002, rows[0][1], "fr", "rare")]
-    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    sketch = quality.sketches(quality.features(table))
+    kinds = {"plain": (30, 40, 30, (3, 4, 5)), "odd": (45, 60, 45, (6, 8, 10))}
+    rows = [(i, mixed_text(rng, *kinds[s]), "en", s) for i in range(1200) for s in ["odd" if i % 8 == 0 else "plain"]] + [(2000, rows_text(rng), "fr", "rare")]
+    sketch = quality.sketches(quality.features(quality_table(spark, rows)))
     limits = {r.source: r for r in quality.thresholds(sketch).collect()}
     for k in quality.MEASURES:  # the odd source has earned wider fences, each by its own sketch
         assert limits["odd"][f"__high_{k}"] > limits["plain"][f"__high_{k}"], k
-    few = {r.source: r for r in quality.thresholds(sketch, least_docs=100).collect()}  # some 50 documents no longer count
-    assert few["odd"]["__high_symbols_permille"] == few["plain"]["__high_symbols_permille"]
-    assert limits["rare"]["__high_repeats_permille"] is not None
-    got = {r.doc_id: r.kept for r in quality.quality_rules(table).collect()}
-    assert not got[1000] and got[1001] and sum(got[i] for i in range(600) if i % 10) > 530  # alike in symbols, but not in source
+        assert limits["rare"][f"__high_{k}"] is not None  # of everything, as its language has one document
+    few = {r.source: r for r in quality.thresholds(sketch, least_docs=200).collect()}  # some 150 documents no longer count
+    language = quality.level_fences(sketch, ["lang"], 200, quality.FENCE).where("lang = 'en' and measure = 'symbols_permille'").first()
+    assert few["odd"]["__high_symbols_permille"] == language.high < limits["odd"]["__high_symbols_permille"]
+
+
+def rows_text(rng, lines=20, symbols=0):
+    words = prose(rng, lines * 10)
+    return "\n".join(" ".join(w + "%" * (i * 10 + j < symbols) for j, w in enumerate(words[i * 10 : i * 10 + 10])) for i in range(lines))
+
+
+def test_rates_that_most_documents_have_none_of(spark):
+    """The fences lie in the gap between the clean documents and the junk, wherever that is."""
+    rng = random.Random(13)
+    rows = [(i, rows_text(rng), "en", "a") for i in range(300)] + [(i, rows_text(rng), "en", "b") for i in range(300, 420)]
+    rows += [(i, rows_text(rng, symbols=120), "en", "b") for i in range(500, 540)]  # a quarter of b is junk: judged by the language
+    repeated = rows_text(rng, 60)
+    for i in range(600, 606):
+        first = rows_text(rng, 60).split("\n")
+        rows.append((i, "\n".join(first + first[:1] * 35), "en", "a"))  # a line many times over
+    rows.append((700, "\n".join([rows_text(rng, 2000, symbols=10)]), "en", "a"))  # 20,000 words with 10 symbols
+    rows.append((701, repeated + "\n" + repeated.split("\n")[0], "en", "a"))  # one repeated line
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.quality_rules(quality_table(spark, rows)).collect()}
+    assert all(got[i] == (False, False) for i in (*range(500, 540), *range(600, 606)))
+    assert all(kept for i, (_, kept) in got.items() if i < 500 or i >= 700)
+    # where documents have some symbols on the way, the fence moves beyond them
+    more = rows + [(i, rows_text(rng, symbols=12 + (i - 800) // 2), "en", "a") for i in range(800, 830)]
+    fence = lambda rows: {r.source: r["__high_symbols_permille"] for r in quality.thresholds(quality.sketches(quality.features(quality_table(spark, rows)))).collect()}
+    assert fence(more)["a"] > fence(rows)["a"]
 
 
 def test_quality_keeps_other_columns(spark):
