@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,18 +26,35 @@ class HashedWords:
         return out
 
 
-def with_vectors(df: DataFrame, text: str, out: str = "vec", model: Callable[[], object] = HashedWords, dimensions: int = DIMENSIONS) -> DataFrame:
-    """df with out: array<float> of model().encode(texts), one model for each worker; zeros where it fails."""
+def encoded(encoder, texts: list[str], dimensions: int) -> tuple[list[np.ndarray], int]:
+    """A vector for each text, and how many failed: if the model fails on all together, each is tried alone, and one on which it fails has zeros."""
+    try:
+        return list(np.asarray(encoder.encode(texts), np.float32).reshape(len(texts), dimensions)), 0
+    except Exception:
+        if len(texts) == 1:
+            return [np.zeros(dimensions, np.float32)], 1
+    half = len(texts) // 2  # a few bad texts cost some calls for each, not one for every text
+    (a, m), (b, n) = (encoded(encoder, part, dimensions) for part in (texts[:half], texts[half:]))
+    return a + b, m + n
+
+
+def with_vectors(
+    df: DataFrame, text: str, out: str = "vec", model: Callable[[], object] = HashedWords, dimensions: int = DIMENSIONS, failures: Accumulator | None = None
+) -> DataFrame:
+    """df with out: array<float> of model().encode(texts), one model for each worker.
+
+    A text on which the model fails has zeros, and no other text has. failures, an accumulator, counts them (again where
+    a task runs again).
+    """
 
     @F.pandas_udf("array<float>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = model()
         for texts in batches:
-            try:
-                rows = np.asarray(encoder.encode([t or "" for t in texts]), np.float32)
-            except Exception:  # one bad batch gives zero vectors, as documented
-                rows = np.zeros((len(texts), dimensions), np.float32)
-            yield pd.Series(list(rows))
+            rows, failed = encoded(encoder, [t or "" for t in texts], dimensions) if len(texts) else ([], 0)
+            if failed and failures is not None:
+                failures.add(failed)
+            yield pd.Series(rows, dtype=object)
 
     return df.withColumn(out, encode(text))
 

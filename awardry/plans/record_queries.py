@@ -28,17 +28,33 @@ def joined(c, mark: str = "|"):
     return F.array_join(c, mark)
 
 
-#: Names of parts as headings, and what a heading says: the text by the part's key modulo their number.
-HEADINGS = [
-    ("KNEE - $12,000", "KNEE"), ("12 KNEE", None), ("Total award", None), ("Upper Arm - ", "Upper Arm"), ("Fatal Injuries", "Fatal Injuries"), ("Defendant's knee", None),
-    ("", None), ("Odd words", None), ("  Soft Tissue - $1,000.50 -", "Soft Tissue"), ("General Damages", None), ("Loss of Care - $5", "Loss of Care"),
-]
+# Headings are composed of what stands before, a name, and what stands behind, each by another share of the key.
+_BEFORE = ["", "", "  ", "Upper ", "12 ", "$5 ", "Total ", "Loss of "]
+_NAMES = ["Knee", "soft tissue", "FATAL INJURIES", "care", "Defendant's arm", "General Damages", "pecuniary loss", "Whiplash"]
+_BEHIND = ["", " - $12,000", " - $1,000.50 -", " -", " -   ", "-$7", " - motion", " and more - $1 - $2"]
 
 
-@query(f"select p_partkey, {by_kind([h[1] for h in HEADINGS], 'p_partkey')} as section from part")
+def heading_sql() -> str:
+    name = f"case when p_size % 3 = 0 then p_name else ({by_kind(_NAMES, '(p_partkey // 8)')}) end"
+    return f"({by_kind(_BEFORE, 'p_partkey')}) || {name} || ({by_kind(_BEHIND, '(p_partkey // 64)')})"
+
+
+def _any_sql(x: str, words) -> str:
+    return "(" + " or ".join(f"contains({x}, {quoted(w)})" for w in words) + ")"
+
+
+_CLEAN_SQL = r"nullif(trim(regexp_replace(regexp_replace(h, '\s*-\s*\$[\d,.]+', '', 'g'), '\s*-\s*$', '', 'g')), '')"
+
+
+@query(f"""select p_partkey, heading, case when not regexp_matches(h, '^[$0-9]') and not {_any_sql('upper(h)', fixed.NO_SECTION)} and {_any_sql('upper(h)', fixed.SECTION_PARTS)} then {_CLEAN_SQL} end as section
+from (select *, trim(heading) as h from (select p_partkey, {heading_sql()} as heading from part))""")
 def section_headers(spark, sf_dir):
-    heading = F.element_at(F.array(*[F.lit(h[0]) for h in HEADINGS]), (F.col("p_partkey") % len(HEADINGS)).cast("int") + 1)
-    return A.table(spark, sf_dir, "part").select("p_partkey", ingest.section_header(heading).alias("section"))
+    """The section that each heading names, of some thousand different headings."""
+    k = F.col("p_partkey")
+    of = lambda words, key: F.element_at(F.array(*[F.lit(w) for w in words]), (key % len(words)).cast("int") + 1)
+    name = F.when(F.col("p_size") % 3 == 0, F.col("p_name")).otherwise(of(_NAMES, F.floor(k / 8)))
+    heading = F.concat(of(_BEFORE, k), name, of(_BEHIND, F.floor(k / 64)))
+    return A.table(spark, sf_dir, "part").select("p_partkey", heading.alias("heading"), ingest.section_header(heading).alias("section"))
 
 
 _PLACED = ["", " the knee. ", " a Hip and Wrist ", " kneecap handle ", " brain & skull, head "]
@@ -241,8 +257,8 @@ _CPI_FILE_SQL = "m as (select strftime(l_shipdate, '%Y-%m') as month, round(avg(
 def cpi_from_csv(spark, sf_dir):
     """An index read from a file, replaced by that of a new file, written by year and read again."""
     old = cpi_files.read_cpi(spark, monthly_cpi(spark, sf_dir), least_years=2).persist()
-    new = cpi_files.reload_cpi(spark, old, monthly_cpi(spark, sf_dir, 2.0)) if old.count() > 20 else cpi_files.annual_cpi(spark.read.schema("month string, value string").csv(monthly_cpi(spark, sf_dir, 2.0), header=True))
-    old.unpersist()
+    old.count()  # it is cached
+    new = cpi_files.reload_cpi(spark, old, monthly_cpi(spark, sf_dir, 2.0), least_years=2)
     path = new_path(spark, "cpi_by_year")
     cpi_files.write_cpi(new, path)
     written = spark.read.schema("year int, written double").csv(path, header=True)

@@ -273,13 +273,26 @@ def category_timeline_points(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("select vec_id as id, case when doc_id is null then null when len(list_filter(string_split_regex(trim(translate(lower(text), chr(10) || chr(9) || chr(13), '   ')), ' +'), lambda x: x <> '')) > 0 then 1.0 else 0.0 end::double as norm from embeddings join documents on vec_id = doc_id")
+#: Words of each text, their checksums byte by byte, and how often each rest by 256 occurs.
+_HASHED_SQL = r"""with recursive steps as (select z, 0 as k, z as x from range(256) r(z) union all select z, k + 1, case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end from steps where k < 8),
+crc as materialized (select list(x order by z) as t from steps where k = 8),
+words as (select vec_id as id, unnest(list_filter(string_split_regex(translate(lower(text), chr(10) || chr(9) || chr(13), '   '), ' +'), lambda x: x <> '')) as w from embeddings join documents on vec_id = doc_id),
+sums as (select id, n, xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, length(hx) + 1, 2), lambda i: ('0x' || substr(hx, i, 2))::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 256 as d
+    from (select id, hex(encode(w)) as hx, count(*) as n from words group by all), crc),
+dims as (select id, d, sum(n) as n from sums group by all),
+told as (select id, string_agg(d || ':' || floor(n * 1000.0 / least + 0.3)::bigint, ',' order by d) as v from (select *, min(n) over (partition by id) as least from dims) group by id)
+select vec_id as id, case when v is null then 0.0 else 1.0 end::double as norm, coalesce(v, '') as vector from embeddings join documents on vec_id = doc_id left join told on told.id = vec_id"""
+
+
+@query(_HASHED_SQL)
 def hashed_vectors(spark, sf_dir):
-    """Vectors of texts by the model for tests: of length 1 where there is a word."""
+    """Vectors of texts by the model for tests: the length, and each value that isn't 0 by the least of them, in thousandths."""
     d = A.table(spark, sf_dir, "documents").join(A.table(spark, sf_dir, "embeddings").select("vec_id"), F.col("doc_id") == F.col("vec_id"))
     v = embedding.with_vectors(d, "text")
     square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return v.select(F.col("vec_id").alias("id"), F.round(F.sqrt(square), 3).alias("norm"))
+    least = F.array_min(F.filter("vec", lambda x: x > 0))
+    values = F.filter(F.transform("vec", lambda x, i: F.when(x > 0, F.concat_ws(":", i, F.floor(x.cast("double") * 1000 / least + 0.3)))), lambda x: x.isNotNull())
+    return v.select(F.col("vec_id").alias("id"), F.round(F.sqrt(square), 3).alias("norm"), F.array_join(values, ",").alias("vector"))
 
 
 @query("""select o_custkey, string_agg(p, '|' order by pos) as names from (select o_custkey, upper(left(p_name, 1)) || substr(p_name, 2) as p, lower(p_name) as low, l_orderkey * 1000 + k as pos, row_number() over (partition by o_custkey, lower(p_name) order by l_orderkey * 1000 + k) as r

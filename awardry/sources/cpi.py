@@ -30,11 +30,11 @@ def read_cpi(spark: SparkSession, path: str | None = None, least_years: int = 10
     return built_in_cpi(spark)
 
 
-def reload_cpi(spark: SparkSession, old: DataFrame, path: str) -> DataFrame:
-    """The index of a new file in place of a cached one."""
+def reload_cpi(spark: SparkSession, old: DataFrame, path: str, least_years: int = 10) -> DataFrame:
+    """The index of a new file in place of a cached one, by the rule of read_cpi."""
     old.unpersist()
     spark.catalog.refreshByPath(path)
-    return read_cpi(spark, path)
+    return read_cpi(spark, path, least_years)
 
 
 def write_cpi(cpi: DataFrame, path: str) -> None:

@@ -288,6 +288,39 @@ def test_vectors(spark):
     assert got[1] == pytest.approx(1.0) and got[2] == 0.0
 
 
+class Picky:
+    """A model that fails on a text."""
+
+    def encode(self, texts):
+        if any("bad" in t for t in texts):
+            raise ValueError
+        return [[len(t), 1.0] for t in texts]
+
+
+def test_a_bad_text_costs_its_own_vector_alone(spark):
+    from awardry.operators.embedding import encoded, with_vectors
+
+    rows, failed = encoded(Picky(), ["a", "bad", "ccc", "bad", "e" * 5, "", "gg"], 2)
+    assert failed == 2 and [r.tolist() for r in rows] == [[1, 1], [0, 0], [3, 1], [0, 0], [5, 1], [0, 1], [2, 1]]
+    failures = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(i, "bad" if i in (17, 400) else "x" * i) for i in range(1000)] + [(1000, None)], "i int, t string").coalesce(1)
+    got = {r.i: list(r.vec) for r in with_vectors(df, "t", model=Picky, dimensions=2, failures=failures).collect()}
+    assert got == {i: [0, 0] if i in (17, 400) else [i % 1000, 1] for i in range(1001)}
+    assert failures.value == 2
+
+
+def test_reloaded_index_may_have_few_years(spark, tmp_path):
+    from awardry.sources import cpi
+
+    for name, values in (("old", (1, 2)), ("new", (3, 5))):
+        (tmp_path / f"{name}.csv").write_text("month,value\n" + "".join(f"{y}-{m:02d},{v}\n" for y, v in zip((2001, 2002), values) for m in (1, 2)))
+    old = cpi.read_cpi(spark, str(tmp_path / "old.csv"), least_years=1).persist()
+    assert old.count() == 2
+    got = {r.year: r.cpi for r in cpi.reload_cpi(spark, old, str(tmp_path / "new.csv"), least_years=1).collect()}
+    assert got == {2001: 3.0, 2002: 5.0} and not old.is_cached
+    assert cpi.reload_cpi(spark, old, str(tmp_path / "new.csv")).count() > 10  # too few years: the built-in index
+
+
 def test_quantiles_by_brute_force(spark):
     """Exact quantiles of groups of all sizes, with repeated, negative, zero and missing values and a missing group."""
     rng = random.Random(5)
