@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, predicates, scores, text
 from ..functions.patterns import all_matches
-from ..operators import boolean_query, consolidate, embedding, entities, inflation, ingest, outliers, reports, search, statistics
+from ..operators import boolean_query, consolidate, embedding, entities, inflation, ingest, keyword_index, outliers, reports, search, statistics
 from ..streaming.running import running_statistics
 from ..working import new_path
 from . import adapters as A
@@ -246,10 +246,13 @@ kw as (select q.query_id, id, least(sum(tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l
 
 @query(f"with {BM25_SQL} select query_id, id, round(keyword, 6) as keyword, rank::int as rank from (select *, row_number() over (partition by query_id order by round(keyword, 9) desc, id) as rank from kw) where rank <= 20")
 def bm25_keyword_topk(spark, sf_dir):
+    """From an inverted index that is written once for all queries; blocks that can't hold one of the best are never read."""
     docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.tokens(F.col("text")).alias("tokens"))
     queries = spark.createDataFrame([(1, WORDS), (2, ["le", "les"])], "query_id int, tokens array<string>")
-    found = search.keyword_scores(docs, queries).withColumn("s", F.round("keyword", 9))
-    return search.top_of_each(found, "query_id", 20, "s", "id").select("query_id", "id", F.round("keyword", 6).alias("keyword"), "rank")
+    path = new_path(spark, "keyword_index")
+    keyword_index.write_index(docs, path)
+    best, _ = keyword_index.indexed_top(keyword_index.read_index(spark, path), queries, 20)
+    return best.select("query_id", "id", F.round("keyword", 6).alias("keyword"), "rank")
 
 
 VECTOR = [((i * 37) % 11 - 5) / 5 for i in range(64)]
