@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..working import stored
 from .statistics import with_quantiles
 
 
@@ -15,7 +16,7 @@ def without_outliers(df: DataFrame, value: str, by: list[str] | None = None, thr
     are exact; statistics.quantiles finds them without a group's values in one task.
     """
     by = by or []
-    good = df.where(F.col(value) > 0).select(*by, value)
+    good = stored(df.where(F.col(value) > 0).select(*by, value), "positive")
     bounds = good.groupBy(*by).agg(F.count("*").alias("__n")).where("__n >= 4")
     bounds = with_quantiles(bounds, good, by, value, {"__q1": 0.25, "__q3": 0.75})
     gap = (F.col("__q3") - F.col("__q1")) * threshold

@@ -339,6 +339,35 @@ def test_quantiles_by_brute_force(spark):
     assert "percentile" not in plan
 
 
+def test_quantiles_of_close_values_are_cut_until_they_are_few(spark, monkeypatch):
+    """Values within 2 % of one another, negative, tiny and huge ones: no task looks through more than most different values."""
+    rng = random.Random(6)
+    rows = [("close", 1000 + i / 100_000, -float(i)) for i in range(2000)] + [("wide", rng.lognormvariate(0, 30), None) for _ in range(1500)] + [("same", 5.0, 5.0)] * 500
+    rows += [("two", v, 1.0) for v in [1e-300] * 300 + [1e300] * 301] + [("nan", float("nan"), 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double, w double")
+    wanted = {"v": {"v10": 0.1, "v50": 0.5, "v99": 0.99}, "w": {"w25": 0.25, "w100": 1.0}}
+    monkeypatch.setattr(statistics, "CUTS", 4)
+    seen, inside = [], statistics._inside
+    monkeypatch.setattr(statistics, "_inside", lambda c, b, k: seen.append(b.collect()) or inside(c, b, k))
+    got = {r.g: r for r in statistics.all_quantiles(df, ["g"], wanted, most=50).collect()}
+    assert len(seen) > 2
+    for g in ("close", "wide", "same", "two", "nan"):
+        for c, at in (("v", wanted["v"]), ("w", wanted["w"])):
+            values = [x for h, v, w in rows for x in [v if c == "v" else w] if h == g and x is not None and x == x]
+            for name, q in at.items():
+                assert (got[g][name] is None) if not values else np.isclose(got[g][name], np.quantile(values, q), rtol=1e-12), (g, name)
+    last = spark.createDataFrame(seen[-1], "g string, m int, ranks array<struct<q:string,end:string,r:bigint,part:double>>, base long, d long, lo double, hi double")
+    assert last.where("d > 50 and lo < hi").isEmpty()
+
+
+def test_statistics_read_their_source_once(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0, 2000), ("a", 3.0, 4.0, 2001)], "g string, amount double, adjusted double, year int")
+    once = spark.sparkContext.accumulator(0)
+    counted = df.rdd.map(lambda r: (once.add(1), r)[1]).toDF(df.schema)
+    assert statistics.award_statistics(counted, ["g"]).collect()[0].median_adjusted == 3.0
+    assert once.value == 2
+
+
 def test_parts_of_files_are_numbered_in_order(spark, tmp_path):
     rows = spark.range(0, 3000, 1, 7).selectExpr("concat('n', id) as case_name", "id as year")
     rows.write.json(f"{tmp_path}/c")
