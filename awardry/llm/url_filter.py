@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, join_small, salted
 
 #: Rules in a trie that is broadcast, and characters in all of them, at most.
 BROADCAST_RULES, BROADCAST_CHARS = 200_000, 16_000_000
@@ -116,17 +116,24 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
 
 
 def _joined(pages: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """For rule tables that can't be broadcast: each different (host, path) is joined by its suffixes and prefixes."""
+    """For rule tables that can't be broadcast: each different (host, path) is joined by its suffixes and prefixes.
+
+    A path has a prefix for each length that some rule's path has and no others, and of a prefix only its hash is
+    carried, so that a long path costs no more rows than a short one. Hits are compared with the rule itself. Keys are salted:
+    the pages of one suffix go to many tasks.
+    """
+    lengths = [r[0] for r in rules.select(F.char_length("path").alias("n")).distinct().sort("n").collect()]  # as many as there are lengths
     labels = F.split("host", r"\.")
     suffix = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
-    prefix = F.transform(F.sequence(F.lit(0), F.char_length("path")), lambda n: F.substring("path", 1, n))
+    wanted = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.char_length("path"))
+    prefix = F.transform(wanted, lambda n: F.xxhash64(F.substring("path", F.lit(1), n)))
     keys = pages.select("host", "path").distinct()
-    keys = keys.withColumn("s", F.explode(suffix)).withColumn("p", F.explode(prefix))
-    rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("v")).toDF("rh", "rp", "v")
+    keys = keys.withColumn("__s", F.explode(suffix)).withColumn("__p", F.explode(prefix)).withColumn("__k", F.xxhash64("__s", "__p"))
+    rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("v")).toDF("rh", "rp", "v").withColumn("__k", F.xxhash64("rh", F.xxhash64("rp")))
     rank = F.struct(F.size(F.split("rh", r"\.")), F.char_length("rp"))
-    best = keys.join(rules, [F.col("s") == F.col("rh"), F.col("p") == F.col("rp")])
+    best = salted(keys, rules, "__k", "path").where((F.col("__s") == F.col("rh")) & F.startswith("path", F.col("rp")))
     best = best.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rh", "rp").alias("rule"), "v"), rank).alias("best"))
-    out = pages.join(best, ["host", "path"], "left")
+    out = join_small(pages, best, ["host", "path"], BROADCAST_RULES)  # a page without url is one of a third of all rows, perhaps
     return out.withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.v", F.lit(default))}).drop("best")
 
 
