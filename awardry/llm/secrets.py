@@ -34,6 +34,8 @@ class Rule:
     least: int = 0
 
 
+_HEADERS = r"[\x20\x09-\x0D]*(?:[A-Za-z][A-Za-z0-9-]*:[^\x0A]*\x0A){0,8}[\x0A\x0D]*"
+
 #: The three base kinds, then public formats of access tokens.
 ASSIGN = Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6)
 ACCESS = Rule("access", r"AKIA[A-Z0-9]+", 0, 20)
@@ -46,7 +48,8 @@ RULES = (
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{20,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"),
+    # with its header lines and body up to the end line; without an end line, the lines of a body alone and no prose
+    Rule("pem", rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:{_HEADERS}[A-Za-z0-9+/=\x20\x09-\x0D]*-----END [A-Z ]*PRIVATE KEY-----|{_HEADERS}[A-Za-z0-9+/=\x0A\x0D]{{40,}})?"),
 )
 
 #: Classes of up to so many folded characters, and runs of up to so many strings, are spelled out.

@@ -11,6 +11,8 @@ TEXTS = [
     None, "", "plain", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" x', "PassWord: hunter22, é secret:abc token=abcdefgh",
     "secret: token: abcdefgh", f"é{KEY} {KEY}x AKIAshort", "f" * 23 + " " + "0" * 24, "api_key='abc.def' apikey=ghijkl",
     "ghp_" + "a1" * 20, "tokENtoken==abcdef\ntoken =\tabcdef", "日本 " * 500 + "passwd=" + "q" * 5000, "-----BEGIN RSA PRIVATE KEY-----",
+    "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n" + "Ab1+/" * 20 + "\nQQ==\n-----END RSA PRIVATE KEY----- after",
+    "-----BEGIN PRIVATE KEY----- and then prose without a stop goes on and on", "-----BEGIN PRIVATE KEY-----\n" + ("Ab1+" * 16 + "\n") * 300 + "prose, more",
     "a -----BEGIN PRIVATE KEY-----\nMIIEvQ+/=\nabc\n-----END PRIVATE KEY----- b", "-----BEGIN EC PRIVATE KEY-----\nMIIE é",
 ]
 
@@ -70,3 +72,16 @@ def test_many_candidates_and_rows_without_id(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(None, t) for t in TEXTS] * 2
     found = scan_secrets(docs(spark, rows)).select("text", "secrets").collect()
     assert len(found) == len(rows) and all([tuple(s) for s in r.secrets] == brute(r.text) for r in found)
+
+
+def test_private_keys_with_header_lines_and_without_an_end():
+    pem = {t: [(a, b) for a, _, k, b in brute(t) if k == "pem"] for t in TEXTS if t and "BEGIN" in t}
+    inner = [t[a:b] for t, spans in pem.items() for a, b in spans]
+    assert any(x.endswith("QQ==\n-----END RSA PRIVATE KEY-----") and "DEK-Info" in x for x in inner)  # the key itself is in it
+    assert "-----BEGIN PRIVATE KEY-----" in inner and not any("and then prose" in x for x in inner)
+    assert any(len(x) > 19_000 and "prose" not in x[:-5] for x in inner)
+
+
+def test_parsed_form_of_expressions_is_as_supposed():
+    """Queries are derived from Python's parsed form of expressions, which is no public module: an update that changes it fails here."""
+    assert trigram_query("ab(?:cd|ef)g") == frozenset([frozenset(["abc", "bcd", "cdg"]), frozenset(["abe", "bef", "efg"])])
