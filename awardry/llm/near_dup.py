@@ -387,7 +387,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     classes = reps.select("cid", "print", "id").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = classes.groupBy("component").agg(F.min("id").alias("least"))
     classes = salted(classes, least, "component", "cid").select("print", F.col("least").alias("component"))
-    out = sketches.select("id", "text_hash", "n_shingles", "print").join(classes, "print", "left")
+    rows = sketches.select("id", "text_hash", "n_shingles", "print")
+    out = rows.where("n_shingles > 0").join(classes, "print", "left")  # empty sets, which all have one print, need no class
+    out = out.unionByName(rows.where("n_shingles = 0").withColumn("component", F.lit(None).cast("long")))
     component = F.when(F.col("id").isNull(), None).otherwise(F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")))
     return out.select("id", "text_hash", "n_shingles", component.alias("component"))
 
