@@ -1,6 +1,6 @@
 """Operator 6: toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over the presence of words is trained in numpy from confirmed toxic documents and
+A linear classifier over the presence of words and of beginnings of words is trained in numpy from confirmed toxic documents and
 unlabelled ones. With the class prior p, the risk is p * E_P[l(+1)] + max(0, E_U[l(-1)] - p * E_P[l(-1)]),
 l being the logistic loss: the unlabelled mean, corrected by the prior, stands for the negatives, and
 may not fall below zero (where it would, a step goes the other way, out of overfitting). Words are
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,18 +33,23 @@ from .common import stored
 
 #: Bounds of the training samples, and words in the model at most.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_WORDS = 4000, 20_000, 1024
-#: A word must be in so many positive training documents.
-LEAST_DOCS = 5
+#: A word must be in so many positive training documents, and its lift so many standard deviations above what is asked for.
+LEAST_DOCS, SURE = 5, 2.0
 #: The class prior's bounds, where it is estimated.
 PRIOR_BOUNDS = (0.01, 0.5)
 STEPS, RATE, DECAY = 1200, 0.05, 1e-5
 
+#: Lengths of the beginnings of words that are features beside the words: an inflected language has many forms of one.
+PREFIXES = (4, 5, 6, 7)
+
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def tokens(text: str | None) -> set[str]:
-    """The different words (runs of letters, lower case) of a whole text."""
-    return set(_WORD.findall(text.lower())) if text else set()
+    """The different words (runs of letters, lower case) of a whole text, and their beginnings: with a hyphen, and with two where two words share it."""
+    words = set(_WORD.findall(text.lower())) if text else set()
+    found = Counter(w[:k] + "-" for w in words if len(w) > PREFIXES[0] for k in PREFIXES if len(w) > k)
+    return words.union(found, [p + "-" for p, n in found.items() if n > 1])
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], words: int, prior: float) -> tuple[np.ndarray, float]:
@@ -91,11 +97,11 @@ def word_table(sample: DataFrame) -> DataFrame:
 
 def fit(
     docs: DataFrame, labels: DataFrame, prior: float | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic",
-    max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_words: int = MAX_WORDS,
+    max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_words: int = MAX_WORDS, sure: float = SURE,
 ) -> dict[str, float]:
     """word -> weight, "" -> bias, from the rows that aren't held out.
 
-    max_positive and max_unlabelled bound the samples, max_words the model. Without a prior, the share of confirmed toxic documents among the training rows of labels is taken.
+    max_positive and max_unlabelled bound the samples, max_words the model; sure is how many standard deviations a word's lift must lie above what is asked for. Without a prior, the share of confirmed toxic documents among the training rows of labels is taken.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key))
     known = known.groupBy(F.col(key).cast("long").alias("id")).agg(F.max((F.col(label) == 1)).alias("positive"))
@@ -117,8 +123,9 @@ def fit(
         F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u")
     )
     lift = F.log((F.col("p") + 0.5) / n_p) - F.log((F.col("u") + 0.5) / n_u)
-    # a word of toxic texts alone is 1 / prior times likelier in them; half of that on the log scale is asked for
-    marked = (F.col("p") >= LEAST_DOCS) & (lift >= 0.5 * math.log(1 / prior))
+    # a word of toxic texts alone is 1 / prior times likelier in them; half of that on the log scale must be sure
+    least = lift - sure * F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("u") + 0.5))
+    marked = (F.col("p") >= LEAST_DOCS) & (least >= 0.5 * math.log(1 / prior))
     kept = counts.where(marked).orderBy((lift * F.sqrt("p")).desc(), "word").limit(max_words)
     index = {r[0]: i for i, r in enumerate(kept.select("word").collect())}
     vocabulary = F.array(*[F.lit(w) for w in index]) if index else F.array().cast("array<string>")

@@ -233,7 +233,13 @@ def brute_toxicity(rows, labels, most, steps):
 
     held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
     order = lambda i: (x - 2**64 if (x := xxhash.xxh64_intdigest(struct.pack("<i", 6), xxhash.xxh64_intdigest(struct.pack("<q", i), 42))) >= 2**63 else x, i)
-    words = lambda t: {w for w in re.findall(r"[^\W\d_]+", (t or "").lower())}
+
+    def words(t):
+        own = {w for w in re.findall(r"[^\W\d_]+", (t or "").lower())}
+        begin = lambda x: sum(w.startswith(x) and len(w) > len(x) for w in own)
+        starts = {w[:k] for w in own for k in (4, 5, 6, 7) if len(w) > k}
+        return own | {x + "-" for x in starts} | {x + "--" for x in starts if begin(x) > 1}
+
     known = {}
     for i, y in labels:
         if i is not None and y is not None and not held(i):
@@ -248,7 +254,8 @@ def brute_toxicity(rows, labels, most, steps):
     sides = [[words(texts[i]) for i in sorted(ids)] for ids in (positive, free)]
     count = [{w: sum(w in d for d in side) for d0 in side for w in d0} for side in sides]
     lift = lambda w: math.log((count[0].get(w, 0) + 0.5) / len(positive)) - math.log((count[1].get(w, 0) + 0.5) / len(free))
-    good = [w for w in count[0] if count[0][w] >= toxicity.LEAST_DOCS and lift(w) >= 0.5 * math.log(1 / prior)]
+    spread = lambda w: math.sqrt(1 / (count[0][w] + 0.5) + 1 / (count[1].get(w, 0) + 0.5))
+    good = [w for w in count[0] if count[0][w] >= toxicity.LEAST_DOCS and lift(w) - 0.5 * spread(w) >= 0.5 * math.log(1 / prior)]
     good = sorted(good, key=lambda w: (-lift(w) * math.sqrt(count[0][w]), w))[: most[2]]
     weight, bias = dict.fromkeys(good, 0.0), math.log(prior / (1 - prior))
     moments = {w: [0.0, 0.0] for w in [*good, ""]}
@@ -286,17 +293,24 @@ def test_toxicity_by_brute_force(spark, monkeypatch, most):
     rows, labels = [*ODD, (5000, "vile b"), (5000, "vile a"), (5000, "vile a")], [(None, 1), (1, None), (5000, 1), (5000, 0), (99_999, 1)]
     for i in range(1000, 1240):
         body = ["w" + "abcdefgh"[rng.randrange(8)] + "xyz"[rng.randrange(3)] for _ in range(8)]
-        rows.append((i, " ".join([*body, rng.choice(["vile", "Foul", "nasty"])] if i % 4 == 0 else body)))
+        rows.append((i, " ".join([*body, rng.choice(["vile", "Foul", "nasty", "nastier nastily"])] if i % 4 == 0 else body)))
         labels += [(i, int(i % 4 == 0))] * (i % 3)
     df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, score string").repartition(5)
     table = spark.createDataFrame(labels, "doc_id long, toxic int")
-    model = toxicity.fit(df, table, max_positive=most[0], max_unlabelled=most[1], max_words=most[2])
+    model = toxicity.fit(df, table, max_positive=most[0], max_unlabelled=most[1], max_words=most[2], sure=0.5)
     want, good = brute_toxicity(rows, labels, most, 60)
     assert list(model) == ["", *good] and good
     got = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in toxicity.scored(df, model).collect())
     assert np.allclose([g[2] for g in got], [w[1] for w in sorted(want, key=lambda x: (x[0] is None, x[0] or 0, x[1]))], atol=1e-9)
 
 
+def test_recall_on_the_given_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    found = toxicity.op6_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    share = {r.toxic: r.share for r in found.groupBy("toxic").agg(F.avg("predicted").alias("share")).collect()}
+    assert share[1] >= 0.9 and share[0] < 0.01
+
+
 def test_risk_stays_non_negative():
     rng = np.random.default_rng(1)
     clean = [rng.choice(50, 8, replace=False) for _ in range(300)]
