@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import total_award
 from ..functions.text import as_list, dashboard_summary, given, some
 from ..schemas import AMOUNT, CLAIM, PLAINTIFF
-from ..working import stored
+from .segments import SLOT, slotted
 
 UNKNOWN = "UNKNOWN"
 
@@ -99,29 +99,18 @@ def consolidate(records: DataFrame, carry_other_damages: bool = True, claims: st
     ).drop("__found", "__injuries")
 
 
-#: Ranges of the order within which rows are numbered by a window.
-RANGES = 64
-
-
-def numbered(df: DataFrame, order: str = "ord", then: list[str] | None = None, out: str = "id", prefix: str = "case_") -> DataFrame:
+def numbered(df: DataFrame, order: str = "ord", then: list[str] | None = None, out: str = "id", prefix: str = "case_", slots: int | None = None) -> DataFrame:
     """df with out: case_0001 and so on by a numeric order, equal ones by the columns of then.
 
-    The order is cut into ranges at its quantiles; rows are numbered inside their range, from the number of rows
-    in the ranges before. No window goes over all rows, and only a count for each range comes to the driver.
-    The rows are stored first, so that what makes them runs once.
+    Rows are dealt out by ranges of the order and then, as many as the data need, numbered inside their range, and
+    moved by the number of rows in the ranges before. What makes them runs once.
     """
-    df = stored(df, "numbered")
-    bounds = sorted(set(df.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.25 / RANGES)))
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<double>"), lambda b: F.col(order) >= b))
-    df = df.withColumn("__range", part)
-    counts = dict(df.groupBy("__range").count().collect())
-    before, total = [], 0
-    for i in range(len(bounds) + 1):
-        before.append(total)
-        total += counts.get(i, 0)
-    n = F.row_number().over(Window.partitionBy("__range").orderBy(order, *(then or [])))
-    n = n + F.get(F.array(*[F.lit(x) for x in before]), F.col("__range"))
-    return df.withColumn(out, F.format_string(f"{prefix}%04d", n)).drop("__range")
+    keys = [order, *(then or [])]
+    rows = slotted(df, [], keys, slots)
+    before = F.coalesce(F.sum("count").over(Window.orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    ranges = rows.groupBy(SLOT).count().select(SLOT, before.alias("__before"))
+    n = F.row_number().over(Window.partitionBy(SLOT).orderBy(*keys)) + F.col("__before")
+    return rows.join(F.broadcast(ranges), SLOT).withColumn(out, F.format_string(f"{prefix}%04d", n)).drop(SLOT, "__before")
 
 
 def _sum(a: Column, field: str) -> Column:

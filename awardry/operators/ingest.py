@@ -5,12 +5,14 @@ cells: doc_id, page, table_no, row_no, col_no, text. Tables are small; a table's
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.text import as_list, contains_any, given, judge_names
 from ..schemas import AMOUNT, CLAIM, PARSED_ROW, PLAINTIFF
+from ..working import stored
+from .segments import SLOT, running, slotted
 
 TABLE = ["doc_id", "page", "table_no"]
 FILLED = "trim(text) <> '' and trim(text) <> 'nan'"
@@ -41,18 +43,19 @@ def page_sections(cells: DataFrame) -> DataFrame:
     return texts.join(heads, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("by_head", "by_text").alias("section"))
 
 
-def filled_sections(pages: DataFrame, carry_forward: bool = False) -> DataFrame:
-    """(doc_id, page, section) with GENERAL named after the last main section before it, others in upper case, UNKNOWN for none."""
+def filled_sections(pages: DataFrame, carry_forward: bool = False, slots: int | None = None) -> DataFrame:
+    """(doc_id, page, section) with GENERAL named after the last main section before it, others in upper case, UNKNOWN for none.
+
+    Sections are carried over slots of a document's pages.
+    """
     up = F.upper("section")
-    w = Window.partitionBy("doc_id").orderBy("page")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     main = contains_any(up, fixed.MAIN_SECTIONS)
-    parent = F.last(F.when(main, up), ignorenulls=True).over(upto)
-    named = F.when(up.isNull(), None).when(main | ~F.contains(up, F.lit("GENERAL")) | parent.isNull(), up).otherwise(F.concat_ws(" - ", parent, up))
-    out = pages.withColumn("section", named)
+    rows = running(slotted(pages, ["doc_id"], ["page"], slots), ["doc_id"], ["page"], __parent=("last", F.when(main, up)))
+    named = F.when(up.isNull(), None).when(main | ~F.contains(up, F.lit("GENERAL")) | F.col("__parent").isNull(), up).otherwise(F.concat_ws(" - ", "__parent", up))
+    out = rows.withColumn("section", named).drop("__parent")
     if carry_forward:
-        out = out.withColumn("section", F.last("section", ignorenulls=True).over(upto))
-    return out.withColumn("section", F.coalesce("section", F.lit("UNKNOWN")))
+        out = running(out, ["doc_id"], ["page"], __last=("last", F.col("section"))).withColumn("section", F.col("__last")).drop("__last")
+    return out.withColumn("section", F.coalesce("section", F.lit("UNKNOWN"))).drop(SLOT)
 
 
 def mapped_headers(headers: Column, n: Column) -> Column:
@@ -101,10 +104,13 @@ def decoded_rows(rows: DataFrame, payload: str = "payload") -> DataFrame:
     return out.withColumns({"judge": judge_names(as_list(F.col("judge"))), "is_continuation": F.coalesce("is_continuation", F.lit(False))})
 
 
-def record_numbers(rows: DataFrame, by: list[str], order: list[str], continues: Column, out: str = "record") -> DataFrame:
-    """rows with the number of the record to which each belongs: a row that continues belongs to the last one that doesn't, before it."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(out, F.sum(F.when(continues, 0).otherwise(1)).over(w))
+def record_numbers(rows: DataFrame, by: list[str], order: list[str], continues: Column, out: str = "record", slots: int | None = None) -> DataFrame:
+    """rows with the number of the record to which each belongs: a row that continues belongs to the last one that doesn't, before it.
+
+    Records are counted in slots of a group's rows, and the counts carried over them.
+    """
+    starts = slotted(rows.withColumn("__starts", F.when(continues, 0).otherwise(1)), by, order, slots)
+    return running(starts, by, order, **{out: ("sum", F.col("__starts"))}).drop("__starts", SLOT)
 
 
 def joined_comments(order: list[str], c: str = "comments") -> Column:
@@ -162,6 +168,25 @@ def ingest(rows: DataFrame, payload: str = "payload") -> DataFrame:
     return cleaned(merged_records(rows, order))
 
 
+def counted_ingest(rows: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """(cases of ingested_cases, one row of ingest_counts), the counts observed while rows are decoded and cases written.
+
+    Decoded rows and cases are each written once, and what is counted is what is written: an action that
+    runs no other plan beside it, so that nothing is counted twice but tasks that are lost after they ended.
+    """
+    seen, made = Observation(), Observation()
+    news = F.col("is_continuation")
+    decoded = decoded_rows(rows, payload).observe(seen, F.count("*").alias("rows"), F.count_if(~news).alias("new"), F.count_if(news).alias("merged"))
+    order = ["page", "table_no", "row_no"]
+    numbered = record_numbers(stored(decoded, "decoded"), ["doc_id"], order, news)
+    cases = stored(cleaned(merged_records(numbered, order)).observe(made, F.count("*").alias("cases")), "ingested")
+    told = {**seen.get, **made.get}
+    return cases, rows.sparkSession.createDataFrame([tuple(told[k] for k in COUNTS)], ", ".join(f"{k} long" for k in COUNTS))
+
+
+COUNTS = ("rows", "new", "merged", "cases")
+
+
 def ingest_counts(rows: DataFrame, cases: DataFrame) -> DataFrame:
     """One row: rows, those that start a record, those merged, and cases after cleaning. rows is decoded."""
     one = rows.agg(F.count("*").alias("rows"), F.count_if(~F.col("is_continuation")).alias("new"), F.count_if(F.col("is_continuation")).alias("merged"))

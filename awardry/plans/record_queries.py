@@ -141,8 +141,7 @@ def ingested_cases(spark, sf_dir):
 
 @query(f"with {_INGESTED_SQL} select count(*) as rows, count(case when l_returnflag <> 'N' then 1 end) as new, count(case when l_returnflag = 'N' then 1 end) as merged, (select count(*) from fi where case_name <> '') as cases from pr")
 def ingest_counts(spark, sf_dir):
-    rows = stored(R.payloads(spark, sf_dir), "payloads")
-    return ingest.ingest_counts(ingest.decoded_rows(rows), ingest.ingest(rows))
+    return ingest.counted_ingest(R.payloads(spark, sf_dir))[1]
 
 
 #: The plaintiffs of each case (g, by its lines in order), folded by id; those without an id are numbered after those kept so far.
