@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed, predicates, scores, text
 from ..functions.patterns import all_matches
 from ..operators import boolean_query, consolidate, embedding, entities, inflation, ingest, keyword_index, outliers, reports, search, statistics
-from ..streaming.running import running_statistics
+from ..streaming.keyed import latest, upserted
+from ..streaming.running import ERROR, running_sketches, running_statistics, statistics_of
 from ..working import new_path
 from . import adapters as A
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
@@ -501,14 +502,25 @@ def region_laterality(spark, sf_dir):
     return text_regions(A.table(spark, sf_dir, "documents"), dictionary)
 
 
-@query("select event_type, count(value) as n, round(avg(value), 4) as mean, min(value) as min, max(value) as max, round(stddev_pop(value), 4) as std from events group by 1")
+@query("""select event_type, count(value) as n, round(avg(value), 4) as mean, min(value) as min, max(value) as max, round(stddev_pop(value), 4) as std, true as median_is_near,
+(select count(*) > 1 from (select 1 from events limit 2)) as in_batches from events group by 1""")
 def streaming_running_stats(spark, sf_dir):
-    """The running statistics after all rows have come through a stream."""
-    schema = A.table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    """The running statistics after all rows have come through a stream in four batches, each of which puts the groups that it changed.
+
+    The sketch's median is held to the exact one of all rows.
+    """
+    events = A.table(spark, sf_dir, "events").select("event_type", "value")
     path = new_path(spark, "running")
-    running = running_statistics(stream, "event_type", "value")
-    keep = lambda df, number: df.write.mode("overwrite").parquet(f"{path}/result")  # noqa: E731  the whole result, a row for each group
-    q = running.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return rounded(spark.read.schema(running.schema).parquet(f"{path}/result"))
+    events.repartition(4).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    upserted(running_statistics(stream, "event_type", "value"), f"{path}/result", f"{path}/checkpoint").awaitTermination()
+    upserted(running_sketches(stream, "event_type", "value"), f"{path}/sketches", f"{path}/checkpoint_sketches").awaitTermination()
+    rows = rounded(latest(spark, f"{path}/result", ["event_type"]))
+    sketched = statistics_of(latest(spark, f"{path}/sketches", ["event_type", "bucket"]), "event_type").select("event_type", "median")
+    exact = statistics.quantiles(events, ["event_type"], "value", {"exact": 0.5})
+    # an even number of values has its median between two, of which the sketch gives the lower
+    near = statistics.quantiles(events, ["event_type"], "value", {"least": 0.49, "most": 0.51})
+    out = rows.join(sketched, "event_type").join(exact, "event_type").join(near, "event_type")
+    good = F.col("median").between(F.col("least") - F.abs("exact") / ERROR, F.col("most") + F.abs("exact") / ERROR)
+    batches = spark.read.parquet(f"{path}/result").select("batch").distinct().count()
+    return out.select(*rows.columns, good.alias("median_is_near"), F.lit(batches > 1).alias("in_batches"))

@@ -326,5 +326,5 @@ def streaming_ingest(spark, sf_dir):
     rows = R.sued(spark, sf_dir).withColumn("source_page", F.get("source_page", F.lit(0)))
     for lot in (0, 1):
         rows.where(F.col("ord") % 2 == lot).write.mode("append").json(f"{base}/in")
-        ingest_stream(spark, f"{base}/in", f"{base}/records", f"{base}/store", f"{base}/checkpoint", parts=8).awaitTermination()
+        ingest_stream(spark, f"{base}/in", f"{base}/records", f"{base}/store", f"{base}/checkpoint").awaitTermination()
     return latest_version(spark, f"{base}/store").select("ord", "case_name", "year", "court", "n_records", F.size("plaintiffs").alias("num_plaintiffs"))

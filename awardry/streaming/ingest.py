@@ -2,37 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from ..operators.consolidate import consolidate
 from ..schemas import PARSED_CASE
+from ..working import stored
+from .keyed import latest, put
 
 KEYS = ["case_name", "year", "court"]
-#: Parts into which records and cases are dealt by their key.
-PARTS = 64
+RECORD = PARSED_CASE + ", ord long"
+
+
+def _with_earlier(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """All records of a key that a batch touches, with those that its state holds; the state holds them all from then on."""
+    held = state.get[0].split("\n") if state.exists else []
+    new = [p for batch in batches for p in batch["payload"]]
+    state.update(("\n".join(held + new),))
+    yield pd.DataFrame({"payload": held + new, "fresh": [False] * len(held) + [True] * len(new)})
 
 
-def ingest_stream(spark: SparkSession, incoming: str, records: str, store: str, checkpoint: str, parts: int = PARTS, **options) -> StreamingQuery:
+def ingest_stream(spark: SparkSession, incoming: str, records: str, store: str, checkpoint: str, **options) -> StreamingQuery:
     """Run over all new JSON-lines files of incoming, then stop; a restart goes on where the checkpoint ends.
 
-    Records are appended below records by batch and part, so that a batch that is run again replaces itself. Only
-    the parts of the store that a batch's keys fall into are consolidated anew, from their records, and replaced.
+    The records of each case are keyed state. A batch gets, for the cases that it touches and no others, their earlier records
+    from the state; these cases are consolidated anew and put into the store as the batch's changes, so that what is read and
+    written grows with the batch and not with the store. New records are appended below records. A batch
+    that is run again replaces what it wrote. For many cases, set RocksDB as the session's state store.
     """
-    rows = spark.readStream.schema(PARSED_CASE + ", ord long").json(incoming)
+    rows = spark.readStream.schema(RECORD).json(incoming)
+    keyed = rows.select(F.to_json(F.struct(*KEYS)).alias("key"), F.to_json(F.struct(*rows.columns)).alias("payload"))
+    touched = keyed.groupBy("key").applyInPandasWithState(_with_earlier, "payload string, fresh boolean", "records string", "update", "NoTimeout")
 
     def batch(df: DataFrame, number: int) -> None:
-        part = F.pmod(F.xxhash64(*KEYS), F.lit(parts)).cast("int").alias("part")
-        df.select("*", part).write.mode("overwrite").partitionBy("part").parquet(f"{records}/batch={number}")
-        touched = [r[0] for r in spark.read.parquet(f"{records}/batch={number}").select("part").distinct().collect()]  # at most parts numbers
-        every = spark.read.parquet(records).where((F.col("batch") <= number) & F.col("part").isin(touched))
-        cases = consolidate(every.drop("batch", "part"), **options).select("*", part)
-        cases.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(store)
+        found = stored(df, "touched").select("fresh", F.from_json("payload", RECORD).alias("r"))
+        put(found.where("fresh").select("r.*"), records, number)
+        put(consolidate(found.select("r.*"), **options), store, number)
 
-    return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return touched.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_version(spark: SparkSession, store: str) -> DataFrame:
     """The consolidated cases of all batches so far."""
-    return spark.read.parquet(store).drop("part")
+    return latest(spark, store, KEYS)
