@@ -6,13 +6,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import in_categories
 from ..functions.scores import cosine, keyword_score, meta_score, weights
 from ..functions.text import given, tokens
+from ..working import stored
+from . import vector_cells
 from .outliers import without_outliers
 
 
@@ -143,20 +144,13 @@ def top_of_each(results: DataFrame, by: str, n: int, score: str = "combined", or
     return results.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def unit(vectors: pd.Series) -> np.ndarray:
-    """A matrix of vectors of length 1; zero vectors stay zero."""
-    m = np.stack([np.asarray(v, np.float64) for v in vectors])
-    norms = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(norms == 0, 1, norms)
-
-
 def block_best(block: pd.DataFrame, ids: np.ndarray, vectors: np.ndarray, weight: float, n: int) -> pd.DataFrame:
     """For each query the n best names of a block of cases, each with its best case; more where the n-th score is shared."""
     block = block.sort_values(["name", "id"], kind="stable", ignore_index=True)
     name = block["name"].to_numpy()
     starts = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
     ends = np.r_[starts[1:], len(block)]
-    similarity = vectors @ unit(block["vec"]).T
+    similarity = vectors @ vector_cells.unit(block["vec"]).T
     total = np.round(similarity * weight + block["rest"].to_numpy(), 9)
     best = np.maximum.reduceat(total, starts, axis=1)
     k = min(n, len(starts))
@@ -166,12 +160,24 @@ def block_best(block: pd.DataFrame, ids: np.ndarray, vectors: np.ndarray, weight
     return found.assign(query_id=ids[q], similarity=similarity[q, at], combined=total[q, at])
 
 
-def search_many(cases: DataFrame, queries: DataFrame, q: Query, n: int = 5, given_weights: dict[str, float] | None = None, most: int = 8192) -> DataFrame:
+#: Cells that each query visits first, and rows of a task about.
+FIRST_CELLS, TASK_ROWS = 2, 65_536
+
+
+def search_many(
+    cases: DataFrame, queries: DataFrame, q: Query, n: int = 5, given_weights: dict[str, float] | None = None, most: int = 8192,
+    cell_rows: int = vector_cells.ROWS, told: list | None = None,
+) -> DataFrame:
     """(query_id, id, case_name, similarity, combined, rank): for each query the n best of all cases, one for each name.
 
     queries: query_id and vec, in place of q's vectors; the rest of q holds for all of them. Every category counts as
-    selected. Blocks of at most ``most`` queries are held in the tasks against all cases: pairs are never rows, only
-    the running n best of each task are. cases as for scored; those without a vector or a name go.
+    selected. cases as for scored; those without a vector or a name go.
+
+    Cases lie in cells about centres. A query visits the cells with the greatest bounds first; its n-th best of these
+    is what another cell's bound must reach for the cell to be visited: the result is that of all cases. Blocks of at most
+    ``most`` queries are held in the tasks against the cells that they visit: pairs are never rows, only the running
+    n best of each task are. Tasks have some TASK_ROWS rows, however many cases there are. told gets, for each block, the
+    numbers of pairs of a query and a cell, and of those visited.
     """
     w = weights(True, given_weights)
     weight = w["semantic"] + w["injury"]
@@ -181,38 +187,59 @@ def search_many(cases: DataFrame, queries: DataFrame, q: Query, n: int = 5, give
     spark = cases.sparkSession
     rows = cases.where(F.col("vec").isNotNull() & (F.coalesce(name, F.lit("")) != ""))
     rows = rows.withColumns({"__tokens": document, "__low": case_text()}).select("id", "case_name", name.alias("name"), "vec", rest.alias("rest"))
-    # as many parts at any size of the input, as each part returns n rows for each query
-    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism)
+    rows = stored(rows, "search_cases")  # scores and tokens are made once for all queries
+    centres = vector_cells.fit_centres(rows, rows=cell_rows)
+    rows = stored(vector_cells.with_cells(rows, centres), "search_cells")
+    cells = vector_cells.Cells.of(rows, centres)
+    tasks = max(1, rows.count() // TASK_ROWS + 1, min(len(cells.numbers), spark.sparkContext.defaultParallelism))
     queries = queries.select("query_id", "vec").where(F.col("vec").isNotNull())
     blocks = max(1, -(-queries.count() // most))
-    if blocks > 1:
-        rows = rows.persist(StorageLevel.DISK_ONLY)
     columns = "query_id long, id long, case_name string, name string, similarity double, combined double"
+    best_of = lambda found: top_of_each(deduplicated(found, ["query_id"], order="id"), "query_id", n, order="id")
     out = None
     for b in range(blocks):
         own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()  # one bounded block
-        if own.empty:
+        if own.empty or not len(cells.numbers):
             continue
-        held = spark.sparkContext.broadcast((own["query_id"].to_numpy(), unit(own["vec"])))
-
-        def run(batches, held=held):
-            ids, vectors = held.value
-            best = None
-            for batch in batches:
-                for i in range(0, len(batch), 4096):
-                    block = batch.iloc[i : i + 4096]
-                    new = [block_best(block, ids[j : j + 512], vectors[j : j + 512], weight, n) for j in range(0, len(ids), 512)]
-                    best = pd.concat([*new, *([] if best is None else [best])])
-                    best = best.sort_values(["combined", "id"], ascending=[False, True]).drop_duplicates(["query_id", "name"])
-                    best = best.groupby("query_id", sort=False).head(n)
-            if best is not None:
-                yield best[["query_id", "id", "case_name", "name", "similarity", "combined"]]
-
-        part = rows.mapInPandas(run, columns)
+        ids, vectors = own["query_id"].to_numpy(), vector_cells.unit(own["vec"])
+        bounds = cells.bounds(vectors, weight)
+
+        def visited(visits: np.ndarray) -> DataFrame:
+            """The best of the cells that each query visits: a matrix of queries by cells."""
+            held = spark.sparkContext.broadcast((ids, vectors, {int(c): np.flatnonzero(visits[:, i]) for i, c in enumerate(cells.numbers) if visits[:, i].any()}))
+
+            def run(batches):
+                ids, vectors, visitors = held.value
+                best = None
+                for batch in batches:
+                    new = []
+                    for cell, block in batch.groupby("cell", sort=False):
+                        who = visitors.get(int(cell), ())
+                        new += [block_best(block, ids[who[j : j + 512]], vectors[who[j : j + 512]], weight, n) for j in range(0, len(who), 512)]
+                    if new:
+                        best = pd.concat([*new, *([] if best is None else [best])])
+                        best = best.sort_values(["combined", "id"], ascending=[False, True]).drop_duplicates(["query_id", "name"])
+                        best = best.groupby("query_id", sort=False).head(n)
+                if best is not None:
+                    yield best[["query_id", "id", "case_name", "name", "similarity", "combined"]]
+
+            wanted = rows.where(F.col("cell").isin([int(c) for c, any_of in zip(cells.numbers, visits.any(0)) if any_of]))
+            return wanted.repartition(tasks, "cell", F.pmod(F.xxhash64("id"), F.lit(64))).mapInPandas(run, columns)
+
+        first = np.zeros(bounds.shape, bool)
+        first[np.arange(len(ids))[:, None], np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST_CELLS]] = True
+        found = stored(best_of(visited(first)).drop("rank"), "search_first")
+        last = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("combined").alias("least")).where(F.col("n") >= n).toPandas()
+        least = pd.Series(last["least"].to_numpy(), last["query_id"]).reindex(ids).fillna(-np.inf).to_numpy()
+        more = (bounds + 1e-8 >= least[:, None]) & ~first
+        if told is not None:
+            told.append((bounds.size, int(first.sum() + more.sum())))
+        part = found.select(*[c.split()[0] for c in columns.split(", ")])
+        part = part.unionByName(visited(more)) if more.any() else part
         out = part if out is None else out.union(part)
     if out is None:
         out = spark.createDataFrame([], columns)
-    return top_of_each(deduplicated(out, ["query_id"], order="id"), "query_id", n, order="id").drop("name")
+    return best_of(out).drop("name")
 
 
 def search(cases: DataFrame, q: Query, n: int = 25, given_weights: dict[str, float] | None = None, dismissed: DataFrame | None = None) -> DataFrame:
