@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,12 +13,11 @@ from ..functions.predicates import in_categories, in_range, of_age, of_gender
 from ..functions.text import given
 
 
-def condition(query: str, text: Column, brackets: bool = True) -> Column:
-    """Whether a lower-case text satisfies a query.
+def parsed(query: str, brackets: bool = True) -> tuple:
+    """A query as nested tuples: ("term", text), ("not", x), ("and", ...) and ("or", ...); an empty "and" holds always.
 
     OR binds least, then AND, which stands between terms by itself; NOT negates one term, and at the end is a word
-    like any other. "..." is a phrase. Terms are substrings, in any case. Parentheses group; without brackets they
-    are part of their term.
+    like any other. "..." is a phrase. Parentheses group; without brackets they are part of their term.
     """
     found = re.findall(r'"([^"]*)"|([()])|([^\s()"]+)' if brackets else r'"([^"]*)"|(\0)|([^\s"]+)', query)
     tokens = [("term", q) if q else ("mark", b) if b else ("word", w) for q, b, w in found]
@@ -26,19 +26,19 @@ def condition(query: str, text: Column, brackets: bool = True) -> Column:
     def word(name):
         return place < len(tokens) and tokens[place][0] == "word" and tokens[place][1].upper() == name
 
-    def term() -> Column:
+    def term() -> tuple:
         nonlocal place
         kind, value = tokens[place]
         place += 1
         if kind == "word" and value.upper() == "NOT" and place < len(tokens) and tokens[place] != ("mark", ")"):
-            return ~term()
+            return "not", term()
         if (kind, value) == ("mark", "("):
             inside = either()
             place += tokens[place : place + 1] == [("mark", ")")]
             return inside
-        return F.contains(text, F.lit(value.lower()))
+        return "term", value.lower()
 
-    def every() -> Column:
+    def every() -> tuple:
         nonlocal place
         parts = []
         while place < len(tokens) and tokens[place] != ("mark", ")") and not word("OR"):
@@ -46,21 +46,37 @@ def condition(query: str, text: Column, brackets: bool = True) -> Column:
                 place += 1
             else:
                 parts.append(term())
-        return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
+        return "and", *parts
 
-    def either() -> Column:
+    def either() -> tuple:
         nonlocal place
         parts = [every()]
         while word("OR"):
             place += 1
             parts.append(every())
-        return reduce(lambda a, b: a | b, parts)
+        return "or", *parts
 
-    out = either()
+    out = [either()]
     while place < len(tokens):  # a bracket that closes nothing
         place += 1
-        out = out & every()
-    return out
+        out.append(every())
+    return "and", *out
+
+
+def evaluated(tree: tuple, term: Callable[[str], object], negated: Callable[[object], object], yes: object):
+    """A parsed query by what each term is worth, with & and | for and and or; yes is what always holds."""
+    kind, *parts = tree
+    if kind == "term":
+        return term(parts[0])
+    values = [evaluated(p, term, negated, yes) for p in parts]
+    if kind == "not":
+        return negated(values[0])
+    return reduce((lambda a, b: a & b) if kind == "and" else (lambda a, b: a | b), values) if values else yes
+
+
+def condition(query: str, text: Column, brackets: bool = True) -> Column:
+    """Whether a lower-case text satisfies a query: terms are substrings, in any case, and parsed() tells how they are joined."""
+    return evaluated(parsed(query, brackets), lambda t: F.contains(text, F.lit(t)), lambda x: ~x, F.lit(True))
 
 
 def searchable(case_name=None, injuries=None, comments=None, summary=None) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed, predicates, scores, text
 from ..functions.patterns import all_matches
-from ..operators import boolean_query, consolidate, embedding, entities, inflation, ingest, keyword_index, outliers, reports, search, statistics
+from ..operators import boolean_query, consolidate, embedding, entities, gram_index, inflation, ingest, keyword_index, outliers, reports, search, statistics
 from ..streaming.keyed import latest, upserted
 from ..streaming.running import ERROR, running_sketches, running_statistics, statistics_of
 from ..working import new_path
@@ -210,6 +212,9 @@ def range_filters(spark, sf_dir):
     return A.cases(spark, sf_dir).where(tests).select("id", "year", "amount")
 
 
+_BOOLEAN: dict[str, tuple[str, str]] = {}
+
+
 def _boolean(name: str, q: str, sql: str) -> None:
     def run(spark, sf_dir):
         docs = A.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -218,6 +223,7 @@ def _boolean(name: str, q: str, sql: str) -> None:
 
     run.__name__ = name
     x = "lower(concat_ws(' ', nullif(source, ''), nullif(text, '')))"
+    _BOOLEAN[name] = q, sql.replace("$", x)
     query(f"select doc_id from documents where lang in ('en', 'fr') and ({sql.replace('$', x)})")(run)
 
 
@@ -227,6 +233,17 @@ _boolean("boolean_search_phrase", '"of the" tion', "contains($, 'of the') and co
 _boolean("boolean_search_or", "worthless OR idiot scum", "contains($, 'worthless') or (contains($, 'idiot') and contains($, 'scum'))")
 _boolean("boolean_search_grouped", "(worthless OR idiot) AND NOT (scum clown) the", "(contains($, 'worthless') or contains($, 'idiot')) and not (contains($, 'scum') and contains($, 'clown')) and contains($, 'the')")
 
+@query(" union all ".join(f"select '{n}' as query, doc_id from documents where {sql}" for n, (_, sql) in _BOOLEAN.items()))
+def boolean_search_indexed(spark, sf_dir):
+    """The Boolean searches, over all languages, from one index of three-character sequences."""
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", boolean_query.searchable(F.col("source"), comments=F.col("text")).alias("body"))
+    path = new_path(spark, "gram_index")
+    gram_index.write_gram_index(docs, path, "doc_id", "body")
+    index = gram_index.read_gram_index(spark, path)
+    out = [gram_index.indexed_boolean_search(docs, index, q, F.col("body"), "doc_id").select(F.lit(n).alias("query"), "doc_id") for n, (q, _) in _BOOLEAN.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
 TOKENS_SQL = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-z]{{2,}}'))"
 
 
