@@ -14,8 +14,8 @@ from ..working import stored
 SCHEMAS = {"parsed": PARSED_CASE, "dashboard": DASHBOARD_CASE, "flat": FLAT_CASE}
 
 
-def with_order(files: DataFrame, column: str = "ord") -> DataFrame:
-    """A table of files with its rows numbered from 0 in input order: by file, place in the file and row.
+def with_order(files: DataFrame, column: str = "ord", file: str | None = None) -> DataFrame:
+    """A table of files with its rows numbered from 0 in input order: by file, place in the file and row; with the file's path by option.
 
     Rows are stored with their number inside their part of a file; only the parts, a row each, are put in order.
     """
@@ -26,13 +26,23 @@ def with_order(files: DataFrame, column: str = "ord") -> DataFrame:
     before = F.sum("__n").over(Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("__file", "__start", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
     rows = rows.join(parts, ["__file", "__start"])
+    if file:
+        rows = rows.withColumn(file, F.col("__file"))
+        names = [*names, file]
     return rows.select(*names, (F.col("__before") + F.col("__at") - F.col("__first")).alias(column))
 
 
-def read_cases(spark: SparkSession, path: str, kind: str, lines: bool = False) -> DataFrame:
-    """Cases of a JSON file (an array, or a record a line) with ord; judges, regions and categories may be scalars or lists."""
-    df = spark.read.schema(SCHEMAS[kind]).option("multiLine", not lines).json(path)
-    df = with_order(df)
+def read_cases(spark: SparkSession, path: str, kind: str, lines: bool = False, split: bool = False) -> DataFrame:
+    """Cases of a JSON file (an array, or a record a line) with ord; judges, regions and categories may be scalars or lists.
+
+    split reads an array by many tasks, for large files; without it, a task reads a whole array.
+    """
+    if split and not lines:
+        from .json_array import read_json_array
+
+        df = read_json_array(spark, path, SCHEMAS[kind])
+    else:
+        df = with_order(spark.read.schema(SCHEMAS[kind]).option("multiLine", not lines).json(path))
     if kind == "parsed":
         df = df.withColumns({c: as_list(F.col(c)) for c in ("judge", "region")})
     return df
