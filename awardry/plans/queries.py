@@ -52,7 +52,10 @@ select a.year as start_year, b.year as end_year, round((t.cpi - f.cpi) / f.cpi *
 from y a join y b on a.year < b.year left join cpi f on f.year = a.year left join cpi t on t.year = b.year""")
 def inflation_rate(spark, sf_dir):
     years = A.cases(spark, sf_dir).select("year").distinct()  # a row for each year
-    pairs = years.select(F.col("year").alias("start_year")).join(F.broadcast(years.select(F.col("year").alias("end_year"))), F.col("start_year") < F.col("end_year"))
+    ends = years.select(F.col("year").alias("end_year"))
+    if ends.count() > 10_000:
+        raise ValueError("years are some hundred at most")
+    pairs = years.select(F.col("year").alias("start_year")).join(F.broadcast(ends), F.col("start_year") < F.col("end_year"))
     return inflation.rate(pairs, A.cpi(spark))
 
 
