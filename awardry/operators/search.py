@@ -17,6 +17,14 @@ from . import vector_cells
 from .outliers import without_outliers
 
 
+#: Rows to broadcast at most.
+BROADCAST_ROWS = 100_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def expanded_terms(query: str, related: dict[str, list[str]]) -> list[str]:
     """The query's parts, words and word sequences of 2 to 5 that are keys of a dictionary, with all that it relates to them; sorted."""
     low = query.lower().strip()
@@ -42,7 +50,7 @@ def expand_queries(queries: DataFrame, expansions: DataFrame, text: str = "text"
     bare = F.transform(grams, lambda g: F.regexp_replace(g, "^[,.;]+|[,.;]+$", ""))
     parts = F.concat(grams, bare, F.transform(F.split(F.lower(text), ","), lambda x: F.trim(x)))
     keys = queries.select("query_id", F.explode(F.array_distinct(parts)).alias("term"))
-    hit = keys.join(expansions, "term")
+    hit = keys.join(_few(expansions), "term")  # a term of many queries isn't one task then
     terms = hit.select("query_id", F.explode(F.array_union(F.array("term"), "related")).alias("term"))
     return terms.union(queries.select("query_id", F.trim(F.lower(text)))).distinct()
 
@@ -96,7 +104,7 @@ def keyword_scores(documents: DataFrame, queries: DataFrame, mean_length: float
     q = q.groupBy("query_id", "distinct", "token").agg(F.count("*").alias("times"))
     part = F.col("times") * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / mean_length)) / F.col("distinct")
     score = F.least(F.sum(part) / 10.0, F.lit(1.0))
-    return docs.join(q, "token").groupBy("query_id", "id").agg(score.alias("keyword"))
+    return docs.join(_few(q), "token").groupBy("query_id", "id").agg(score.alias("keyword"))
 
 
 def case_text() -> Column:
