@@ -26,8 +26,14 @@ def section_header(c: Column) -> Column:
     return F.when(good, given(F.trim(clean)))
 
 
-def section_in_text(c: Column) -> Column:
-    """The first section name, in their order, that stands as a whole word in the first 500 characters; null if none does."""
+def section_in_text(c: Column, ascii_words: bool = False) -> Column:
+    """The first section name, in their order, that stands as a whole word in the first 500 characters; null if none does.
+
+    Letters with accents belong to words, or with ascii_words bound them: only A-Z, digits and the underscore are a word's then.
+    """
+    if ascii_words:
+        head = F.translate(F.left(c, F.lit(500)), "\u0131\u017f", "IS")  # the only others that are A-Z in upper case; ß stays one character
+        return F.coalesce(*[F.when(head.rlike(rf"(?i)(?<![A-Z0-9_]){s}(?![A-Z0-9_])"), F.lit(s)) for s in fixed.SECTIONS])
     up = F.upper(F.left(c, F.lit(500)))
     return F.coalesce(*[F.when(up.rlike(rf"\b{s}\b"), F.lit(s)) for s in fixed.SECTIONS])
 
