@@ -288,7 +288,7 @@ select vec_id as id, case when v is null then 0.0 else 1.0 end::double as norm,
 def hashed_vectors(spark, sf_dir):
     """Vectors of texts by the model for tests: the length, and each value that isn't 0 by the least of them, in thousandths."""
     d = A.table(spark, sf_dir, "documents").join(A.table(spark, sf_dir, "embeddings").select("vec_id"), F.col("doc_id") == F.col("vec_id"))
-    v = embedding.with_vectors(d, "text")
+    v = embedding.with_vectors(d, "text", exact=True)
     square = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     least = F.array_min(F.filter("vec", lambda x: x > 0))
     values = F.filter(F.transform("vec", lambda x, i: F.when(x > 0, F.concat_ws(":", i, F.floor(x.cast("double") * 1000 / least + 0.3)))), lambda x: x.isNotNull())
