@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .boolean_query import condition, evaluated, parsed
 
 #: Texts of a block of postings, about; a sequence that all texts hold is a row for each block.
-BLOCK = 8192
+BLOCK = 2048
 #: Of a term's sequences the rarest are asked for, so many.
 RAREST = 3
 SIZE = 3
@@ -17,18 +17,22 @@ BROADCAST_ROWS = 200_000
 
 
 def grams(text: Column) -> Column:
-    """The different sequences of SIZE characters of a text."""
-    places = F.when(F.char_length(text) >= SIZE, F.sequence(F.lit(1), F.char_length(text) - SIZE + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(SIZE))))
+    """The different sequences of SIZE characters of a text, found in one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(" + "." * SIZE + "))"), F.lit(1)))
 
 
 def write_gram_index(texts: DataFrame, path: str, key: str = "id", text: str = "text", block: int = BLOCK) -> None:
-    """Postings (gram, block, n, ids) of lower-case texts, in the order of grams; ids are whole numbers."""
+    """Postings (gram, block, n, ids) of lower-case texts, each block's in the order of grams; ids are whole numbers.
+
+    Texts are dealt out by their block once; a block's postings are made where its texts are, so no row is shuffled
+    for a text's sequence.
+    """
     rows = texts.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     blocks = max(1, -(-rows.count() // block))
-    rows = rows.select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.explode(grams(F.col("text"))).alias("gram"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).repartition(blocks, "block")
+    rows = rows.select("id", "block", F.explode(grams(F.col("text"))).alias("gram"))
     postings = rows.groupBy("gram", "block").agg(F.count("*").alias("n"), F.collect_list("id").alias("ids"))
-    postings.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.mode("overwrite").parquet(path)
+    postings.sortWithinPartitions("gram", "block").write.mode("overwrite").parquet(path)
 
 
 def read_gram_index(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Boolean search from the index against the condition on every text."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -38,3 +39,15 @@ def test_empty(spark, tmp_path):
     gram_index.write_gram_index(df, str(tmp_path / "index"))
     index = gram_index.read_gram_index(spark, str(tmp_path / "index"))
     assert gram_index.indexed_boolean_search(df, index, "abc", F.col("text")).count() == 0
+
+
+def test_a_long_text_takes_one_pass(spark, tmp_path):
+    rng = random.Random(3)
+    long = "".join(rng.choices("abcdefgh é😀", k=500_000))
+    df = spark.createDataFrame([(1, long + "xyz😀yz"), (2, "short"), (3, "xyz 😀yz")], "id long, text string")
+    began = time.perf_counter()
+    gram_index.write_gram_index(df, str(tmp_path / "index"))
+    assert time.perf_counter() - began < 30  # by places in the text it took minutes
+    index = gram_index.read_gram_index(spark, str(tmp_path / "index"))
+    for q, want in (("xyz", [1, 3]), ("xyz😀yz", [1]), ("😀yz", [1, 3])):
+        assert sorted(r.id for r in gram_index.indexed_boolean_search(df, index, q, F.col("text")).collect()) == want
