@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
 
+from ..functions.text import given
 from ..operators.consolidate import consolidate
 from ..schemas import PARSED_CASE
 from ..working import stored
@@ -19,28 +16,25 @@ KEYS = ["case_name", "year", "court"]
 RECORD = PARSED_CASE + ", ord long"
 
 
-def _with_earlier(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """All records of a key that a batch touches, with those that its state holds; the state holds them all from then on."""
-    held = state.get[0].split("\n") if state.exists else []
-    new = [p for batch in batches for p in batch["payload"]]
-    state.update(("\n".join(held + new),))
-    yield pd.DataFrame({"payload": held + new, "fresh": [False] * len(held) + [True] * len(new)})
-
-
 def ingest_stream(spark: SparkSession, incoming: str, records: str, store: str, checkpoint: str, **options) -> StreamingQuery:
     """Run over all new JSON-lines files of incoming, then stop; a restart goes on where the checkpoint ends.
 
-    The records of each case are keyed state. A batch gets, for the cases that it touches and no others, their earlier records
-    from the state; these cases are consolidated anew and put into the store as the batch's changes, so that what is read and
-    written grows with the batch and not with the store. New records are appended below records. A batch
-    that is run again replaces what it wrote. For many cases, set RocksDB as the session's state store.
+    The records of each case are the state of an aggregate in update mode, each with its batch's time. A batch gets, for the cases that
+    it touches and no others, their earlier records from the state; these cases are consolidated anew and put into the
+    store as the batch's changes, so that what is read and written grows with the batch and not with the store. New
+    records, those of the latest time, are appended below records. A batch that is run again has the same time and replaces what it
+    wrote. For many cases, set RocksDB as the session's state store.
     """
     rows = spark.readStream.schema(RECORD).json(incoming)
-    keyed = rows.select(F.to_json(F.struct(*KEYS)).alias("key"), F.to_json(F.struct(*rows.columns)).alias("payload"))
-    touched = keyed.groupBy("key").applyInPandasWithState(_with_earlier, "payload string, fresh boolean", "records string", "update", "NoTimeout")
+    names = rows.columns
+    name = F.coalesce(given(F.col("case_name")), F.lit("Unknown"))  # as cases are told apart
+    rows = rows.select(name.alias("__key"), *KEYS[1:], F.current_timestamp().alias("at"), F.struct(*names).alias("r"))
+    touched = rows.groupBy("__key", *KEYS[1:]).agg(F.collect_list(F.struct("at", "r")).alias("all"))
 
     def batch(df: DataFrame, number: int) -> None:
-        found = stored(df, "touched").select("fresh", F.from_json("payload", RECORD).alias("r"))
+        last = F.aggregate("all", F.lit(None).cast("timestamp"), lambda t, x: F.greatest(t, x["at"]))
+        each = df.withColumn("last", last).select("last", F.explode("all").alias("x"))
+        found = stored(each.select((F.col("x.at") == F.col("last")).alias("fresh"), "x.r"), "touched")
         put(found.where("fresh").select("r.*"), records, number)
         put(consolidate(found.select("r.*"), **options), store, number)
 

@@ -52,3 +52,13 @@ def test_running_sketches(spark, tmp_path):
         assert r.n == len(v) and np.allclose([r.mean, r.min, r.max, r.std], [v.mean(), v.min(), v.max(), v.std()])
         middle = v[(len(v) - 1) // 2]
         assert abs(r.median - middle) <= abs(middle) / running.ERROR
+
+
+def test_cases_without_a_name_are_one_over_batches(spark, tmp_path):
+    """Null, an empty name and Unknown are one case, whichever batch brings them; a case's records are state without a Python group each."""
+    args = [str(tmp_path / x) for x in ("in", "records", "store", "checkpoint")]
+    for i, name in enumerate((None, "", "Unknown", "x")):
+        put(tmp_path, f"{i}.json", [case(0, i) | {"case_name": name}])
+        ingest.ingest_stream(spark, *args).awaitTermination()
+        assert spark.read.parquet(args[1]).where(F.col("batch") == i).count() == 1
+    assert sorted((r.case_name, r.n_records) for r in ingest.latest_version(spark, args[2]).collect()) == [("Unknown", 3), ("x", 1)]
