@@ -387,3 +387,17 @@ def test_clashing_columns(spark):
     got = decontaminate.contained_items(table, items).collect()
     assert sorted(map(tuple, got)) == sorted([(1, 7, 2, 2), *[(2, 8, 1, 1)] * 4])
     assert all(r.score == 0.5 for r in toxicity.scored(table, {"": 0.0}).collect())
+
+
+def test_op7_returns_ids_and_texts(spark, tmp_path):
+    """The query's rows have the pieces themselves and what they decode to, not only figures about them."""
+    import sentencepiece
+
+    texts = [(1, "Hello wörld  again\n日本 x"), (2, None), (3, ""), (4, "Hello " * 3000)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    rows = {r.doc_id: r for r in pieces.op7_sentencepiece(spark, str(tmp_path)).collect()}
+    for i, t in texts:
+        ids = sp.encode(t or "")
+        assert rows[i].piece_ids == ids and rows[i].n_pieces == len(ids) and rows[i].decoded == sp.decode(ids)
+        assert rows[i].same == (rows[i].decoded == (t or "")) and rows[i].ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))
