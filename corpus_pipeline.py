@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from awardry.llm.common import stored
 from awardry.llm.decontaminate import contained_items
 from awardry.llm.near_dup import near_duplicates
-from awardry.llm.pieces import encoded
+from awardry.llm.pieces import round_trip
 from awardry.llm.quality import quality_rules
 from awardry.llm.secrets import redacted, scan_secrets
 
@@ -22,6 +22,8 @@ SCHEMA = {"doc_id": "long", "text": "string", "lang": "string", "source": "strin
 COLUMNS = list(SCHEMA)
 #: Ids to broadcast at most.
 BROADCAST_ROWS = 200_000
+#: Documents that go to a Python worker at once: ten thousand, the usual, are tens of MB in it and as many in the executor.
+BATCH_ROWS = 1000
 
 
 def documents(docs: DataFrame) -> DataFrame:
@@ -29,6 +31,11 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.col(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in SCHEMA.items()])
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Spark reads this setting when a table is run, so it stays set; results don't depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs whose values in the columns of ids aren't among the ids; a null id stays."""
     ids = stored(ids.distinct(), "pipeline_ids")
@@ -46,6 +53,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of one id are judged each by its own text: a copy goes, another text of its id stays. Rows that share
     the least id of their group all stay, repeated rows among them. Rows without id or without words stay.
     """
+    small_batches(spark)
     docs = documents(docs)
     found = near_duplicates(docs, words=5, percent=80).where("id <> component")
     gone = found.select(F.col("id").alias("doc_id"), "text_hash")
@@ -57,6 +65,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts are searched whole. An item without words is in no document; one of fewer words is found wherever they stand in a row.
     """
+    small_batches(spark)
     docs = documents(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return without(docs, contained_items(docs, items, words=5, percent=80).select("doc_id")).select(*COLUMNS)
@@ -72,9 +81,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, piece_ids, n_pieces, and same: whether the ids decode to the text. All rows stay; a null text counts as empty."""
-    out = encoded(documents(docs), back="decoded")
-    same = F.coalesce("text", F.lit("")) == F.col("decoded")
-    return out.select("doc_id", "lang", "source", "n_chars", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), same.alias("same"))
+    small_batches(spark)
+    return round_trip(documents(docs), decoded=False).select("doc_id", "lang", "source", "n_chars", "piece_ids", "n_pieces", "same")
 
 
 STAGES = [
