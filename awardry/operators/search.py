@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -172,6 +173,27 @@ def block_best(block: pd.DataFrame, ids: np.ndarray, vectors: np.ndarray, weight
 FIRST_CELLS, TASK_ROWS = 2, 65_536
 
 
+#: Rows found that a task holds beside the best so far, about.
+HELD_ROWS = 50_000
+
+
+def best_so_far(found: Iterable[pd.DataFrame], n: int, held_rows: int = HELD_ROWS) -> pd.DataFrame | None:
+    """The n best rows of each query, one for each name, of many tables; they are folded whenever so many rows are held."""
+    best, new, count = None, [], 0
+
+    def folded() -> pd.DataFrame:
+        rows = pd.concat([*new, *([] if best is None else [best])])
+        rows = rows.sort_values(["combined", "id"], ascending=[False, True]).drop_duplicates(["query_id", "name"])
+        return rows.groupby("query_id", sort=False).head(n)
+
+    for rows in found:
+        new.append(rows)
+        count += len(rows)
+        if count >= held_rows:
+            best, new, count = folded(), [], 0
+    return folded() if new else best
+
+
 def search_many(
     cases: DataFrame, queries: DataFrame, q: Query, n: int = 5, given_weights: dict[str, float] | None = None, most: int = 8192,
     cell_rows: int = vector_cells.ROWS, told: list | None = None,
@@ -218,16 +240,15 @@ def search_many(
 
             def run(batches):
                 ids, vectors, visitors = held.value
-                best = None
-                for batch in batches:
-                    new = []
-                    for cell, block in batch.groupby("cell", sort=False):
-                        who = visitors.get(int(cell), ())
-                        new += [block_best(block, ids[who[j : j + 512]], vectors[who[j : j + 512]], weight, n) for j in range(0, len(who), 512)]
-                    if new:
-                        best = pd.concat([*new, *([] if best is None else [best])])
-                        best = best.sort_values(["combined", "id"], ascending=[False, True]).drop_duplicates(["query_id", "name"])
-                        best = best.groupby("query_id", sort=False).head(n)
+
+                def found():
+                    for batch in batches:
+                        for cell, block in batch.groupby("cell", sort=False):
+                            who = visitors.get(int(cell), ())
+                            for j in range(0, len(who), 512):
+                                yield block_best(block, ids[who[j : j + 512]], vectors[who[j : j + 512]], weight, n)
+
+                best = best_so_far(found(), n)
                 if best is not None:
                     yield best[["query_id", "id", "case_name", "name", "similarity", "combined"]]
 

@@ -48,3 +48,29 @@ def test_equal_to_all_rows(spark, clustered):
         assert [got[i, k + 1][0] for k in range(5)] == best[:5]
     (pairs, visited), = told
     assert pairs >= 5 * 12 and (not clustered or visited < pairs / 2)
+
+
+def test_a_task_holds_few_found_rows():
+    """Tables found for many cells are folded as they come: rows held don't grow with the cells of a batch."""
+    import gc
+
+    import pandas as pd
+    from awardry.operators.search import best_so_far
+
+    tables = lambda: (
+        pd.DataFrame({"query_id": np.arange(500) % 50, "id": np.arange(500) + 500 * i, "name": [f"n{x}" for x in r.integers(0, 40, 500)], "combined": r.random(500).round(2)})
+        for i, r in ((i, np.random.default_rng(i)) for i in range(60))
+    )
+    most = 0
+
+    def counted():
+        nonlocal most
+        for t in tables():
+            most = max(most, sum(len(x) for x in gc.get_objects() if isinstance(x, pd.DataFrame) and len(x) == 500))
+            yield t
+
+    got = best_so_far(counted(), 3, held_rows=2000)
+    want = pd.concat(list(tables())).sort_values(["combined", "id"], ascending=[False, True]).drop_duplicates(["query_id", "name"]).groupby("query_id").head(3)
+    key = ["query_id", "id", "combined"]
+    assert got[key].sort_values(key).values.tolist() == want[key].sort_values(key).values.tolist()
+    assert most <= 5000 and best_so_far(iter(()), 3) is None
