@@ -43,17 +43,26 @@ def expanded_text(query: str, related: dict[str, list[str]]) -> str:
     return f"{query}. {query}. " + ". ".join(expanded_terms(query, related))
 
 
+def _query_keys(queries: DataFrame, text: str) -> DataFrame:
+    """queries with __keys: the word sequences of 1 to 5 of each text, with and without outer marks, and its parts between commas.
+
+    The words are a column of their own, so that a text is split once and not for each of its sequences.
+    """
+    rows = queries.withColumn("__low", F.lower(text)).withColumn("__words", F.split(F.trim("__low"), r"\s+"))
+    of_length = lambda n: F.transform("__words", lambda _, i: F.when(i + n <= F.size("__words"), F.array_join(F.slice("__words", i + 1, F.lit(n)), " ")))
+    rows = rows.withColumn("__grams", F.array_compact(F.concat(*[of_length(n) for n in range(1, 6)])))
+    bare = F.transform("__grams", lambda g: F.btrim(g, F.lit(",.;")))
+    keys = F.array_distinct(F.concat("__grams", bare, F.transform(F.split("__low", ","), lambda x: F.trim(x))))
+    return rows.withColumn("__keys", keys).drop("__words", "__grams")
+
+
 def expand_queries(queries: DataFrame, expansions: DataFrame, text: str = "text") -> DataFrame:
     """(query_id, term) for a table of queries and a table (term, related): the same by an equi-join of word sequences."""
-    words = F.split(F.trim(F.lower(text)), r"\s+")
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda n: F.transform(words, lambda _, i: F.when(i + n <= F.size(words), F.array_join(F.slice(words, i + 1, n), " ")))))
-    grams = F.array_compact(grams)
-    bare = F.transform(grams, lambda g: F.regexp_replace(g, "^[,.;]+|[,.;]+$", ""))
-    parts = F.concat(grams, bare, F.transform(F.split(F.lower(text), ","), lambda x: F.trim(x)))
-    keys = queries.select("query_id", F.explode(F.array_distinct(parts)).alias("term"))
-    hit = keys.join(_few(expansions), "term")  # a term of many queries isn't one task then
-    terms = hit.select("query_id", F.explode(F.array_union(F.array("term"), "related")).alias("term"))
-    return terms.union(queries.select("query_id", F.trim(F.lower(text)))).distinct()
+    keys = _query_keys(queries, text).select("query_id", F.trim("__low").alias("__whole"), F.posexplode_outer("__keys").alias("__at", "term"))
+    hit = keys.join(_few(expansions), "term", "left")  # a term of many queries isn't one task then
+    found = F.when(F.col("related").isNotNull(), F.array_union(F.array("term"), "related")).otherwise(F.array().cast("array<string>"))
+    terms = hit.select("query_id", F.explode(F.when(F.coalesce("__at", F.lit(0)) == 0, F.concat(F.array("__whole"), found)).otherwise(found)).alias("term"))
+    return terms.distinct()
 
 
 def expanded_texts(queries: DataFrame, expansions: DataFrame, text: str = "text") -> DataFrame:
