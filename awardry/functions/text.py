@@ -9,6 +9,11 @@ from . import fixed
 from .patterns import all_matches
 
 
+def once(c: Column, f) -> Column:
+    """f(c), c being evaluated once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def given(c: Column) -> Column:
     """null for an empty text: empty counts as missing."""
     return F.when(c != "", c)
@@ -132,11 +137,11 @@ def judge_name(c: Column) -> Column:
     x = F.regexp_replace(x, r"(?i)^(The\s+)?((Honourable|Hon)\.?\s+)?", "")
     x = F.trim(F.regexp_replace(x, r"[,\s]+", " "))
     x = F.rtrim(F.element_at(F.split(x, " "), -1), F.lit("."))
-    return given(title_case(x))
+    return once(title_case(x), given)
 
 
 def judge_names(a: Column) -> Column:
-    return some(F.filter(F.transform(a, judge_name), lambda x: x.isNotNull()))
+    return once(F.filter(F.transform(a, judge_name), lambda x: x.isNotNull()), some)
 
 
 def dashboard_summary(injuries: Column, categories: Column, comments: Column, most: int | None = 10, label: str = "Categories: ") -> Column:

@@ -12,7 +12,7 @@ from ..functions import fixed
 from ..functions.text import as_list, contains_any, given, judge_names
 from ..schemas import AMOUNT, CLAIM, PARSED_ROW, PLAINTIFF
 from ..working import stored
-from .segments import SLOT, running, slotted
+from .segments import SLOT, few_each, running, running_whole, slotted
 
 TABLE = ["doc_id", "page", "table_no"]
 FILLED = "trim(text) <> '' and trim(text) <> 'nan'"
@@ -104,18 +104,22 @@ def row_texts(cells: DataFrame, headers: DataFrame) -> DataFrame:
 
 def decoded_rows(rows: DataFrame, payload: str = "payload") -> DataFrame:
     """Rows with the fields of a JSON payload in place of it; rows whose payload can't be read go. Judges become lists of surnames."""
-    out = rows.withColumn("__r", F.from_json(payload, PARSED_ROW, {"mode": "PERMISSIVE"}))
-    whole = F.coalesce(*[F.col(f"__r.{c}").cast("string") for c in ("case_name", "plaintiff_name", "year", "comments", "is_continuation", "non_pecuniary_damages")])
-    out = out.where(whole.isNotNull()).select(*[c for c in rows.columns if c != payload], "__r.*")
-    return out.withColumns({"judge": judge_names(as_list(F.col("judge"))), "is_continuation": F.coalesce("is_continuation", F.lit(False))})
+    parsed = F.inline(F.array(F.from_json(payload, PARSED_ROW, {"mode": "PERMISSIVE"})))  # a generator: each payload is parsed once
+    out = rows.select(*[c for c in rows.columns if c != payload], parsed)
+    whole = F.coalesce(*[F.col(c).cast("string") for c in ("case_name", "plaintiff_name", "year", "comments", "is_continuation", "non_pecuniary_damages")])
+    return out.where(whole.isNotNull()).withColumns({"judge": judge_names(as_list(F.col("judge"))), "is_continuation": F.coalesce("is_continuation", F.lit(False))})
 
 
-def record_numbers(rows: DataFrame, by: list[str], order: list[str], continues: Column, out: str = "record", slots: int | None = None) -> DataFrame:
+def record_numbers(rows: DataFrame, by: list[str], order: list[str], continues: Column, out: str = "record", slots: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """rows with the number of the record to which each belongs: a row that continues belongs to the last one that doesn't, before it.
 
-    Records are counted in slots of a group's rows, and the counts carried over them.
+    Records are counted along each group, or, if a group is large or ``slots`` are given, in slots of a group's rows, and the counts
+    carried over them. sizes is a table with at least the rows of each group that tells more cheaply how large they are.
     """
-    starts = slotted(rows.withColumn("__starts", F.when(continues, 0).otherwise(1)), by, order, slots)
+    starts = rows.withColumn("__starts", F.when(continues, 0).otherwise(1))
+    if slots is None and few_each(rows if sizes is None else sizes, by):
+        return running_whole(starts, by, order, **{out: ("sum", F.col("__starts"))}).drop("__starts")
+    starts = slotted(starts, by, order, slots)
     return running(starts, by, order, **{out: ("sum", F.col("__starts"))}).drop("__starts", SLOT)
 
 
@@ -170,8 +174,8 @@ def cleaned(cases: DataFrame) -> DataFrame:
 def ingest(rows: DataFrame, payload: str = "payload") -> DataFrame:
     """Cases of rows with a payload: decoded, continuation rows merged, cleaned. rows has doc_id, page, table_no, row_no."""
     order = ["page", "table_no", "row_no"]
-    rows = record_numbers(decoded_rows(rows, payload), ["doc_id"], order, F.col("is_continuation"))
-    return cleaned(merged_records(rows, order))
+    numbered = record_numbers(decoded_rows(rows, payload), ["doc_id"], order, F.col("is_continuation"), sizes=rows)
+    return cleaned(merged_records(stored(numbered, "numbered"), order))  # cases and their plaintiffs are gathered from the same rows
 
 
 def counted_ingest(rows: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,19 @@ from ..working import stored
 SLOT = "__slot"
 #: Slots of groups to broadcast at most.
 BROADCAST_ROWS = 100_000
+#: Rows of a group that one task runs along, at most; they are streamed and not held.
+GROUP_ROWS = 100_000
+
+
+def few_each(df: DataFrame, by: list[str], most: int = GROUP_ROWS) -> bool:
+    """Whether no group has more rows than one task may run along."""
+    return bool(by) and df.groupBy(*by).count().where(F.col("count") > most).isEmpty()
+
+
+def running_whole(df: DataFrame, by: list[str], order: list[str], **out: tuple[str, Column]) -> DataFrame:
+    """running for groups of few rows each: a window over each group, without slots, so that rows are shuffled once and not stored."""
+    along = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({k: F.sum(F.coalesce(x, F.lit(0))).over(along) if kind == "sum" else F.last(x, ignorenulls=True).over(along) for k, (kind, x) in out.items()})
 
 
 def slotted(df: DataFrame, by: list[str], order: list[str], slots: int | None = None) -> DataFrame:

@@ -1,6 +1,10 @@
 """What keeps a query's work in proportion to its input: expressions that are evaluated once, and rows that are moved once."""
 
-from awardry.operators import search
+from pyspark.sql import functions as F
+
+from awardry.functions import text
+from awardry.operators import ingest, search
+from awardry.operators.segments import few_each
 
 
 def optimized(df) -> str:
@@ -20,3 +24,29 @@ def test_expanded_texts_of_marks_and_blanks(spark):
     e = spark.createDataFrame([("hip", ["femur"])], "term string, related array<string>")
     told = {r.query_id: r.expanded for r in search.expanded_texts(q, e).collect()}
     assert told == {k: search.expanded_text(x, {"hip": ["femur"]}) for k, x in ((1, "Hip; pain"), (2, ""))}
+
+
+ROWS = [(1, 0, '{"case_name": "A", "judge": "Lee J.", "is_continuation": false}'), (1, 1, '{"comments": "x", "is_continuation": true}'), (2, 0, "{not"), (2, 1, None), (2, 2, '{"year": 2001}')]
+
+
+def test_payloads_are_parsed_once(spark):
+    rows = spark.createDataFrame(ROWS, "doc_id long, page int, payload string")
+    decoded = ingest.decoded_rows(rows)
+    assert optimized(decoded).count("from_json(") <= 2  # of the payload, and of a judge that may be a list
+    assert sorted((r.doc_id, r.page, r.judge) for r in decoded.collect()) == [(1, 0, ["Lee"]), (1, 1, None), (2, 2, None)]
+
+
+def test_small_documents_are_numbered_without_slots(spark):
+    rows = spark.range(60).select((F.col("id") % 7).alias("doc_id"), F.col("id").alias("page"), (F.col("id") % 3 != 0).alias("goes_on"))
+    whole = ingest.record_numbers(rows, ["doc_id"], ["page"], F.col("goes_on"))
+    assert "slotted" not in "".join(whole.inputFiles())
+    dealt = ingest.record_numbers(rows, ["doc_id"], ["page"], F.col("goes_on"), slots=5)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, dealt.select(whole.columns).collect()))
+    assert few_each(rows, ["doc_id"], 9) and not few_each(rows, ["doc_id"], 8) and not few_each(rows, [], 99)
+
+
+def test_judges_are_named_once_each(spark):
+    names = text.judge_names(F.col("a"))
+    df = spark.createDataFrame([(["A. Smith, J.", "The Hon. B. JONES J.A.", " J."],), ([],), (None,)], "a array<string>").select(names.alias("n"))
+    assert optimized(df).count("regexp_extract_all(") == 1
+    assert [r.n for r in df.collect()][:2] == [["Smith", "Jones", "J"], None]
