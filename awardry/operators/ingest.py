@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.text import as_list, contains_any, given, judge_names
+from ..functions.text import as_list, contains_any, given, judge_names, once
 from ..schemas import AMOUNT, CLAIM, PARSED_ROW, PLAINTIFF
 from ..working import stored
 from .segments import SLOT, few_each, running, running_whole, slotted
@@ -20,10 +20,11 @@ FILLED = "trim(text) <> '' and trim(text) <> 'nan'"
 
 def section_header(c: Column) -> Column:
     """The cleaned section name, or null for a text that is none."""
-    x, up = F.trim(c), F.upper(F.trim(c))
-    good = ~x.rlike(r"^[$0-9]") & ~contains_any(up, fixed.NO_SECTION) & contains_any(up, fixed.SECTION_PARTS)
+    x = F.trim(c)
+    named = once(F.upper(x), lambda up: ~contains_any(up, fixed.NO_SECTION) & contains_any(up, fixed.SECTION_PARTS))
+    good = ~x.rlike(r"^[$0-9]") & named
     clean = F.regexp_replace(F.regexp_replace(x, r"\s*-\s*\$[\d,.]+", ""), r"\s*-\s*$", "")
-    return F.when(good, given(F.trim(clean)))
+    return F.when(good, once(F.trim(clean), given))
 
 
 def section_in_text(c: Column, ascii_words: bool = False) -> Column:
@@ -34,33 +35,42 @@ def section_in_text(c: Column, ascii_words: bool = False) -> Column:
     if ascii_words:
         head = F.translate(F.left(c, F.lit(500)), "\u0131\u017f", "IS")  # the only others that are A-Z in upper case; ß stays one character
         return F.coalesce(*[F.when(head.rlike(rf"(?i)(?<![A-Z0-9_]){s}(?![A-Z0-9_])"), F.lit(s)) for s in fixed.SECTIONS])
-    up = F.upper(F.left(c, F.lit(500)))
-    return F.coalesce(*[F.when(up.rlike(rf"\b{s}\b"), F.lit(s)) for s in fixed.SECTIONS])
+    first = lambda up: F.coalesce(*[F.when(F.contains(up, F.lit(s)) & up.rlike(rf"\b{s}\b"), F.lit(s)) for s in fixed.SECTIONS])
+    return once(F.upper(F.left(c, F.lit(500))), first)
 
 
 def page_sections(cells: DataFrame) -> DataFrame:
     """(doc_id, page, section): by the first row of the page's last table, else by all text of its first one; null if neither tells."""
-    clean = section_header(F.col("text"))
-    heads = cells.where("row_no = 0").withColumn("clean", clean).groupBy(*TABLE).agg(F.min_by("clean", F.when(F.col("clean").isNotNull(), F.col("col_no"))).alias("s"))
-    heads = heads.groupBy("doc_id", "page").agg(F.max_by("s", "table_no").alias("by_head"))
-    texts = cells.where("row_no is not null").groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.struct("row_no", "col_no", "text"))).alias("a"))
-    text = F.array_join(F.transform("a", lambda x: x["text"]), " ")
-    texts = texts.groupBy("doc_id", "page").agg(F.min_by(section_in_text(text), "table_no").alias("by_text"))
-    return texts.join(heads, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("by_head", "by_text").alias("section"))
+    first_row = F.col("row_no") == 0
+    rows = cells.where("row_no is not null").withColumn("clean", F.when(first_row, section_header(F.col("text"))))
+    tables = rows.groupBy(*TABLE).agg(
+        F.min_by("clean", F.when(F.col("clean").isNotNull(), F.col("col_no"))).alias("s"), F.max(F.when(first_row, F.col("table_no"))).alias("headed"),
+        F.array_sort(F.collect_list(F.struct("row_no", "col_no", "text"))).alias("a"),
+    )
+    tables = tables.withColumn("by_text", section_in_text(F.array_join(F.transform("a", lambda x: x["text"]), " "))).drop("a")
+    pages = tables.groupBy("doc_id", "page").agg(F.max_by("s", "headed").alias("by_head"), F.min_by("by_text", "table_no").alias("by_text"))
+    return pages.select("doc_id", "page", F.coalesce("by_head", "by_text").alias("section"))
 
 
 def filled_sections(pages: DataFrame, carry_forward: bool = False, slots: int | None = None) -> DataFrame:
     """(doc_id, page, section) with GENERAL named after the last main section before it, others in upper case, UNKNOWN for none.
 
-    Sections are carried over slots of a document's pages.
+    Sections are carried along a document's pages, or over slots of them, if a document has many or ``slots`` are given. Columns
+    beside these stay as they are.
     """
     up = F.upper("section")
     main = contains_any(up, fixed.MAIN_SECTIONS)
-    rows = running(slotted(pages, ["doc_id"], ["page"], slots), ["doc_id"], ["page"], __parent=("last", F.when(main, up)))
+    if slots is None:
+        pages = stored(pages, "pages")
+    if slots is None and few_each(pages, ["doc_id"]):
+        along = running_whole
+    else:
+        pages, along = slotted(pages, ["doc_id"], ["page"], slots), running
+    rows = along(pages, ["doc_id"], ["page"], __parent=("last", F.when(main, up)))
     named = F.when(up.isNull(), None).when(main | ~F.contains(up, F.lit("GENERAL")) | F.col("__parent").isNull(), up).otherwise(F.concat_ws(" - ", "__parent", up))
     out = rows.withColumn("section", named).drop("__parent")
     if carry_forward:
-        out = running(out, ["doc_id"], ["page"], __last=("last", F.col("section"))).withColumn("section", F.col("__last")).drop("__last")
+        out = along(out, ["doc_id"], ["page"], __last=("last", F.col("section"))).withColumn("section", F.col("__last")).drop("__last")
     return out.withColumn("section", F.coalesce("section", F.lit("UNKNOWN"))).drop(SLOT)
 
 
@@ -77,10 +87,11 @@ def mapped_headers(headers: Column, n: Column) -> Column:
     return F.when(F.size(headers) > n, fit(joined)).otherwise(fit(headers))
 
 
-def table_headers(cells: DataFrame) -> DataFrame:
-    """(doc_id, page, table_no, headers, data_start_row) of the tables that have a known header and a row below it."""
+def _tables(cells: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, page, table_no, headers, data_start_row) of the tables that have a known header and a row below it, and more of their cells."""
     row = lambda r: F.transform(F.array_sort(F.collect_list(F.when(F.col("row_no") == r, F.struct("col_no", F.trim("text").alias("t"))))), lambda x: x["t"])
-    t = cells.groupBy(*TABLE).agg(row(0).alias("r0"), row(1).alias("r1"), (F.max("row_no") + 1).alias("rows"), (F.max("col_no") + 1).cast("int").alias("n"))
+    t = cells.groupBy(*TABLE).agg(row(0).alias("r0"), row(1).alias("r1"), (F.max("row_no") + 1).alias("rows"), (F.max("col_no") + 1).cast("int").alias("n"), *more)
+    own = [c for c in t.columns if c not in ("r0", "r1", "n")]
     many = lambda a: F.size(F.filter(a, lambda x: ~x.isin("", "nan"))) > 1
     spread = lambda a: F.transform(a, lambda x, i: F.when(x.isin("", "nan"), F.concat(F.lit("Col_"), i.cast("string"))).otherwise(x))
     head = lambda a: F.replace(F.coalesce(F.get(a, F.lit(0)), F.lit("")), F.lit("\\n"), F.lit("\n"))
@@ -89,14 +100,28 @@ def table_headers(cells: DataFrame) -> DataFrame:
     second = F.when(stacked(F.col("r1")), lines(F.col("r1"))).when(many(F.col("r1")), spread(F.col("r1"))).otherwise(F.filter("r1", lambda x: x != ""))
     h = F.when(many(F.col("r0")), spread(F.col("r0"))).when(stacked(F.col("r0")), lines(F.col("r0"))).otherwise(second)
     start = F.when(many(F.col("r0")) | stacked(F.col("r0")), 1).otherwise(2)
-    t = t.select(*TABLE, h.alias("headers"), start.alias("data_start_row"), "rows")
+    t = t.select(*own, h.alias("headers"), start.alias("data_start_row"))
     known = F.arrays_overlap(F.transform("headers", F.lower), F.array(*[F.lit(x) for x in ("plaintiff", "case", "year", "defendant")]))
     return t.where(known & (F.col("rows") >= 2)).drop("rows")
 
 
-def row_texts(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """(doc_id, page, table_no, row_no, row_text): lines of header: value for each data row with a value."""
-    rows = cells.where(FILLED).join(headers, TABLE).where("row_no >= data_start_row")
+def table_headers(cells: DataFrame) -> DataFrame:
+    """(doc_id, page, table_no, headers, data_start_row) of the tables that have a known header and a row below it."""
+    return _tables(cells).select(*TABLE, "headers", "data_start_row")
+
+
+def row_texts(cells: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page, table_no, row_no, row_text): lines of header: value for each data row with a value.
+
+    Without headers they are those of table_headers, and a table's cells are gathered once for both.
+    """
+    if headers is None:
+        filled = F.when(F.expr(FILLED), F.struct("row_no", "col_no", F.trim("text").alias("text")))
+        rows = _tables(cells, F.collect_list(filled).alias("__cells"))
+        rows = rows.select(*TABLE, "headers", "data_start_row", F.explode("__cells").alias("__cell")).select("*", "__cell.*")
+        rows = rows.where("row_no >= data_start_row")
+    else:
+        rows = cells.where(FILLED).join(headers, TABLE).where("row_no >= data_start_row")
     line = F.concat(F.coalesce(F.get("headers", F.col("col_no").cast("int")), F.concat(F.lit("Col_"), F.col("col_no").cast("string"))), F.lit(": "), F.trim("text"))
     rows = rows.groupBy(*TABLE, "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", line.alias("line")))).alias("a"))
     return rows.select(*TABLE, "row_no", F.array_join(F.transform("a", lambda x: x["line"]), "\n").alias("row_text"))

@@ -50,3 +50,28 @@ def test_judges_are_named_once_each(spark):
     df = spark.createDataFrame([(["A. Smith, J.", "The Hon. B. JONES J.A.", " J."],), ([],), (None,)], "a array<string>").select(names.alias("n"))
     assert optimized(df).count("regexp_extract_all(") == 1
     assert [r.n for r in df.collect()][:2] == [["Smith", "Jones", "J"], None]
+
+
+def test_sections_are_read_in_one_pass_over_the_cells(spark):
+    cells = spark.createDataFrame(
+        [(1, 1, 0, 0, 0, "Knee - $5"), (1, 1, 0, 1, 0, "x"), (1, 2, 0, 1, 0, "left ANKLE"), (1, 2, 1, 0, 0, "a"), (1, 3, 0, 0, 0, "HEAD"), (1, 3, 1, 0, 0, "b"), (1, 4, 0, None, 0, "KNEE")],
+        "doc_id long, page long, table_no int, row_no int, col_no int, text string",
+    )
+    pages = ingest.page_sections(cells)
+    assert "Join" not in optimized(pages)
+    assert sorted(map(tuple, pages.collect())) == [(1, 1, "Knee"), (1, 2, "ANKLE"), (1, 3, "HEAD")]
+
+
+def test_headings_are_put_in_upper_case_once(spark):
+    df = spark.createDataFrame([(" Knee - $1,000 ",), ("$5 knee",), ("Total knee",)], "t string").select(ingest.section_header(F.col("t")).alias("s"))
+    assert optimized(df).count("upper(") == 1
+
+
+def test_row_texts_need_no_join_of_cells_with_headers(spark):
+    cells = spark.createDataFrame(
+        [(1, 1, 0, 0, 0, "Plaintiff"), (1, 1, 0, 0, 1, "Year"), (1, 1, 0, 1, 0, " A"), (1, 1, 0, 1, 1, "nan"), (1, 1, 0, 2, 0, ""), (1, 1, 0, 2, 1, "2001"), (1, 2, 0, 0, 0, "x"), (1, 2, 0, 1, 0, "y")],
+        "doc_id long, page long, table_no int, row_no int, col_no int, text string",
+    )
+    whole = ingest.row_texts(cells)
+    assert "Join" not in optimized(whole)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, ingest.row_texts(cells, ingest.table_headers(cells)).collect())) == [(1, 1, 0, 1, "Plaintiff: A"), (1, 1, 0, 2, "Year: 2001")]
