@@ -102,5 +102,11 @@ def read_vectors(spark: SparkSession, path: str, cases: DataFrame | None = None,
     return vectors if cases is None else cases.join(vectors.withColumnRenamed("case_id", id_column), id_column, "left")
 
 
+#: Cases of a compressed JSON file at most: such a file is read by one task.
+FILE_CASES = 200_000
+
+
 def write_cases(df: DataFrame, path: str, form: str = "parquet") -> None:
-    df.write.mode("overwrite").format(form).save(path)
+    """Cases as files; JSON is compressed, as its text repeats the fields' names with each case."""
+    options = {"compression": "gzip", "maxRecordsPerFile": FILE_CASES} if form == "json" else {}
+    df.write.mode("overwrite").format(form).options(**options).save(path)

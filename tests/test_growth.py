@@ -75,3 +75,14 @@ def test_row_texts_need_no_join_of_cells_with_headers(spark):
     whole = ingest.row_texts(cells)
     assert "Join" not in optimized(whole)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, ingest.row_texts(cells, ingest.table_headers(cells)).collect())) == [(1, 1, 0, 1, "Plaintiff: A"), (1, 1, 0, 2, "Year: 2001")]
+
+
+def test_json_cases_are_compressed_and_read_again(spark, tmp_path):
+    from awardry.sources import cases
+
+    df = spark.range(2000).select(F.concat(F.lit("case "), "id").alias("case_name"), F.array(F.lit("an injury of some length")).alias("injuries"), F.array().cast("array<string>").alias("plaintiffs"))
+    cases.write_cases(df, str(tmp_path / "c"), "json")
+    size = sum(f.stat().st_size for f in (tmp_path / "c").glob("part-*"))
+    assert size < 40_000
+    back = cases.read_cases(spark, str(tmp_path / "c"), "parsed", lines=True)
+    assert sorted(r.ord for r in back.collect()) == list(range(2000)) and back.select("case_name").distinct().count() == 2000
