@@ -17,12 +17,6 @@ from .segments import SLOT, slotted
 UNKNOWN = "UNKNOWN"
 
 
-def _gathered(c: Column) -> Column:
-    """The arrays of a group's records, one after the other in input order."""
-    rows = F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct(F.col("ord").alias("ord"), c.alias("x")))))
-    return F.flatten(F.transform(rows, lambda r: r["x"]))
-
-
 def _listed(df: DataFrame, c: str) -> Column:
     """A column that may be a scalar, a text of a JSON list or an array, as an array; null when missing or empty."""
     kind = dict(df.dtypes).get(c, "void")
@@ -77,16 +71,23 @@ def consolidate(records: DataFrame, carry_other_damages: bool = True, claims: st
         keys = [r[c].eqNullSafe(first[c]) for c in ("case_name", "year", "court")]
         r = r.join(first, keys, "left").select(r["*"], "__first")
         r = r.withColumn("__p", F.when(~F.col("__bare") | (F.col("ord") == F.col("__first")), F.col("__p")).otherwise(F.array().cast(f"array<{PLAINTIFF}>")))
-    g = r.groupBy("case_name", "year", "court").agg(
-        F.min("ord").alias("ord"), F.count("*").alias("n_records"),
-        F.min_by("__judge", "ord").alias("judges"), F.min_by("__citation", "ord").alias("citation"), F.get(F.min_by("__page", "ord"), F.lit(0)).cast("int").alias("source_page"),
-        F.min_by("comments", "ord").alias("comments"),
-        (F.min_by("family_law_act_claims", "ord") if claims == "first" else _gathered(F.col("family_law_act_claims"))).alias("claims"),
-        (_gathered(F.col("other_damages")) if carry_other_damages else F.array().cast(f"array<struct<{AMOUNT}>>")).alias("other_damages"),
-        _gathered(F.col("__p")).alias("__found"),
-        _known(_gathered(F.col("__category"))).alias("categories"), _known(_gathered(F.col("__region"))).alias("regions"),
-        _gathered(F.col("injuries")).alias("__injuries"),
+    # a case's records come to one task as rows, and are gathered there once, in order: gathered before the shuffle, each of
+    # their fields would be sent with an order of its own
+    gathered = {"__p": "__found", "__category": "__categories", "__region": "__regions", "injuries": "__injuries"}
+    gathered |= {"other_damages": "other_damages"} if carry_other_damages else {}
+    gathered |= {"family_law_act_claims": "claims"} if claims != "first" else {}
+    of_first = {"__judge": "judges", "__citation": "citation", "__page": "__page", "comments": "comments"}
+    of_first |= {"family_law_act_claims": "claims"} if claims == "first" else {}
+    r = r.select("case_name", "year", "court", "ord", F.struct(*of_first).alias("__one"), F.struct("ord", *gathered).alias("__all"))
+    g = r.repartition("case_name", "year", "court").groupBy("case_name", "year", "court").agg(
+        F.min("ord").alias("ord"), F.count("*").alias("n_records"), F.min_by("__one", "ord").alias("__first"), F.array_sort(F.collect_list("__all")).alias("__rows")
     )
+    # null lists count as empty ones
+    listed = lambda c: F.flatten(F.filter(F.transform("__rows", lambda x: x[c]), lambda x: x.isNotNull())).alias(gathered[c])
+    g = g.select("case_name", "year", "court", "ord", "n_records", *[F.col(f"__first.{c}").alias(k) for c, k in of_first.items()], *[listed(c) for c in gathered])
+    if not carry_other_damages:
+        g = g.withColumn("other_damages", F.array().cast(f"array<struct<{AMOUNT}>>"))
+    g = g.withColumns({"source_page": F.get("__page", F.lit(0)).cast("int"), "categories": _known(F.col("__categories")), "regions": _known(F.col("__regions"))})
     g = g.withColumn("plaintiffs", folded_plaintiffs(F.col("__found")))
     injuries = F.concat(F.flatten(F.transform("plaintiffs", lambda p: F.coalesce(p["injuries"], F.array().cast("array<string>")))), F.col("__injuries"))
     unknown = lambda c: F.coalesce(some(F.col(c)), F.array(F.lit(UNKNOWN)))
@@ -96,7 +97,7 @@ def consolidate(records: DataFrame, carry_other_damages: bool = True, claims: st
             "categories": unknown("categories"), "regions": unknown("regions"),
             "claims": F.coalesce("claims", F.array().cast(f"array<{CLAIM}>")),
         }
-    ).drop("__found", "__injuries")
+    ).select("case_name", "year", "court", "ord", "n_records", "judges", "citation", "source_page", "comments", "claims", "other_damages", "categories", "regions", "plaintiffs", "injuries")
 
 
 def numbered(df: DataFrame, order: str = "ord", then: list[str] | None = None, out: str = "id", prefix: str = "case_", slots: int | None = None) -> DataFrame:

@@ -86,3 +86,17 @@ def test_json_cases_are_compressed_and_read_again(spark, tmp_path):
     assert size < 40_000
     back = cases.read_cases(spark, str(tmp_path / "c"), "parsed", lines=True)
     assert sorted(r.ord for r in back.collect()) == list(range(2000)) and back.select("case_name").distinct().count() == 2000
+
+
+def test_records_of_a_case_are_sent_as_rows(spark):
+    from awardry.operators import consolidate
+    from awardry.schemas import PARSED_CASE
+
+    fields = {"case_name": "A", "year": 2001, "court": None, "injuries": ["x"], "is_continuation": False}
+    rows = spark.createDataFrame([{**fields, "injuries": None}, {**fields, "comments": "c"}], PARSED_CASE).withColumn("ord", F.monotonically_increasing_id())
+    merged = consolidate.consolidate(rows)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("collect_list") < plan.index("Exchange hashpartitioning")  # above it
+    assert "partial_collect_list" not in plan[plan.index("Exchange hashpartitioning"):]
+    got = merged.first()
+    assert (got.n_records, got.injuries, len(got.plaintiffs)) == (2, ["x"], 2)
