@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.patterns import all_matches
-from ..functions.text import as_findings, given, report_severity, shortened
+from ..functions.text import as_findings, as_injuries, given, report_severity, shortened
 from .anatomy import region_labels, text_regions
 from .statistics import summary
 
 
 def analysed(reports: DataFrame, text: str = "text", key: str = "doc_id", dictionary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(findings, rejects): injuries, sequelae, severity and, with a dictionary, injured_regions of each report; reports without text are rejected."""
+    """(findings, rejects): injuries, comment_injuries, sequelae, severity and, with a dictionary, injured_regions of each report.
+
+    Reports without text are rejected. A text is sent to Python once for all expressions.
+    """
     blank = given(F.trim(F.coalesce(text, F.lit("")))).isNull()
-    found = all_matches(F.lower(text), injuries=fixed.REPORT_INJURIES, sequelae=fixed.REPORT_SEQUELAE)
+    found = all_matches(F.lower(text), injuries=fixed.REPORT_INJURIES, sequelae=fixed.REPORT_SEQUELAE, comments=fixed.COMMENT_INJURIES)
     out = reports.where(~blank).withColumn("__found", found).withColumns(
-        {"injuries": as_findings(F.col("__found.injuries")), "sequelae": as_findings(F.col("__found.sequelae")), "severity": report_severity(F.col(text)), "extraction_method": F.lit("regex")}
+        {"injuries": as_findings(F.col("__found.injuries")), "sequelae": as_findings(F.col("__found.sequelae")), "comment_injuries": as_injuries(F.col("__found.comments")), "severity": report_severity(F.col(text)), "extraction_method": F.lit("regex")}
     ).drop("__found")
     if dictionary is not None:
         found = text_regions(out, dictionary, text, key).groupBy(key).agg(F.array_sort(F.collect_set("region")).alias("injured_regions"))

@@ -219,7 +219,7 @@ def report_analysis(spark, sf_dir):
     found, _ = reports.analysed(expert_reports(spark, sf_dir), dictionary=dictionary)
     listed = lambda c: F.array_join(c, "|")
     return found.select(
-        "doc_id", "severity", listed(text.comment_injuries(F.col("text"))).alias("comment_injuries"), listed("injuries").alias("injuries"), listed("sequelae").alias("sequelae"),
+        "doc_id", "severity", listed("comment_injuries").alias("comment_injuries"), listed("injuries").alias("injuries"), listed("sequelae").alias("sequelae"),
         reports.report_search_text(F.col("injuries"), F.col("sequelae")).alias("search_text"), listed(F.coalesce("injured_regions", F.array().cast("array<string>"))).alias("regions"),
     )
 

@@ -100,3 +100,15 @@ def test_records_of_a_case_are_sent_as_rows(spark):
     assert "partial_collect_list" not in plan[plan.index("Exchange hashpartitioning"):]
     got = merged.first()
     assert (got.n_records, got.injuries, len(got.plaintiffs)) == (2, ["x"], 2)
+
+
+def test_reports_are_sent_to_python_once_for_their_expressions(spark):
+    from awardry.operators import reports
+
+    texts = [(1, "He was diagnosed with a cervical sprain injury. A minor pain."), (2, None), (3, " "), (4, "This causes difficulty with lifting boxes")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    found, rejects = reports.analysed(rows)
+    assert optimized(found.select("comment_injuries", "injuries", "sequelae")).count("run(") == 1
+    own = {r.doc_id: r.c for r in rows.select("doc_id", text.comment_injuries(F.col("text")).alias("c")).collect()}
+    assert {r.doc_id: r.comment_injuries for r in found.collect()} == {k: own[k] for k in (1, 4)}
+    assert {r.doc_id for r in rejects.collect()} == {2, 3}
