@@ -102,8 +102,8 @@ def report_findings(c: Column, patterns: list[str], most: int = 10) -> Column:
 
 
 def report_severity(c: Column) -> Column:
-    low = F.lower(c)
-    return F.when(contains_any(low, fixed.REPORT_SEVERE), "severe").when(contains_any(low, fixed.REPORT_MILD), "mild").otherwise("moderate")
+    told = lambda low: F.when(contains_any(low, fixed.REPORT_SEVERE), "severe").when(contains_any(low, fixed.REPORT_MILD), "mild").otherwise("moderate")
+    return F.coalesce(once(F.lower(c), told), F.lit("moderate"))
 
 
 def search_text(injuries: Column, comments: Column, case_name: Column) -> Column:

@@ -112,3 +112,9 @@ def test_reports_are_sent_to_python_once_for_their_expressions(spark):
     own = {r.doc_id: r.c for r in rows.select("doc_id", text.comment_injuries(F.col("text")).alias("c")).collect()}
     assert {r.doc_id: r.comment_injuries for r in found.collect()} == {k: own[k] for k in (1, 4)}
     assert {r.doc_id for r in rejects.collect()} == {2, 3}
+
+
+def test_texts_come_to_expressions_as_arrow(spark):
+    df = spark.createDataFrame([("a knee injury of the left leg",), (None,)], "t string").select(text.matches(F.col("t"), [r"(\w+) injury"]).alias("m"))
+    assert "PANDAS" not in df._jdf.queryExecution().optimizedPlan().toString().upper()
+    assert [r.m for r in df.collect()] == [["knee"], None]
