@@ -34,12 +34,14 @@ def occurrence_score(tf: Column, length: Column, mean_length: float) -> Column:
 def write_index(documents: DataFrame, path: str, mean_length: float = 100.0, block: int = BLOCK) -> None:
     """Postings of documents (id, tokens) as a table (token, block, best, postings), in the order of tokens and blocks."""
     docs = documents.select("id", F.size("tokens").cast("long").alias("len"), "tokens").where("len > 0")
+    docs = stored(docs, "tokens")  # texts are parted once, for the blocks' sizes and for the postings
     scale = F.floor(F.log2("len") * STEPS).cast("int")
     sizes = docs.groupBy(scale.alias("scale")).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))  # a row for each scale: some hundred
     docs = docs.withColumn("scale", scale).join(F.broadcast(sizes), "scale")
     docs = docs.withColumn("block", F.shiftleft(F.col("scale").cast("long"), 40) + F.pmod(F.xxhash64("id"), "parts"))
     counts = docs.select("id", "len", "block", F.explode("tokens").alias("token")).groupBy("token", "block", "id", "len").agg(F.count("*").alias("tf"))
-    rows = counts.groupBy("token", "block").agg(
+    # counts are sent as rows, not as lists that nearly all have one document
+    rows = counts.repartition("token", "block").groupBy("token", "block").agg(
         F.max(occurrence_score(F.col("tf"), F.col("len"), mean_length)).alias("best"), F.collect_list(F.struct("id", "tf", "len")).alias("postings"),
     )
     rows = rows.select("token", "block", "best", F.col("postings").cast(POSTINGS).alias("postings"), F.lit(mean_length).alias("mean_length"))

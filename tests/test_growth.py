@@ -118,3 +118,20 @@ def test_texts_come_to_expressions_as_arrow(spark):
     df = spark.createDataFrame([("a knee injury of the left leg",), (None,)], "t string").select(text.matches(F.col("t"), [r"(\w+) injury"]).alias("m"))
     assert "PANDAS" not in df._jdf.queryExecution().optimizedPlan().toString().upper()
     assert [r.m for r in df.collect()] == [["knee"], None]
+
+
+def test_index_parts_texts_once(spark, tmp_path):
+    from awardry.operators import keyword_index
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def parted(x):
+        calls.add(1)
+        return x.split()
+
+    docs = spark.createDataFrame([(i, "a b a") for i in range(20)], "id long, x string").select("id", parted("x").alias("tokens"))
+    keyword_index.write_index(docs, str(tmp_path / "index"))
+    assert calls.value <= 40  # at most for the length and for the tokens, in one job
+    index = keyword_index.read_index(spark, str(tmp_path / "index"))
+    assert {(r.token, len(r.postings)) for r in index.collect()} == {("a", 20), ("b", 20)}
