@@ -294,7 +294,7 @@ def only(results: DataFrame, ids: DataFrame) -> DataFrame:
 
 def search_without_outliers(cases: DataFrame, q: Query, amount: str, n: int = 25, threshold: float = 1.5, **options) -> DataFrame:
     """Three times as many results, without outliers by amount if there are over four, cut to n."""
-    found = search(cases, q, 3 * n, **options)
+    found = stored(search(cases, q, 3 * n, **options), "found")  # 3 * n rows; all cases are scored once for the three readings
     kept = without_outliers(found, amount, threshold=threshold)
     few = found.limit(5).count() <= 4
     return top((found if few else kept).drop("rank"), n)

@@ -135,3 +135,21 @@ def test_index_parts_texts_once(spark, tmp_path):
     assert calls.value <= 40  # at most for the length and for the tokens, in one job
     index = keyword_index.read_index(spark, str(tmp_path / "index"))
     assert {(r.token, len(r.postings)) for r in index.collect()} == {("a", 20), ("b", 20)}
+
+
+def test_search_without_outliers_scores_each_case_once(spark):
+    from awardry.operators import search
+
+    rows = [(i, i, f"n{i}", ["arm"], "pain", None, None, None, ["a"], None, i % 7 * 10.0) for i in range(100)]
+    kind = "id long, ord long, case_name string, injuries array<string>, comments string, summary_text string, sex string, age int, regions array<string>, vec array<float>, damages double"
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    cases = spark.createDataFrame(rows, kind).mapInArrow(counted, kind)
+    got = search.search_without_outliers(cases, search.Query("arm", ["arm"], ["arm"]), "damages", 10, threshold=0.2).collect()
+    assert [r["rank"] for r in got] == list(range(1, len(got) + 1)) and got
+    assert seen.value == 100
