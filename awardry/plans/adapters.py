@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..schemas import CLAIM
 from ..sources.cpi import built_in_cpi
+from ..working import tasks_for
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,11 +47,21 @@ ADJUSTED_SQL = f"""{CPI_SQL}, {CASES_SQL}, adj as (select cases.*, round((amount
   from cases left join cpi f on f.year = cases.year left join cpi t on t.year = {fixed.REFERENCE_YEAR})"""
 
 
+def by_order(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    """lines dealt by order to tasks of bounded numbers of lines; what follows by order needs no shuffle."""
+    return lines.repartition(line_tasks(spark, sf_dir), "l_orderkey")
+
+
+def line_tasks(spark: SparkSession, sf_dir: str) -> int:
+    return tasks_for(spark, table(spark, sf_dir, "lineitem").count())  # the files' footers tell
+
+
 def judged_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """adjusted_cases with judges: the different suppliers of an order."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    judges = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey").agg(F.collect_set("s_name").alias("judges"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    names = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_name")
+    judges = by_order(spark, sf_dir, names).groupBy("l_orderkey").agg(F.collect_set("s_name").alias("judges"))
     return adjusted_cases(spark, sf_dir).join(judges, F.col("id") == F.col("l_orderkey")).drop("l_orderkey")
 
 
@@ -61,7 +72,7 @@ JUDGED_SQL = f"""{ADJUSTED_SQL}, jc as (select * from (select adj.*, s.judge, ro
 
 def claimed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """adjusted_cases with claims: the lines of an order, the return flag as relationship, finished lines being awards."""
-    li = table(spark, sf_dir, "lineitem")
+    li = by_order(spark, sf_dir, table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice", "l_linestatus"))
     claim = F.struct(
         "l_linenumber",
         F.struct(
