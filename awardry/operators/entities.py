@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import given, normal, title_case
 
 
-def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in an order."""
+def first_of(df: DataFrame, keys: list[str], order: list[Column], tasks: int | None = None) -> DataFrame:
+    """The first row of each key in an order; the rows are dealt to so many tasks, or as the session says, and sorted once."""
+    df = df.repartition(tasks, *keys) if tasks else df.repartition(*keys)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
@@ -20,10 +21,10 @@ def by_judge(cases: DataFrame, judges: str = "judges", out: str = "judge") -> Da
     return cases.withColumn(out, F.explode(names))
 
 
-def judge_cases(cases: DataFrame, ord_column: str = "ord", dedupe: bool = True) -> DataFrame:
+def judge_cases(cases: DataFrame, ord_column: str = "ord", dedupe: bool = True, tasks: int | None = None) -> DataFrame:
     """by_judge, of the same name and year the first case of each judge only."""
     rows = by_judge(cases)
-    return first_of(rows, ["judge", "case_name", "year"], [F.col(ord_column)]) if dedupe else rows
+    return first_of(rows, ["judge", "case_name", "year"], [F.col(ord_column)], tasks) if dedupe else rows
 
 
 def awards(cases: DataFrame, claims: str = "claims") -> DataFrame:

@@ -38,7 +38,7 @@ def adjusted_stats_by_category(spark, sf_dir):
 
 @query(f"with {A.JUDGED_SQL} {stats_sql('judge', 'jc')}")
 def adjusted_stats_by_judge(spark, sf_dir):
-    return rounded(statistics.award_statistics(entities.judge_cases(A.judged_cases(spark, sf_dir)), ["judge"]), 2)
+    return rounded(statistics.award_statistics(entities.judge_cases(A.judged_cases(spark, sf_dir), tasks=A.line_tasks(spark, sf_dir)), ["judge"]), 2)
 
 
 @query(f"with {A.ADJUSTED_SQL} select id, year, amount, adjusted, round(coalesce(nullif(adjusted, 0), amount) - amount, 4) as delta, round((adjusted - amount) / nullif(amount, 0) * 100, 4) as delta_percent from adj")
@@ -61,12 +61,12 @@ def inflation_rate(spark, sf_dir):
 
 @query(f"with {A.JUDGED_SQL} select judge, year as value, count(*) as n from jc group by 1, 2")
 def judge_distributions(spark, sf_dir):
-    return statistics.distribution(entities.judge_cases(A.judged_cases(spark, sf_dir)), ["judge"], F.col("year"))
+    return statistics.distribution(entities.judge_cases(A.judged_cases(spark, sf_dir), tasks=A.line_tasks(spark, sf_dir)), ["judge"], F.col("year"))
 
 
 @query(f"with {A.JUDGED_SQL} select judge, court, count(*) as n from jc group by 1, 2")
 def court_distribution(spark, sf_dir):
-    return statistics.distribution(entities.judge_cases(A.judged_cases(spark, sf_dir)), ["judge"], F.col("court"), "court")
+    return statistics.distribution(entities.judge_cases(A.judged_cases(spark, sf_dir), tasks=A.line_tasks(spark, sf_dir)), ["judge"], F.col("court"), "court")
 
 
 @query(f"with {A.JUDGED_SQL} select judge, count(*) as n from jc group by 1 order by n desc, judge limit 10")
@@ -76,7 +76,7 @@ def judge_case_counts_top10(spark, sf_dir):
 
 @query(f"with {A.JUDGED_SQL} select judge, year, amount as award, coalesce(nullif(adjusted, 0), amount) as adjusted, court from jc where year is not null and amount > 0")
 def judge_timeline_points(spark, sf_dir):
-    return entities.timeline_points(entities.judge_cases(A.judged_cases(spark, sf_dir)), "judge", keep=("court",))
+    return entities.timeline_points(entities.judge_cases(A.judged_cases(spark, sf_dir), tasks=A.line_tasks(spark, sf_dir)), "judge", keep=("court",))
 
 
 @query("select distinct s_name as judge from lineitem join supplier on l_suppkey = s_suppkey join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey")

@@ -155,7 +155,7 @@ def compared_judges(spark, sf_dir):
 @query(f"with {A.JUDGED_SQL}, n as (select judge, year, count(*) as n from jc where year is not null group by all) select judge, string_agg(year || ':' || n, ',' order by year) as years from n group by 1")
 def judge_year_maps(spark, sf_dir):
     """The distribution of each judge's cases over years as one map."""
-    counts = statistics.distribution(entities.judge_cases(A.judged_cases(spark, sf_dir)), ["judge"], F.col("year"))
+    counts = statistics.distribution(entities.judge_cases(A.judged_cases(spark, sf_dir), tasks=A.line_tasks(spark, sf_dir)), ["judge"], F.col("year"))
     entries = F.transform(F.array_sort(F.map_entries("distribution")), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string")))
     return statistics.as_map(counts, ["judge"]).select("judge", F.array_join(entries, ",").alias("years"))
 

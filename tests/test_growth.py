@@ -137,6 +137,27 @@ def test_index_parts_texts_once(spark, tmp_path):
     assert {(r.token, len(r.postings)) for r in index.collect()} == {("a", 20), ("b", 20)}
 
 
+def test_lines_of_orders_are_dealt_to_bounded_tasks(spark, monkeypatch):
+    """Claims, judges and a judge's first cases come in tasks whose number grows with the lines, whatever the session's is."""
+    from awardry import working
+    from awardry.operators import entities
+    from awardry.plans import adapters as A
+
+    data = "/root/testdata/sf0.001"
+    whole = {r.id: r for r in A.claimed_cases(spark, data).collect()}
+    first = {tuple(r) for r in entities.judge_cases(A.judged_cases(spark, data)).select("judge", "id").collect()}
+    monkeypatch.setattr(working, "TASK_ROWS", 100)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    n = A.table(spark, data, "lineitem").count() // 100 + 1
+    claimed, judged = A.claimed_cases(spark, data), A.judged_cases(spark, data)
+    of_judges = entities.judge_cases(judged, tasks=A.line_tasks(spark, data))
+    assert [df.rdd.getNumPartitions() for df in (claimed, judged, of_judges)] == [n] * 3
+    assert {r.id: r for r in claimed.collect()} == whole
+    assert {tuple(r) for r in of_judges.select("judge", "id").collect()} == first
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_search_without_outliers_scores_each_case_once(spark):
     from awardry.operators import search
 
