@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..working import stored
+from ..working import stored, tasks_for
 
 
 #: Different values of a bucket that one task looks through; buckets that hold a rank and have more are cut into so many.
@@ -42,13 +42,14 @@ def all_quantiles(df: DataFrame, by: list[str], wanted: dict[str, dict[str, floa
         ranks = F.when(F.col("__m") == i, F.array(*[rank(k, e, q) for k, q in at.items() for e in ("lo", "hi")])).otherwise(ranks)
     extent = [F.sum("__c").alias("__n"), F.count("*").alias("__d"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")]
     active = counted.groupBy(*keys).agg(*extent).select(*keys, ranks.alias("__ranks"), F.lit(0).cast("long").alias("__base"), "__d", "__lo", "__hi")
-    done = None
+    done, cut = None, False
     while True:
         active = stored(active, "buckets")  # a row for each group and rank at most
         large = (F.col("__d") > most) & (F.col("__lo") < F.col("__hi"))
         done = active.where(~large) if done is None else done.union(active.where(~large))
         if active.where(large).isEmpty():
             break
+        cut = True
         inside = _inside(counted, active.where(large), keys)
         wide = (F.col("__lo") > 0) & (F.col("__hi") > F.col("__lo") * 16)
         share = F.when(wide, F.log(F.col("__v") / F.col("__lo")) / F.log(F.col("__hi") / F.col("__lo"))).otherwise((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")))
@@ -58,9 +59,15 @@ def all_quantiles(df: DataFrame, by: list[str], wanted: dict[str, dict[str, floa
         cuts = cuts.withColumn("__upto", F.col("__base") + upto).withColumn("__base", F.col("__upto") - F.col("__n"))
         own = F.filter("__ranks", lambda x: (x["r"] >= F.col("__base")) & (x["r"] < F.col("__upto")))
         active = cuts.withColumn("__ranks", own).where(F.size("__ranks") > 0).select(*keys, "__ranks", "__base", "__d", "__lo", "__hi")
-    found = _inside(counted, done, keys)
-    to = F.col("__base") + F.sum("__c").over(Window.partitionBy(*keys, "__lo").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-    found = found.withColumn("__to", to)
+    if cut:
+        found = _inside(counted, done, keys)
+        to = F.col("__base") + F.sum("__c").over(Window.partitionBy(*keys, "__lo").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+        found = found.withColumn("__to", to)
+    else:  # each group is one bucket of few values: its size and ranks come from its own rows, without a join
+        dealt = counted.repartition(tasks_for(df.sparkSession, counted.count()), *keys)
+        whole = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        upto = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+        found = dealt.withColumns({"__n": F.sum("__c").over(whole), "__to": F.sum("__c").over(upto)}).withColumn("__ranks", ranks)
     own = F.filter("__ranks", lambda x: (x["r"] >= F.col("__to") - F.col("__c")) & (x["r"] < F.col("__to")))
     found = found.select(*by, "__v", F.explode(own).alias("__r"))
     of = lambda k, e, c: F.max(F.when((F.col("__r.q") == k) & (F.col("__r.end") == e), F.col(c)))

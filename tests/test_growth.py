@@ -174,3 +174,20 @@ def test_search_without_outliers_scores_each_case_once(spark):
     got = search.search_without_outliers(cases, search.Query("arm", ["arm"], ["arm"]), "damages", 10, threshold=0.2).collect()
     assert [r["rank"] for r in got] == list(range(1, len(got) + 1)) and got
     assert seen.value == 100
+
+
+def test_quantiles_of_small_groups_need_no_join(spark, monkeypatch):
+    import numpy as np
+
+    from awardry.operators import statistics
+
+    rows = [(None if i % 4 == 0 else i % 4, float(i * i % 37) if i % 11 else None, i / 7) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, a double, b double")
+    wanted = {"a": {"a1": 0.25, "a2": 0.5}, "b": {"b2": 0.5}}
+    cut = {r.g: r for r in statistics.all_quantiles(df, ["g"], wanted, most=5).collect()}  # by buckets that are cut
+    monkeypatch.setattr(statistics, "_inside", None)
+    got = {r.g: r for r in statistics.all_quantiles(df, ["g"], wanted).collect()}
+    assert got == cut and len(got) == 4
+    for g, r in got.items():
+        a, b = [x[1] for x in rows if x[0] == g and x[1] is not None], [x[2] for x in rows if x[0] == g]
+        assert np.allclose([r.a1, r.a2, r.b2], [np.quantile(a, 0.25), np.median(a), np.median(b)])
