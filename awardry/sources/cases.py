@@ -9,7 +9,7 @@ from pyspark.sql.types import ArrayType
 from ..functions.text import as_list
 from ..operators.consolidate import consolidate, dashboard
 from ..schemas import DASHBOARD_CASE, FLAT_CASE, PARSED_CASE
-from ..working import stored
+from ..working import shuffles_go, stored
 
 SCHEMAS = {"parsed": PARSED_CASE, "dashboard": DASHBOARD_CASE, "flat": FLAT_CASE}
 
@@ -106,7 +106,8 @@ def read_vectors(spark: SparkSession, path: str, cases: DataFrame | None = None,
 FILE_CASES = 200_000
 
 
-def write_cases(df: DataFrame, path: str, form: str = "parquet") -> None:
+def write_cases(df: DataFrame, path: str, form: str = "parquet", mode: str = "overwrite") -> None:
     """Cases as files; JSON is compressed, as its text repeats the fields' names with each case."""
     options = {"compression": "gzip", "maxRecordsPerFile": FILE_CASES} if form == "json" else {}
-    df.write.mode("overwrite").format(form).options(**options).save(path)
+    with shuffles_go(df.sparkSession):
+        df.write.mode(mode).format(form).options(**options).save(path)

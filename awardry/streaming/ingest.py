@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -41,6 +41,6 @@ def ingest_stream(spark: SparkSession, incoming: str, records: str, store: str,
     return touched.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_version(spark: SparkSession, store: str) -> DataFrame:
-    """The consolidated cases of all batches so far."""
-    return latest(spark, store, KEYS)
+def latest_version(spark: SparkSession, store: str, values: list[Column] | None = None) -> DataFrame:
+    """The consolidated cases of all batches so far; with values, these beside name, year and court."""
+    return latest(spark, store, KEYS, values)

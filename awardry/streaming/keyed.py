@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..working import shuffles_go
+
 
 def put(changed: DataFrame, path: str, number: int) -> None:
     """The rows that a batch changed, as the batch's part of a result; run again, it replaces itself."""
-    changed.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    with shuffles_go(changed.sparkSession):
+        changed.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/batch={number}")
+
 
+def latest(spark: SparkSession, path: str, keys: list[str], values: list[Column] | None = None) -> DataFrame:
+    """Of each key the row of the last batch that changed it; keys may be null.
 
-def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Of each key the row of the last batch that changed it; keys may be null."""
+    values are what is wanted beside the keys, made of each row before rows are sent; without them the whole rows are.
+    """
     rows = spark.read.parquet(path)
+    if values is not None:
+        rows = rows.select(*keys, *values, "batch")
     columns = [c for c in rows.columns if c != "batch"]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in columns if c not in keys]), "batch").alias("__r"))
     return last.select(*keys, "__r.*").select(*columns)
