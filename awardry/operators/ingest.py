@@ -148,39 +148,47 @@ def record_numbers(rows: DataFrame, by: list[str], order: list[str], continues:
     return running(starts, by, order, **{out: ("sum", F.col("__starts"))}).drop("__starts", SLOT)
 
 
-def joined_comments(order: list[str], c: str = "comments") -> Column:
-    texts = F.array_sort(F.collect_list(F.when(given(F.col(c)).isNotNull(), F.struct(*order, F.col(c).alias("c")))))
-    return given(F.array_join(F.transform(texts, lambda x: x["c"]), " | "))
+def joined_comments(texts: Column) -> Column:
+    return given(F.array_join(F.filter(texts, lambda c: given(c).isNotNull()), " | "))
 
 
 def merged_records(rows: DataFrame, order: list[str]) -> DataFrame:
     """A case for each (doc_id, record) of decoded rows: greatest damages, comments joined, injuries united, lists one after the other,
-    plaintiffs of one id merged; everything else from the first row. Continuation rows before any record are dropped."""
+    plaintiffs of one id merged; everything else from the first row. Continuation rows before any record are dropped.
+
+    Plaintiffs come to rows of their own, the first of a row with the row's other fields, so that a record's rows and plaintiffs are
+    gathered in one pass: rows that are dealt by doc_id already stay where they are, and others are sent once.
+    """
     rows = rows.where("record > 0")
     keys = ["doc_id", "record"]
-    at = F.struct(*order)
-    gathered = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(at.alias("o"), F.col(c).alias("x"))))), lambda r: r["x"]))
-    plain = [c for c in rows.columns if c not in {*keys, *order, "non_pecuniary_damages", "comments", "injuries", "other_damages", "family_law_act_claims", "plaintiffs"}]
-    cases = rows.groupBy(*keys).agg(
-        F.min(at).alias("__at"), *[F.min_by(c, at).alias(c) for c in plain], F.max("non_pecuniary_damages").alias("non_pecuniary_damages"),
-        joined_comments(order).alias("comments"), F.array_distinct(gathered("injuries")).alias("injuries"),
-        gathered("other_damages").cast(f"array<struct<{AMOUNT}>>").alias("other_damages"), gathered("family_law_act_claims").cast(f"array<{CLAIM}>").alias("family_law_act_claims"),
+    merged = ["non_pecuniary_damages", "comments", "injuries", "other_damages", "family_law_act_claims"]
+    plain = [c for c in rows.columns if c not in {*keys, *order, *merged, "plaintiffs"}]
+    at, own = F.struct(*order), F.struct(F.struct(*order).alias("at"), *plain, *merged)
+    people = rows.select(*keys, at.alias("__at"), own.alias("__own"), F.posexplode_outer("plaintiffs").alias("__pos", "p"))
+    place = F.to_json(F.struct(*[F.col(f"__at.{c}").cast("string") for c in order], F.col("__pos").cast("string")))
+    id_ = F.coalesce(given(F.col("p.plaintiff_id")), F.concat(F.lit("\u0000"), place))
+    people = people.withColumn("__id", F.when(F.col("__pos").isNotNull(), id_))  # null for rows without plaintiffs
+    person = F.when(F.col("__pos").isNotNull(), F.struct(F.struct("__at", "__pos").alias("w"), "p"))
+    people = people.groupBy(*keys, "__id").agg(
+        F.array_sort(F.collect_list(person)).alias("__p"), F.collect_list(F.when(F.coalesce("__pos", F.lit(0)) == 0, F.col("__own"))).alias("__rows")
     )
-    people = rows.select(*keys, *order, F.posexplode("plaintiffs").alias("__pos", "p"))
-    own = F.struct(*[F.col(c).cast("string") for c in order], F.col("__pos").cast("string"))
-    people = people.withColumn("__id", F.coalesce(given(F.col("p.plaintiff_id")), F.concat(F.lit("\u0000"), F.to_json(own))))
-    where = F.struct(*order, "__pos")
-    first = lambda c: F.min_by(F.col(f"p.{c}"), where).alias(c)
-    people = people.withColumn("__c", F.col("p.comments")).groupBy(*keys, "__id").agg(
-        F.min(where).alias("w"), first("plaintiff_id"), first("plaintiff_name"), first("sex"), first("age"),
-        F.max("p.non_pecuniary_damages").alias("non_pecuniary_damages"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("p.injuries").isNotNull(), F.struct(where.alias("o"), F.col("p.injuries").alias("x"))))), lambda r: r["x"]))).alias("injuries"),
-        joined_comments([*order, "__pos"], "__c").alias("comments"),
+    each = lambda a, c: F.transform(a, lambda x: x[c])
+    lists = lambda a, c: F.flatten(F.filter(each(a, c), lambda x: x.isNotNull()))
+    p = F.transform("__p", lambda x: x["p"])
+    first = F.get(p, F.lit(0))
+    plaintiff = F.struct(
+        *[first[c].alias(c) for c in ("plaintiff_id", "plaintiff_name", "sex", "age")], F.array_max(each(p, "non_pecuniary_damages")).alias("non_pecuniary_damages"),
+        F.array_distinct(lists(p, "injuries")).alias("injuries"), joined_comments(each(p, "comments")).alias("comments"),
+    ).cast(PLAINTIFF)
+    people = people.select(*keys, "__rows", F.when(F.col("__id").isNotNull(), F.struct(F.get("__p", F.lit(0))["w"].alias("w"), plaintiff.alias("p"))).alias("__person"))
+    cases = people.groupBy(*keys).agg(F.array_sort(F.collect_list("__person")).alias("__people"), F.array_sort(F.flatten(F.collect_list("__rows"))).alias("__rows"))
+    start = F.get("__rows", F.lit(0))
+    return cases.select(
+        *keys, *[start[c].alias(c) for c in plain], F.array_max(each("__rows", "non_pecuniary_damages")).alias("non_pecuniary_damages"),
+        joined_comments(each("__rows", "comments")).alias("comments"), F.array_distinct(lists("__rows", "injuries")).alias("injuries"),
+        lists("__rows", "other_damages").cast(f"array<struct<{AMOUNT}>>").alias("other_damages"), lists("__rows", "family_law_act_claims").cast(f"array<{CLAIM}>").alias("family_law_act_claims"),
+        F.when(F.size("__people") > 0, each("__people", "p")).alias("plaintiffs"), *[start["at"][c].alias(c) for c in order],
     )
-    fields = ["plaintiff_id", "plaintiff_name", "sex", "age", "non_pecuniary_damages", "injuries", "comments"]
-    people = people.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("w", F.struct(*fields).alias("p")))).alias("a"))
-    people = people.select(*keys, F.transform("a", lambda x: x["p"]).cast(f"array<{PLAINTIFF}>").alias("plaintiffs"))
-    return cases.join(people, keys, "left").select("*", *[F.col(f"__at.{c}").alias(c) for c in order]).drop("__at")
 
 
 def cleaned(cases: DataFrame) -> DataFrame:
@@ -200,20 +208,20 @@ def ingest(rows: DataFrame, payload: str = "payload") -> DataFrame:
     """Cases of rows with a payload: decoded, continuation rows merged, cleaned. rows has doc_id, page, table_no, row_no."""
     order = ["page", "table_no", "row_no"]
     numbered = record_numbers(decoded_rows(rows, payload), ["doc_id"], order, F.col("is_continuation"), sizes=rows)
-    return cleaned(merged_records(stored(numbered, "numbered"), order))  # cases and their plaintiffs are gathered from the same rows
+    return cleaned(merged_records(numbered, order))
 
 
 def counted_ingest(rows: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """(cases of ingested_cases, one row of ingest_counts), the counts observed while rows are decoded and cases written.
 
-    Decoded rows and cases are each written once, and what is counted is what is written: an action that
-    runs no other plan beside it, so that nothing is counted twice but tasks that are lost after they ended.
+    Rows are decoded once and cases written once, by one action (two, if rows are stored to be dealt to slots) that runs no
+    other plan beside it, so that nothing is counted twice but tasks that are lost after they ended.
     """
     seen, made = Observation(), Observation()
     news = F.col("is_continuation")
     decoded = decoded_rows(rows, payload).observe(seen, F.count("*").alias("rows"), F.count_if(~news).alias("new"), F.count_if(news).alias("merged"))
     order = ["page", "table_no", "row_no"]
-    numbered = record_numbers(stored(decoded, "decoded"), ["doc_id"], order, news)
+    numbered = record_numbers(decoded, ["doc_id"], order, news, sizes=rows)
     cases = stored(cleaned(merged_records(numbered, order)).observe(made, F.count("*").alias("cases")), "ingested")
     told = {**seen.get, **made.get}
     return cases, rows.sparkSession.createDataFrame([tuple(told[k] for k in COUNTS)], ", ".join(f"{k} long" for k in COUNTS))

@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import CLAIM, PLAINTIFF
-from .adapters import cases, table
+from .adapters import by_order, cases, table
 
 _ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
 LINES_SQL = f"lines as (select *, row_number() over (partition by l_orderkey order by {', '.join(_ORDER)}) as k from lineitem)"
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of orders with k, their number in the order (a few each)."""
-    return table(spark, sf_dir, "lineitem").withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER)))
+    """The lines of orders with k, their number in the order (a few each), dealt by order to tasks of bounded numbers of lines."""
+    return by_order(spark, sf_dir, table(spark, sf_dir, "lineitem")).withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER)))
 
 
 #: The first two rows of an order's table, by the order's key modulo their number: stacked headers, sections, headers in the second row, none.
