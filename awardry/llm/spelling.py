@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .acceptor import Acceptor
-from .common import join_small, stored
+from .common import stored
 from .near_dup import grouped
 
 #: Runs of letters; the class is fixed by the contract.
@@ -43,8 +43,8 @@ LEAST_LENGTH, LEAST_COUNT, FACTOR = 6, 5, 5
 GROUP = 5_000
 #: Different words that a task counts before it hands them on.
 COUNTED = 200_000
-#: Tables of up to so many rows are broadcast.
-BROADCAST_ROWS = 200_000
+#: Tables of up to so many rows are broadcast: a few MB each on the driver, whatever the vocabulary.
+BROADCAST_ROWS = 20_000
 KEY = ["m", "a", "b", "head", "tail"]
 
 
@@ -108,12 +108,21 @@ def halved(rows: DataFrame) -> DataFrame:
     return zoned(rows.select("word", "n", "m", F.explode(zones).alias("z")).select("word", "n", "m", "z.a", "z.b"))
 
 
+def looked_up(rows: DataFrame, found: DataFrame, key: str | list[str], how: str = "left") -> DataFrame:
+    """rows joined to a table that is unique in its key: broadcast by its number of rows, else sent and merged.
+
+    Files are compressed, so their size, by which Spark would broadcast a table, doesn't tell what the driver must hold.
+    """
+    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(found) if few else found.hint("merge"), key, how)
+
+
 def partitions(words: DataFrame, most: int = GROUP) -> DataFrame:
     """The rows of keyed() that share their key with another; keys of more than most words are cut to narrower zones."""
     rows, out = keyed(words), None
     while True:
         sizes = stored(rows.groupBy(*KEY).agg(F.count("*").alias("size")).where("size > 1"), "spelling_sizes")
-        rows = join_small(rows, sizes, KEY, BROADCAST_ROWS).where("size is not null")
+        rows = looked_up(rows, sizes, KEY, "inner")
         large = (F.col("size") > most) & (F.col("b") - F.col("a") > 1)
         done = rows.where(~large).drop("size")
         out = done if out is None else out.unionByName(done)
@@ -151,7 +160,7 @@ def rooted(forms: DataFrame) -> DataFrame:
     now = stored(forms.select("word", F.col("form").alias("root")), "spelling_roots")
     while True:
         step = now.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        ahead = join_small(now, step, ["root"], BROADCAST_ROWS)
+        ahead = looked_up(now, step, "root")
         ahead = stored(ahead.select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "spelling_roots")
         now = ahead.select("word", "root")
         if ahead.where("moved").isEmpty():
@@ -164,12 +173,12 @@ def spelling_variants(words: DataFrame, factor: int = FACTOR, most: int = GROUP)
     pairs = near_words(partitions(words, most))
     best = F.min(F.struct((-F.col("best_n")).alias("k"), F.col("best_word").alias("w")))
     near = stored(pairs.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best")), "spelling_near")
-    out = words.join(near, "word", "left")
+    out = looked_up(words, near, "word")
     good = -F.col("best.k") >= F.col("n") * factor
     out = out.select("word", F.when(good, F.col("best.w")).alias("form"), "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(good, -F.col("best.k")).alias("form_n"))
     out = stored(out, "spelling_forms")
     roots = rooted(out.where("form is not null").select("word", "form"))
-    return out.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return looked_up(out, roots, "word").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op12_spelling_variants(spark, sf_dir) -> DataFrame:
