@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -162,24 +162,43 @@ def top_of_each(results: DataFrame, by: str, n: int, score: str = "combined", or
     return results.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def block_best(block: pd.DataFrame, ids: np.ndarray, vectors: np.ndarray, weight: float, n: int) -> pd.DataFrame:
-    """For each query the n best names of a block of cases, each with its best case; more where the n-th score is shared."""
-    block = block.sort_values(["name", "id"], kind="stable", ignore_index=True)
+def block_best(block: pd.DataFrame, units: np.ndarray, ids: np.ndarray, vectors: np.ndarray, weight: float, n: int) -> pd.DataFrame:
+    """For each query the n best names of a block of cases, each with its best case; more where the n-th score is shared.
+
+    block is sorted by name and id; units are its vectors of length 1, as those of the queries.
+    """
     name = block["name"].to_numpy()
     starts = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
     ends = np.r_[starts[1:], len(block)]
-    similarity = vectors @ vector_cells.unit(block["vec"]).T
-    total = np.round(similarity * weight + block["rest"].to_numpy(), 9)
+    similarity = vectors @ units.T
+    total = similarity * weight
+    total += block["rest"].to_numpy()
+    np.round(total, 9, out=total)
     best = np.maximum.reduceat(total, starts, axis=1)
     k = min(n, len(starts))
     q, s = np.nonzero(best >= -np.partition(-best, k - 1, axis=1)[:, k - 1 : k])
     at = np.array([a + total[i, a:b].argmax() for i, a, b in zip(q, starts[s], ends[s])], int)
-    found = block.loc[at, ["id", "case_name", "name"]].reset_index(drop=True)
+    found = block[["id", "case_name", "name"]].iloc[at].reset_index(drop=True)
     return found.assign(query_id=ids[q], similarity=similarity[q, at], combined=total[q, at])
 
 
-#: Cells that each query visits first, and rows of a task about.
-FIRST_CELLS, TASK_ROWS = 2, 65_536
+def batch_best(
+    batch: pd.DataFrame, numbers: np.ndarray, parts: list[tuple[int, int, np.ndarray]], ids: np.ndarray, vectors: np.ndarray, weight: float, n: int
+) -> Iterator[pd.DataFrame]:
+    """block_best of a batch of cases for each part of the queries: its first and last place, and which of the cells (by their numbers) it visits."""
+    if batch.empty:
+        return
+    batch = batch.sort_values(["name", "id"], kind="stable", ignore_index=True)
+    units, cell = vector_cells.unit(batch["vec"]), np.searchsorted(numbers, batch["cell"])
+    for a, b, visits in parts:
+        at = np.flatnonzero(visits[cell])
+        if len(at):
+            block, own = (batch, units) if len(at) == len(batch) else (batch.iloc[at], units[at])
+            yield block_best(block, own, ids[a:b], vectors[a:b], weight, n)
+
+
+#: Cells that each query visits first, queries that are held against a batch's cases at once, and rows of a task about.
+FIRST_CELLS, TOGETHER, TASK_ROWS = 2, 256, 65_536
 
 
 #: Rows found that a task holds beside the best so far, about.
@@ -215,7 +234,8 @@ def search_many(
     Cases lie in cells about centres. A query visits the cells with the greatest bounds first; its n-th best of these
     is what another cell's bound must reach for the cell to be visited: the result is that of all cases. Blocks of at most
     ``most`` queries are held in the tasks against the cells that they visit: pairs are never rows, only the running
-    n best of each task are. Tasks have some TASK_ROWS rows, however many cases there are. told gets, for each block, the
+    n best of each task are. Queries with the same nearest cell stand together, and TOGETHER of them are held at once against all
+    the batch's cases of the cells that one of them visits: the number of products grows with batches and not with cells. Tasks have some TASK_ROWS rows, however many cases there are. told gets, for each block, the
     numbers of pairs of a query and a cell, and of those visited.
     """
     w = weights(True, given_weights)
@@ -242,22 +262,18 @@ def search_many(
             continue
         ids, vectors = own["query_id"].to_numpy(), vector_cells.unit(own["vec"])
         bounds = cells.bounds(vectors, weight)
+        near = np.argsort(bounds.argmax(1), kind="stable")
+        ids, vectors, bounds = ids[near], vectors[near], bounds[near]
 
         def visited(visits: np.ndarray) -> DataFrame:
             """The best of the cells that each query visits: a matrix of queries by cells."""
-            held = spark.sparkContext.broadcast((ids, vectors, {int(c): np.flatnonzero(visits[:, i]) for i, c in enumerate(cells.numbers) if visits[:, i].any()}))
+            parts = [(i, i + TOGETHER, visits[i : i + TOGETHER].any(0)) for i in range(0, len(ids), TOGETHER)]
+            held = spark.sparkContext.broadcast((ids, vectors, cells.numbers, parts))
 
             def run(batches):
-                ids, vectors, visitors = held.value
-
-                def found():
-                    for batch in batches:
-                        for cell, block in batch.groupby("cell", sort=False):
-                            who = visitors.get(int(cell), ())
-                            for j in range(0, len(who), 512):
-                                yield block_best(block, ids[who[j : j + 512]], vectors[who[j : j + 512]], weight, n)
+                ids, vectors, numbers, parts = held.value
 
-                best = best_so_far(found(), n)
+                best = best_so_far((found for batch in batches for found in batch_best(batch, numbers, parts, ids, vectors, weight, n)), n)
                 if best is not None:
                     yield best[["query_id", "id", "case_name", "name", "similarity", "combined"]]
 
