@@ -23,14 +23,14 @@ def shuffle_files(spark) -> set[str]:
 def test_shuffle_files_go_when_a_table_is_stored(spark, tmp_path):
     before = shuffle_files(spark)
     rows = spark.range(1000).withColumn("x", F.col("id") % 7)
-    assert working.stored(rows.repartition(5, "x"), "dealt").count() == 1000
+    dealt = working.stored(rows.repartition(5, "x"), "dealt")
     keyed.put(rows.groupBy("x").agg(F.count("*").alias("n")), str(tmp_path / "r"), 0)
     written = {f for f in shuffle_files(spark) - before if f.endswith(".data")}
     for _ in range(50):  # they go beside what runs next
         if not written & shuffle_files(spark):
             break
         time.sleep(0.2)
-    assert not written & shuffle_files(spark)
+    assert not written & shuffle_files(spark) and dealt.count() == 1000
     assert spark.conf.get(working.CLEANUP) == "false"
 
 
